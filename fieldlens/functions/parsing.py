@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens import schema
@@ -28,7 +28,8 @@ def subject_ids(text: Column, *, legacy: bool = False) -> Column:
         return F.coalesce(exact, F.regexp_replace(part, "[^0-9]", "").try_cast("bigint"))
 
     found = F.filter(F.transform(parts, number), lambda n: n.isNotNull())
-    return F.coalesce(found, F.array().cast("array<bigint>"))
+    single = F.when(text.rlike("^[0-9]+$"), F.array(text.try_cast("bigint")))
+    return F.coalesce(single, found, F.array().cast("array<bigint>"))
 
 
 def annotations(text: Column) -> Column:
@@ -36,35 +37,41 @@ def annotations(text: Column) -> Column:
 
     The JSON reader accepts single-quoted text as well.
     """
-    return F.coalesce(
-        F.from_json(text, schema.ANNOTATIONS), F.array().cast(schema.ANNOTATIONS)
-    )
+    return F.coalesce(F.from_json(text, schema.ANNOTATIONS), F.array().cast(schema.ANNOTATIONS))
 
 
-def annotation_values(parsed: Column) -> Column:
-    """All value elements of all tasks, in document order, as (choice, answers).
-
-    A plain string element is a choice without answers.
-    """
+def _mixed_values(text: Column) -> Column:
+    """Values of a cell in which some are plain strings: those become choices without answers."""
 
     def element(value: Column) -> Column:
         read = F.from_json(value, schema.ANNOTATION_VALUE)
         is_object = value.startswith("{")
         return F.struct(
             F.when(is_object, read["choice"]).otherwise(value).alias("choice"),
-            F.when(is_object, read["answers"]).alias("answers"),
-            is_object.alias("is_object"),
+            F.when(is_object, F.coalesce(read["answers"], F.create_map().cast("map<string,string>"))).alias("answers"),
         )
 
+    parsed = F.from_json(text, schema.ANNOTATION_TEXTS)
     values = F.transform(parsed, lambda a: F.coalesce(a["value"], F.array().cast("array<string>")))
     return F.transform(F.flatten(values), element)
 
 
-def labelled_choices(parsed: Column) -> Column:
-    """The value elements that carry a choice with its answers."""
-    return F.filter(
-        annotation_values(parsed), lambda v: v["is_object"] & (F.coalesce(v["choice"], F.lit("")) != "")
-    )
+def with_values(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add all value elements of all tasks of an annotation cell, in document order.
+
+    A cell is parsed once, typed. Only where a task's values do not fit the type, as with plain
+    strings, the cell is read again element by element. Answers are null for plain strings only.
+    """
+    typed = df.withColumn("_typed", annotations(F.col(text)))
+    odd = F.exists("_typed", lambda a: a["value"].isNull())
+    values = F.when(odd, _mixed_values(F.col(text))).otherwise(F.flatten(F.col("_typed")["value"]))
+    return typed.withColumn(name, values).drop("_typed")
+
+
+def with_choices(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the value elements that carry a choice with its answers."""
+    labelled = F.filter(name, lambda v: (v["choice"] != "") & v["answers"].isNotNull())
+    return with_values(df, text, name).withColumn(name, labelled)
 
 
 def subject_record(subject_data: Column, sid: Column) -> Column:
@@ -94,13 +101,10 @@ def whole_number(text: Column) -> Column:
 def annotation_label(parsed: Column) -> Column:
     """First choice, followed by its count in brackets; ``invalid`` when there is no first value."""
     first = F.try_element_at(F.try_element_at(parsed, F.lit(1))["value"], F.lit(1))
-    value = F.from_json(first, schema.ANNOTATION_VALUE)
-    choice = F.coalesce(value["choice"], F.lit("unknown"))
-    count = F.try_element_at(value["answers"], F.lit("HOWMANY"))
-    shown = F.when(F.coalesce(count, F.lit("")) != "", F.concat(choice, F.lit(" ("), count, F.lit(")")))
-    return F.when(~F.coalesce(first.startswith("{"), F.lit(False)), "invalid").otherwise(
-        F.coalesce(shown, choice)
-    )
+    choice = F.coalesce(first["choice"], F.lit("unknown"))
+    count = F.try_element_at(first["answers"], F.lit("HOWMANY"))
+    shown = F.when(count != "", F.concat(choice, F.lit(" ("), count, F.lit(")")))
+    return F.when(first.isNull(), "invalid").otherwise(F.coalesce(shown, choice))
 
 
 def camera_model(make: Column, model: Column, *, legacy: bool = False) -> Column:

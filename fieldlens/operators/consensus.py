@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -27,7 +27,7 @@ def classification_table(
     subjects: DataFrame | None = None,
     legacy: bool = False,
 ) -> DataFrame:
-    """One row per classification and subject of an export.
+    """One row per classification and subject of an export; ``annotations`` stays the cell's text.
 
     ``keep_subject`` is a predicate on ``sid``; ``subjects`` restricts to the members of a table.
     """
@@ -44,10 +44,11 @@ def classification_table(
         "user_id",
         "workflow_id",
         key.alias("workflow_key"),
-        F.explode(ids).alias("sid"),
+        # Outer, so that the ids are not parsed a second time to drop empty lists before the explode.
+        F.explode_outer(ids).alias("sid"),
         "subject_data",
-        parsing.annotations(F.col("annotations")).alias("annotations"),
-    )
+        "annotations",
+    ).where("sid IS NOT NULL")
     if keep_subject is not None:
         rows = rows.where(keep_subject)
     if subjects is not None:
@@ -103,12 +104,11 @@ def choice_histogram(classified: DataFrame) -> DataFrame:
 
     Choices are counted per classification value: plain strings and objects alike.
     """
-    values = classified.select(
-        "workflow_key", "sid", "classification_id",
-        F.posexplode(parsing.annotation_values(F.col("annotations"))).alias("pos", "value"),
-    )
+    columns = ["workflow_key", "sid", "classification_id"]
+    read = parsing.with_values(classified.select(*columns, "annotations"), "annotations", "_values")
     return (
-        values.select("workflow_key", "sid", "classification_id", "pos", F.col("value")["choice"].alias("choice"))
+        read.select(*columns, F.posexplode_outer("_values").alias("pos", "_value"))
+        .select(*columns, "pos", F.col("_value")["choice"].alias("choice"))
         .where("choice IS NOT NULL")
         .groupBy("workflow_key", "sid", "choice")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("classification_id", "pos")).alias("first_seen"))
@@ -181,8 +181,8 @@ def tally(
     all votes stays small. ``legacy`` leaves choices unmapped where the rule names an unknown taxon.
     """
     known = classified.where(F.col("workflow_id").isin(list(rules)))
-    rows = known.select(
-        *SUBJECT, "classification_id", parsing.labelled_choices(F.col("annotations")).alias("_choices")
+    read = parsing.with_choices(
+        known.select(*SUBJECT, "classification_id", "annotations"), "annotations", "_choices"
     )
     size = F.size("_choices")
     skip = _by_rule(lambda r: F.lit(r.skip_odd_sizes), rules, F.lit(True))
@@ -203,10 +203,13 @@ def tally(
         "_choices",
         lambda c, i: item("taxon", c["choice"], F.try_element_at(c["answers"], F.lit("HOWMANY")), i),
     )
+    counted = F.when(~skip | size.between(1, K_MAX), F.concat(F.array(sizes), votes))
+    # The size test is part of the exploded value and the explode is outer: as filters before it,
+    # both would make the plan parse every cell once more.
     items = (
-        rows.where(~skip | size.between(1, K_MAX))
-        .select(*SUBJECT, "classification_id", F.explode(F.concat(F.array(sizes), votes)).alias("_item"))
+        read.select(*SUBJECT, "classification_id", F.explode_outer(counted).alias("_item"))
         .select(*SUBJECT, "classification_id", "_item.*")
+        .where("kind IS NOT NULL")
     )
     value = F.when(F.col("kind") == "taxon", taxon(F.col("value"))).otherwise(F.col("value"))
     return (
@@ -324,15 +327,32 @@ def decisions(
 def decisions_by_user_rule(
     tallied: DataFrame, decide: Callable[[pd.DataFrame], pd.DataFrame], output: str
 ) -> DataFrame:
-    """Decisions of a Python rule on one subject's tally.
+    """Decisions of a Python rule on the tally.
 
-    Its input is bounded by the distinct answers of a subject, not by the number of volunteers.
+    The rule gets frames of many whole subjects, ordered by subject, so it can work on whole columns;
+    a call per subject would spend most of its time on the call. A subject's rows are its distinct
+    answers, however many volunteers there are.
     """
     flat = tallied.select(
         *SUBJECT, "kind", "value", "n", "individuals",
         F.col("first_vote.classification_id").alias("first_id"), F.col("first_vote.pos").alias("first_pos"),
     )
-    return flat.groupBy(*SUBJECT).applyInPandas(decide, output)
+    keys = list(SUBJECT)
+
+    def whole_subjects(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            number = frame.groupby(keys, dropna=False, sort=False).ngroup()
+            open_subject = number == number.iloc[-1]
+            held = frame[open_subject]
+            if not open_subject.all():
+                yield decide(frame[~open_subject])
+        if held is not None:
+            yield decide(held)
+
+    together = flat.repartition(*keys).sortWithinPartitions(*keys)
+    return together.mapInPandas(whole_subjects, output)
 
 
 # --- fan-out to archive observations ---

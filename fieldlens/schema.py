@@ -120,7 +120,8 @@ EXPORT = T.StructType(
     ]
 )
 
-# A value element is an object with a choice, or a plain string; it is kept as text until read.
-ANNOTATIONS = "array<struct<task:string,value:array<string>>>"
 ANNOTATION_VALUE = "struct<choice:string,answers:map<string,string>>"
+ANNOTATIONS = f"array<struct<task:string,value:array<{ANNOTATION_VALUE}>>>"
+# For cells whose values include plain strings, which stay text until read one by one.
+ANNOTATION_TEXTS = "array<struct<task:string,value:array<string>>>"
 SUBJECT_DATA = "map<string,map<string,string>>"

@@ -47,7 +47,7 @@ def read_media(spark: SparkSession, root: str, *, with_hash: bool = False) -> Da
 
 
 _LOG_FILES = "*_FileTimestampLog.csv"
-_CSV_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+_CSV_COMMA = r',(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'
 
 
 def _log_lines(spark: SparkSession, path: str) -> DataFrame:

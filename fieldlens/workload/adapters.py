@@ -53,14 +53,11 @@ _CREATED = (
     "CASE WHEN o_orderkey % 2 = 1 THEN '.250Z' ELSE 'Z' END"
 )
 _LOG_COLLECTION = "printf('R%04d', c_custkey % 5 + 1)"
-_CLASSIFICATION = (
-    "printf('%d-%d-%d-%d-', l_orderkey, l_linenumber, l_partkey, l_suppkey) || "
-    "CAST(CAST(round(l_extendedprice * 100) AS bigint) AS string)"
-)
+_LINE_KEY = "CAST(l_orderkey AS string) || '-' || CAST(l_linenumber AS string) || '-' || CAST(l_partkey AS string) || '-' || CAST(l_suppkey AS string) || '-' || CAST(CAST(round(l_extendedprice * 100) AS bigint) AS string)"
 _WORKFLOW = "CASE l_orderkey % 3 WHEN 0 THEN '29186' WHEN 1 THEN '17553' ELSE '29187' END"
 _SUBJECT_FILE = (
-    "CASE WHEN l_linenumber = 7 THEN printf('R0034-LOC__20250101_%d.JPG', l_orderkey) "
-    "ELSE printf('%d_x_R0001-LOC_001_x_IMG_1.JPG', l_orderkey) END"
+    "CASE WHEN l_linenumber = 7 THEN 'R0034-LOC__20250101_' || CAST(l_orderkey AS string) || '.JPG' "
+    "ELSE CAST(l_orderkey AS string) || '_x_R0001-LOC_001_x_IMG_1.JPG' END"
 )
 
 # view -> (table, {column: expression})
@@ -194,8 +191,8 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "export": (
         "lineitem",
         {
-            "classification_id": _CLASSIFICATION,
-            "user_name": "printf('user%d', l_partkey)",
+            "classification_id": _LINE_KEY,
+            "user_name": "'user' || CAST(l_partkey AS string)",
             "user_id": "CASE WHEN l_partkey % 4 = 0 THEN '' ELSE CAST(l_partkey AS string) END",
             "workflow_id": _WORKFLOW,
             "workflow_name": "CASE WHEN l_orderkey % 2 = 0 THEN 'mountain, \"north\"' ELSE 'plain' END",
@@ -245,7 +242,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "packages": (
         "documents",
         {
-            "file_name": "printf('package_7_20240101000000_R0001_%s_part%03d', source, CAST(floor(doc_id / 2) AS bigint)) || "
+            "file_name": "printf('package_7_20240101000000_R0001_r0001-loc_%d_part%03d', CAST(floor(doc_id / 2) AS bigint) % 20, CAST(floor(doc_id / 2) AS bigint)) || "
             "CASE WHEN doc_id % 2 = 0 THEN '.yaml' WHEN doc_id % 9 = 0 THEN '.txt' ELSE '.zip' END",
             "bytes": "n_chars",
         },
@@ -253,9 +250,8 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "transfers": (
         "lineitem",
         {
-            "file": "printf('f-%d-%d-%d-%d-', l_orderkey, l_linenumber, l_partkey, l_suppkey) || "
-            "CAST(CAST(round(l_extendedprice * 100) AS bigint) AS string)",
-            "remote": "printf('/archive/%d', l_suppkey)",
+            "file": f"'f-' || {_LINE_KEY}",
+            "remote": "'/archive/' || CAST(l_suppkey AS string)",
             "size": "CAST(round(l_extendedprice * 1000) AS bigint)",
         },
     ),
@@ -366,6 +362,16 @@ class Tables:
             raise AttributeError(name)
         return self.table(name)
 
+    @property
+    def export(self) -> DataFrame:
+        """The export view. Its text cells cost far more than its rows weigh, so when the given file
+        has fewer splits than there are cores, the rows are spread first. Large inputs have plenty."""
+        table, columns = VIEWS["export"]
+        rows, cores = self.table(table), self.spark.sparkContext.defaultParallelism
+        if rows.rdd.getNumPartitions() < cores:
+            rows = rows.repartition(cores)
+        return rows.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+
     @cached_property
     def taken(self) -> DataFrame:
         from pyspark.sql import functions as F
@@ -381,14 +387,16 @@ def with_views(sql: str, extra: dict[str, str]) -> str:
     # A name counts as used only in table position, so equally named columns do not matter.
     used: dict[str, str] = {}
 
-    def add(text: str) -> None:
+    def add(text: str, owner: str = "") -> None:
         for name in bodies:
-            if name not in used and re.search(rf"(?:FROM|JOIN)\s+{name}\b", text, re.IGNORECASE):
-                add(bodies[name])
+            if name in used or name == owner:
+                continue
+            if re.search(rf"(?:FROM|JOIN)\s+{name}\b", text, re.IGNORECASE):
+                add(bodies[name], name)
                 used.setdefault(name, bodies[name])
 
     add(sql)
-    recursive = "RECURSIVE " if re.search(r"\brecurse_\w+", sql) else ""
+    recursive = "RECURSIVE " if any(name.startswith("recurse_") for name in used) else ""
     views = ", ".join(f"{name} AS ({body})" for name, body in used.items())
     if sql.lstrip().upper().startswith("WITH"):
         rest = sql.lstrip()[4:].lstrip()

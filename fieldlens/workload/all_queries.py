@@ -1,3 +1,9 @@
 """Importing this module registers every query."""
 
-from fieldlens.workload import consensus_queries, rule_queries, sequence_queries  # noqa: F401
+from fieldlens.workload import (  # noqa: F401
+    consensus_queries,
+    package_queries,
+    preparation_queries,
+    rule_queries,
+    sequence_queries,
+)

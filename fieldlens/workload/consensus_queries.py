@@ -64,6 +64,11 @@ def _classified(t):
     return C.classification_table(t.export)
 
 
+def _pairs(t):
+    read = parsing.with_choices(_classified(t), "annotations", "_choices")
+    return read.select("sid", "workflow_id", "classification_id", F.posexplode("_choices").alias("pos", "pair"))
+
+
 def _tally(t):
     return C.tally(_classified(t))
 
@@ -228,12 +233,12 @@ def _(t):
 
 @query(
     "v19_undecided_subjects",
-    """WITH subjects AS (SELECT DISTINCT workflow_key, sid, media_id FROM classified),
+    """WITH own_subjects AS (SELECT DISTINCT workflow_key, sid, media_id FROM classified),
        tagged AS (SELECT s.*, s.media_id IN (SELECT media_id FROM media_ids) AS observed,
            EXISTS (SELECT 1 FROM majorities m WHERE m.workflow_key = s.workflow_key AND m.sid = s.sid
              AND m.media_id IS NOT DISTINCT FROM s.media_id AND m.k_majority IS NOT NULL
              AND EXISTS (SELECT 1 FROM kept_species d WHERE d.workflow_key = s.workflow_key AND d.sid = s.sid
-               AND d.media_id IS NOT DISTINCT FROM s.media_id)) AS decided FROM subjects s)
+               AND d.media_id IS NOT DISTINCT FROM s.media_id)) AS decided FROM own_subjects s)
        SELECT 'subject:' || CAST(sid AS varchar) AS identifier, 'get_observations' AS action, 'error' AS status,
          'No observations found for resource ' || coalesce(media_id, 'None') AS message FROM tagged WHERE NOT coalesce(observed, false)
        UNION ALL SELECT 'subject:' || CAST(sid AS varchar), 'getting_decision', 'error', 'No decision found for subject ' || CAST(sid AS varchar)
@@ -308,8 +313,7 @@ def _(t):
     "SELECT classification_id, CAST(i AS int) AS pos, choice, coalesce(howmany, '-') AS howmany FROM chosen",
 )
 def _(t):
-    pairs = F.posexplode(parsing.labelled_choices(F.col("annotations"))).alias("pos", "pair")
-    rows = _classified(t).select("classification_id", pairs)
+    rows = _pairs(t)
     howmany = F.try_element_at(F.col("pair")["answers"], F.lit("HOWMANY"))
     return rows.select(
         "classification_id", "pos", F.col("pair")["choice"].alias("choice"), F.coalesce(howmany, F.lit("-")).alias("howmany")
@@ -333,9 +337,8 @@ def _(t):
        FROM chosen WHERE i = 0""",
 )
 def _(t):
-    first = F.try_element_at(parsing.labelled_choices(parsing.annotations(F.col("annotations"))), F.lit(1))
-    rows = t.export.select("classification_id", first.alias("v")).where("v IS NOT NULL")
-    n = parsing.whole_number(F.try_element_at(F.col("v")["answers"], F.lit("HOWMANY")))
+    rows = _pairs(t).where("pos = 0")
+    n = parsing.whole_number(F.try_element_at(F.col("pair")["answers"], F.lit("HOWMANY")))
     return rows.select("classification_id", F.coalesce(n, F.lit(-1)).alias("n"))
 
 
@@ -361,8 +364,7 @@ def _(t):
     "SELECT sid, choice, count(*) AS n FROM chosen GROUP BY sid, choice",
 )
 def _(t):
-    values = F.explode(parsing.annotation_values(F.col("annotations"))).alias("v")
-    rows = _classified(t).select("sid", values).select("sid", F.col("v")["choice"].alias("choice"))
+    rows = _pairs(t).select("sid", F.col("pair")["choice"].alias("choice"))
     return rows.groupBy("sid", "choice").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -371,9 +373,7 @@ def _(t):
     "SELECT classification_id, CAST(i AS int) AS pos, choice, taxon FROM named",
 )
 def _(t):
-    pairs = F.posexplode(parsing.labelled_choices(F.col("annotations"))).alias("pos", "pair")
-    rows = _classified(t).select("workflow_id", "classification_id", pairs)
-    rows = rows.select("workflow_id", "classification_id", "pos", F.col("pair")["choice"].alias("choice"))
+    rows = _pairs(t).select("workflow_id", "classification_id", "pos", F.col("pair")["choice"].alias("choice"))
     # The dimension holds the fixed choice tables, 66 rows.
     joined = rows.join(F.broadcast(C.taxa_table(t.spark)), ["workflow_id", "choice"], "left")
     other = F.when(F.col("workflow_id") == "29187", "unknown").otherwise(F.col("choice"))
@@ -399,7 +399,8 @@ def _(t):
     import pandas as pd
 
     def most_voted(pdf: pd.DataFrame) -> pd.DataFrame:
-        taxa = pdf[pdf["kind"] == "taxon"].sort_values(["n", "value"], ascending=[False, True]).head(1)
+        taxa = pdf[pdf["kind"] == "taxon"].sort_values(["n", "value"], ascending=[False, True])
+        taxa = taxa.drop_duplicates(["workflow_key", "sid", "media_id"])
         return taxa.rename(columns={"value": "winner", "n": "votes"})[
             ["workflow_key", "sid", "media_id", "winner", "votes"]
         ]
