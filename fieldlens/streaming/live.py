@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -43,6 +44,14 @@ def _write_batch(df: DataFrame, target: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
 
+def written_batches(spark: SparkSession, target: str, columns: str) -> DataFrame | None:
+    """What earlier micro-batches wrote, with their ``batch`` number; None before the first."""
+    try:
+        return spark.read.schema(columns).parquet(target)
+    except AnalysisException:
+        return None
+
+
 def incremental_checks(
     deployments: DataFrame, locations: DataFrame, target: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
