@@ -48,16 +48,22 @@ def base_name(path: Column) -> Column:
 def natural_key(path: Column) -> Column:
     """Text that sorts as the path does when its digit runs compare as numbers.
 
-    A digit run becomes a low separator, its length without leading zeros, and its digits.
+    A number of up to 20 digits becomes a low separator and its digits, padded with zeros; a longer one
+    a higher separator, its length and its digits. The separators sort before any printable text.
     """
+    padded = F.regexp_replace(path, "([0-9]+)", "\u0001" + "0" * 20 + "$1")
+    usual = F.regexp_replace(padded, "\u00010*([0-9]{20})(?![0-9])", "\u0001$1")
 
     def sortable(run: Column) -> Column:
         digits = F.ltrim(run, F.lit("0"))
-        number = F.concat(F.lit("\u0001"), F.lpad(F.length(digits).cast("string"), 4, "0"), digits)
-        return F.when(run.rlike(r"^[0-9]"), number).otherwise(run)
-
-    runs = F.regexp_extract_all(path, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, sortable), "")
+        short = F.concat(F.lit("\u0001"), F.lpad(digits, 20, "0"))
+        long = F.concat(F.lit("\u0002"), F.lpad(F.length(digits).cast("string"), 4, "0"), digits)
+        number = F.when(F.length(digits) <= 20, short).otherwise(long)
+        return F.when(run.rlike("^[0-9]"), number).otherwise(run)
+
+    runs = F.regexp_extract_all(path, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    exact = F.array_join(F.transform(runs, sortable), "")
+    return F.when(path.rlike("[0-9]{21}"), exact).otherwise(usual)
 
 
 def collection_name_ok(name: Column) -> Column:

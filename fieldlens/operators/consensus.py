@@ -117,9 +117,10 @@ def choice_histogram(classified: DataFrame) -> DataFrame:
 
 def majority_choice(histogram: DataFrame) -> DataFrame:
     """Most frequent choice per subject; the first seen wins a tie."""
-    ranked = Window.partitionBy("workflow_key", "sid").orderBy(F.desc("n"), "first_seen")
-    top = histogram.withColumn("_rank", F.row_number().over(ranked)).where("_rank = 1")
-    return top.select("workflow_key", "sid", F.col("choice").alias("majority_choice"), "n")
+    best = F.struct(-F.col("n"), F.col("first_seen"))
+    return histogram.groupBy("workflow_key", "sid").agg(
+        F.min_by("choice", best).alias("majority_choice"), F.max("n").alias("n")
+    )
 
 
 # --- rules ---

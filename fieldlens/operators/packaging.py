@@ -70,9 +70,11 @@ def _chunk_outcomes(limit: int):
             after = following[start]
             parts[start] = parts[after] + 1
             last[start] = start if after == files else last[after]
-        starts = np.arange(_first_opened(totals, limit, 0) + 1)
+        # No room at all opens a part at the first file; else files fit until the room is used up.
+        starts = np.concatenate([[0], np.arange(_first_opened(totals, limit, 0) + 1)])
+        room = np.concatenate([[-1], totals[starts[1:]]])
         opened = np.where(starts < files, totals[-1] - totals[last[starts]], -1)
-        steps = pd.DataFrame({"room": totals[starts], "parts": parts[starts], "opened": opened})
+        steps = pd.DataFrame({"room": room, "parts": parts[starts], "opened": opened})
         steps = steps.drop_duplicates("room", keep="last")
         same = (steps[["parts", "opened"]] == steps[["parts", "opened"]].shift()).all(axis=1)
         steps = steps[~same].assign(bytes=totals[-1], chunk=pdf["_chunk"].iloc[0])
@@ -88,9 +90,8 @@ def _follow_chunks(limit: int):
         states, opened, parts = [], None, 0
         for chunk, steps in pdf.sort_values(["chunk", "room"]).groupby("chunk", sort=True):
             states.append((chunk, opened, parts))
-            room = 0 if opened is None else limit - opened
-            at = max(int(np.searchsorted(steps["room"].to_numpy(), room, side="right")) - 1, 0)
-            step = steps.iloc[0 if opened is None else at]
+            room = -1 if opened is None else max(limit - opened, -1)
+            step = steps.iloc[int(np.searchsorted(steps["room"].to_numpy(), room, side="right")) - 1]
             if step["opened"] < 0:
                 opened += int(step["bytes"])
             else:
@@ -174,16 +175,18 @@ def package_stem(name: str, project_id: int, stamp: str) -> Column:
 
 
 def manifests(
-    packed: DataFrame, *, page_rows: int = 10_000, chunk_rows: int | None = None
+    packed: DataFrame, *, sizes: DataFrame | None = None, page_rows: int = 10_000,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Nested manifest documents: one row per part and page with its resources sorted by name.
 
     A page holds up to ``page_rows`` resources, so one document never collects an unbounded part; all
-    resources are kept, further ones go to further pages.
+    resources are kept, further ones go to further pages. Pass the unpacked files as ``sizes``, so that
+    counting the rows does not pack them first.
     """
     group = [*_DEPLOYMENT, "part"]
     present = [c for c in RESOURCE_FIELDS if c in packed.columns]
-    rows = ordered_rows(packed.select(*group, *present), group, ["name"], chunk_rows=chunk_rows)
+    rows = ordered_rows(packed.select(*group, *present), group, ["name"], sizes=sizes, chunk_rows=chunk_rows)
     placed = rows.extend(position="_position").result()
     page = F.floor((F.col("_position") - 1) / page_rows) + 1
     return (

@@ -31,10 +31,12 @@ def recorded_media(
     )
 
 
-def numbered_files(media: DataFrame, *, chunk_rows: int | None = None) -> DataFrame:
+def numbered_files(
+    media: DataFrame, *, sizes: DataFrame | None = None, chunk_rows: int | None = None
+) -> DataFrame:
     """Media with their 1-based place in the natural path order of their deployment."""
     keyed = media.withColumn("_key", naming.natural_key(F.col("rel_path")))
-    rows = ordered_rows(keyed, _KEYS, ["_key", "rel_path"], chunk_rows=chunk_rows)
+    rows = ordered_rows(keyed, _KEYS, ["_key", "rel_path"], sizes=sizes, chunk_rows=chunk_rows)
     return rows.extend(position="file_index").result().drop("_key")
 
 
@@ -140,7 +142,7 @@ def prepare_deployments(
     )
     if existing is not None and not overwrite:
         names = names.join(existing.select("deployment_id"), "deployment_id", "left_anti")
-    placed = numbered_files(wanted.join(names, "deployment"), chunk_rows=chunk_rows)
+    placed = numbered_files(wanted.join(names, "deployment"), sizes=wanted, chunk_rows=chunk_rows)
     recorded = recorded_media(placed, zone, ignore_dst=ignore_dst)
     moment = F.col("instant").cast("timestamp_ntz") if convert_to_utc else F.col("wall")
     new_name = naming.archive_name(F.col("deployment_id"), moment, F.col("file_index"), F.col("rel_path"))

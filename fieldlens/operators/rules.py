@@ -11,6 +11,7 @@ from fieldlens import schema
 from fieldlens.functions import dates, filters, naming
 from fieldlens.operators.findings import emit, finding
 from fieldlens.plans.ordered import ordered_rows
+from fieldlens.session import stored
 
 
 def _c() -> Column:
@@ -326,6 +327,8 @@ def check_deployments(
     dated = media_findings(
         media.where(named), logged, tolerance_hours=tolerance_hours, extensions=extensions, chunk_rows=chunk_rows
     )
+    # The findings are few; stored, they serve twice and the media are read and sorted once.
+    dated = stored(dated, "media-findings")
     valid = validated_deployments(logged, deployments, dated.select(keys))
     parts = [no_log, bad_rows, missing, dated, valid]
     result = parts[0].select(columns)

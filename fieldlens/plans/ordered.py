@@ -149,6 +149,7 @@ def ordered_rows(
     order: Sequence[str],
     *,
     sizes: DataFrame | None = None,
+    bound: int | None = None,
     chunk_rows: int | None = None,
 ) -> OrderedRows:
     """Prepare rows for ordered computations.
@@ -156,11 +157,16 @@ def ordered_rows(
     ``order`` must be a total order inside a group (end it with a unique id). The sizes of the groups
     are counted first, which needs the grouping columns only and combines before its shuffle; pass
     ``sizes``, a table that holds at least the same rows per group, when counting ``df`` itself would
-    repeat an expensive join.
+    repeat an expensive step. It may lack some grouping columns: its groups are larger then, and an
+    upper bound all the same. A ``bound`` already known to hold for every group saves the count.
     """
     limit = chunk_rows or CHUNK_ROWS
-    counted = (sizes if sizes is not None else df).groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    largest, rows = counted.agg(F.max("n"), F.sum("n")).first()
+    if bound is not None and bound <= limit:
+        return OrderedRows(df, tuple(group), tuple(order), False)
+    counted = df if sizes is None else sizes
+    known = [c for c in group if c in counted.columns]
+    per_group = counted.groupBy(*known).agg(F.count(F.lit(1)).alias("n"))
+    largest, rows = per_group.agg(F.max("n"), F.sum("n")).first()
     if (largest or 0) <= limit:
         return OrderedRows(df, tuple(group), tuple(order), False)
     ranged = df.repartitionByRange(ceil(rows / limit) + 1, *group, *order)

@@ -340,6 +340,10 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
+# Views whose cells cost much more than reading their rows.
+_COSTLY = {"export", "shots", "meta"}
+
+
 def view_sql(name: str) -> str:
     table, columns = VIEWS[name]
     return f"SELECT {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {table}"
@@ -354,24 +358,24 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A given table, its rows spread over the cores when its files have fewer splits than that.
+
+        The local test tables are single-split files, so one task would build all the text cells of a
+        view. A large input has plenty of splits and is read as it is.
+        """
+        rows, cores = self.table(name), self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             table, columns = VIEWS[name]
-            return self.table(table).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+            rows = self.spread(table) if name in _COSTLY else self.table(table)
+            return rows.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
         if name.startswith("_"):
             raise AttributeError(name)
         return self.table(name)
 
-    @property
-    def export(self) -> DataFrame:
-        """The export view. Its text cells cost far more than its rows weigh, so when the given file
-        has fewer splits than there are cores, the rows are spread first. Large inputs have plenty."""
-        table, columns = VIEWS["export"]
-        rows, cores = self.table(table), self.spark.sparkContext.defaultParallelism
-        if rows.rdd.getNumPartitions() < cores:
-            rows = rows.repartition(cores)
-        return rows.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
-
     @cached_property
     def taken(self) -> DataFrame:
         from pyspark.sql import functions as F

@@ -78,7 +78,7 @@ def _(t):
          (PARTITION BY collection, deployment, part ORDER BY name) AS place, name, file_size FROM packed""",
 )
 def _(t):
-    documents = P.manifests(_packed(t), page_rows=3)
+    documents = P.manifests(_packed(t), sizes=t.files, page_rows=3)
     opened = documents.select("collection", "deployment", "part", "page", F.posexplode("resources").alias("i", "r"))
     place = (F.col("page") - 1) * 3 + F.col("i") + 1
     return opened.select("collection", "deployment", "part", place.alias("place"), "r.name", "r.file_size")

@@ -109,7 +109,7 @@ def _(t):
 def _(t):
     packed = build_packages(t.files, max_bytes=LIMIT, project_id=7, stamp="20240101000000")
     path = scratch_path(t.spark, "manifests")
-    sinks.write_manifests(manifests(packed), path)
+    sinks.write_manifests(manifests(packed, sizes=t.files), path)
     columns = "part bigint, page bigint, resources array<struct<name:string,file_size:bigint>>, collection string, deployment string"
     back = t.spark.read.schema(columns).json(path)
     return back.select("collection", "deployment", "part", F.inline("resources"))
