@@ -33,7 +33,8 @@ def media_listing(paths: DataFrame, root: str = "", *, direct_children: bool = F
 def read_media(spark: SparkSession, root: str, *, with_hash: bool = False) -> DataFrame:
     """Media inventory of a directory tree.
 
-    The content is read only when hashes are asked for, and never leaves the scan.
+    The content is read only when hashes are asked for, and never leaves the scan. Spark's file readers
+    pass over files of zero bytes; where those matter, use :func:`media_listing` on a listing table.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     columns = ["path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
@@ -60,7 +61,7 @@ def _log_lines(spark: SparkSession, path: str) -> DataFrame:
         plain = F.transform(F.split(line, _CSV_COMMA), lambda c: F.regexp_replace(c, '^"|"$', ""))
         return F.transform(plain, lambda c: F.regexp_replace(c, '""', '"'))
 
-    return reader.option("wholetext", "true").text(path).select(
+    return reader.text(path, wholetext=True).select(
         F.regexp_replace(F.col("_metadata.file_name"), "_FileTimestampLog\\.csv$", "").alias("collection"),
         F.transform(lines, cells).alias("lines"),
     )

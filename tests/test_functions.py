@@ -3,7 +3,7 @@
 from datetime import datetime
 
 import pytest
-from conftest import listed
+from tests.conftest import listed
 from pyspark.sql import functions as F
 
 from fieldlens.functions import dates, filters, naming, parsing

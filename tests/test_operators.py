@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
-from conftest import listed
+from tests.conftest import listed
 from pyspark.sql import functions as F
 
 from fieldlens.operators import (

@@ -4,7 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import listed
+from tests.conftest import listed
 from pyspark.sql import functions as F
 
 from fieldlens.operators import forms, packaging, preparation, rules, sequences
