@@ -76,7 +76,7 @@ def test_repaired_text(spark, text, expected):
 @pytest.mark.parametrize(
     "name, expected, unicode",
     [
-        ("  Doñana Río__ 7! ", "donana-rio__-7", False),
+        ("  Peña Río__ 7! ", "pena-rio__-7", False),
         ("--A  b--", "a-b", False),
         ("Ñandú x", "ñandú-x", True),
     ],
