@@ -74,6 +74,16 @@ def with_choices(df: DataFrame, text: str, name: str) -> DataFrame:
     return with_values(df, text, name).withColumn(name, labelled)
 
 
+def choice_rows(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
+    """One row per choice of an annotation cell: the kept columns, ``pos``, ``choice`` and ``answers``.
+
+    The explode is outer: an inner one would first test the list for emptiness, parsing it once more.
+    """
+    read = with_choices(df.select(*keep, text), text, "_choices")
+    rows = read.select(*keep, F.posexplode_outer("_choices").alias("pos", "_choice")).where("pos IS NOT NULL")
+    return rows.select(*keep, "pos", "_choice.choice", "_choice.answers")
+
+
 def subject_record(subject_data: Column, sid: Column) -> Column:
     """One subject's attributes from the export's subject data."""
     return F.try_element_at(F.from_json(subject_data, schema.SUBJECT_DATA), sid.cast("string"))

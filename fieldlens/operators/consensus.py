@@ -344,8 +344,11 @@ def decisions_by_user_rule(
         held = None
         for frame in frames:
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            number = frame.groupby(keys, dropna=False, sort=False).ngroup()
-            open_subject = number == number.iloc[-1]
+            last = frame.iloc[-1]
+            # The rows of the last subject stay for the next frame, which may hold more of them.
+            open_subject = pd.Series(True, index=frame.index)
+            for key in keys:
+                open_subject &= frame[key].isna() if pd.isna(last[key]) else frame[key] == last[key]
             held = frame[open_subject]
             if not open_subject.all():
                 yield decide(frame[~open_subject])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.operators import preparation, rules
+from fieldlens.session import stored
 
 
 def passed_collections(name_findings: DataFrame, collections: DataFrame) -> DataFrame:
@@ -46,6 +47,8 @@ def gated_preparation(
     logged = rules.valid_log(log.join(good, "collection", "left_semi"))
     found = rules.media_findings(media, logged, tolerance_hours=tolerance_hours, chunk_rows=chunk_rows)
     valid = rules.validated_deployments(logged, deployments, found).select("collection", "deployment")
+    # One row per deployment; stored, the checks run once though the preparation reads it twice.
+    valid = stored(valid, "valid-deployments")
     wanted = metadata.join(valid, ["collection", "deployment"], "left_semi")
     return preparation.prepare_deployments(
         wanted, zone=zone, ignore_dst=ignore_dst, chunk_rows=chunk_rows, **prepare_options

@@ -65,8 +65,7 @@ def _classified(t):
 
 
 def _pairs(t):
-    read = parsing.with_choices(_classified(t), "annotations", "_choices")
-    return read.select("sid", "workflow_id", "classification_id", F.posexplode("_choices").alias("pos", "pair"))
+    return parsing.choice_rows(_classified(t), "annotations", ["sid", "workflow_id", "classification_id"])
 
 
 def _tally(t):
@@ -314,10 +313,8 @@ def _(t):
 )
 def _(t):
     rows = _pairs(t)
-    howmany = F.try_element_at(F.col("pair")["answers"], F.lit("HOWMANY"))
-    return rows.select(
-        "classification_id", "pos", F.col("pair")["choice"].alias("choice"), F.coalesce(howmany, F.lit("-")).alias("howmany")
-    )
+    howmany = F.try_element_at("answers", F.lit("HOWMANY"))
+    return rows.select("classification_id", "pos", "choice", F.coalesce(howmany, F.lit("-")).alias("howmany"))
 
 
 @query(
@@ -338,7 +335,7 @@ def _(t):
 )
 def _(t):
     rows = _pairs(t).where("pos = 0")
-    n = parsing.whole_number(F.try_element_at(F.col("pair")["answers"], F.lit("HOWMANY")))
+    n = parsing.whole_number(F.try_element_at("answers", F.lit("HOWMANY")))
     return rows.select("classification_id", F.coalesce(n, F.lit(-1)).alias("n"))
 
 
@@ -364,8 +361,7 @@ def _(t):
     "SELECT sid, choice, count(*) AS n FROM chosen GROUP BY sid, choice",
 )
 def _(t):
-    rows = _pairs(t).select("sid", F.col("pair")["choice"].alias("choice"))
-    return rows.groupBy("sid", "choice").agg(F.count(F.lit(1)).alias("n"))
+    return _pairs(t).groupBy("sid", "choice").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -373,7 +369,7 @@ def _(t):
     "SELECT classification_id, CAST(i AS int) AS pos, choice, taxon FROM named",
 )
 def _(t):
-    rows = _pairs(t).select("workflow_id", "classification_id", "pos", F.col("pair")["choice"].alias("choice"))
+    rows = _pairs(t).drop("sid", "answers")
     # The dimension holds the fixed choice tables, 66 rows.
     joined = rows.join(F.broadcast(C.taxa_table(t.spark)), ["workflow_id", "choice"], "left")
     other = F.when(F.col("workflow_id") == "29187", "unknown").otherwise(F.col("choice"))
