@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COLUMNS = ("identifier", "action", "status", "message")
 
@@ -97,14 +98,19 @@ def by_action(findings: DataFrame, action: str) -> DataFrame:
     return findings.where(F.col("action") == action)
 
 
-def merge(*parts: DataFrame, keys: Sequence[str], order: str = "ts") -> DataFrame:
+def merge(*parts: DataFrame, order: str = "ts") -> DataFrame:
     """Union of reports without repeated entries.
 
-    Entries are the same when all ``keys`` are, null equal to null; the earliest one by ``order``
-    stays. Partial aggregation removes most repeats before the shuffle, however often one repeats.
+    Entries are the same when all columns but ``order`` are: null equals null, and maps are compared by
+    their sorted entries. The earliest one by ``order`` stays. Partial aggregation removes most repeats
+    before the shuffle, however often one repeats.
     """
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return stacked.groupBy(*keys).agg(F.min(order).alias(order))
+    maps = [f.name for f in stacked.schema if isinstance(f.dataType, T.MapType)]
+    keys = [c for c in stacked.columns if c != order]
+    comparable = stacked.withColumns({c: F.array_sort(F.map_entries(c)) for c in maps})
+    kept = comparable.groupBy(*keys).agg(F.min(order).alias(order))
+    return kept.withColumns({c: F.map_from_entries(c) for c in maps}).select(stacked.columns)
 
 
 def merged_span(*summaries: DataFrame) -> DataFrame:

@@ -43,11 +43,11 @@ def gated_preparation(
     names = rules.check_deployment_names(deployments, locations, validate_locations=locations is not None)
     own = rules.check_collection_names(collections).withColumn("collection", F.col("identifier"))
     all_names = names.select("collection", "status").unionByName(own.select("collection", "status"))
-    good = passed_collections(all_names, collections)
+    # A few names and keys; stored, the checks run once though later steps read them several times.
+    good = stored(passed_collections(all_names, collections), "passed-collections")
     logged = rules.valid_log(log.join(good, "collection", "left_semi"))
     found = rules.media_findings(media, logged, tolerance_hours=tolerance_hours, chunk_rows=chunk_rows)
     valid = rules.validated_deployments(logged, deployments, found).select("collection", "deployment")
-    # One row per deployment; stored, the checks run once though the preparation reads it twice.
     valid = stored(valid, "valid-deployments")
     wanted = metadata.join(valid, ["collection", "deployment"], "left_semi")
     return preparation.prepare_deployments(

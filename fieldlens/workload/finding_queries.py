@@ -68,9 +68,6 @@ def _(t):
     return N.actions(t.findings)
 
 
-_KEYS = ["run_id", "identifier", "action", "status", "message"]
-
-
 def _halves(t):
     """Two overlapping reports of the same runs."""
     return t.findings.where("status = 'error'"), t.findings.where("action <> 'view'")
@@ -82,7 +79,7 @@ _MERGED = """SELECT run_id, identifier, action, status, message, min(ts) AS ts F
 
 @query("a16_report_merge", _MERGED)
 def _(t):
-    return N.merge(*_halves(t), keys=_KEYS)
+    return N.merge(*_halves(t))
 
 
 @query(
@@ -96,7 +93,7 @@ def _(t):
 
 @query("u5_report_union", f"SELECT run_id, count(*) AS n_entries FROM ({_MERGED}) m GROUP BY run_id")
 def _(t):
-    return N.merge(*_halves(t), keys=_KEYS).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_entries"))
+    return N.merge(*_halves(t)).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_entries"))
 
 
 @query("u6_identifier_union", "SELECT DISTINCT run_id, identifier FROM findings")
@@ -133,13 +130,20 @@ def _(t):
 
 @query(
     "f16_old_reports",
-    f"""SELECT run_id FROM ({_CATALOGUE}) c WHERE end_time < (SELECT max(ts) - INTERVAL 1 HOUR FROM findings)""",
+    f"""SELECT run_id FROM ({_CATALOGUE}) c WHERE end_time < TIMESTAMP '2024-02-01 23:00:00' - INTERVAL 1 DAY""",
+)
+def _(t):
+    now = F.lit("2024-02-01 23:00:00").cast("timestamp_ntz")
+    return tables.reports_older_than(tables.report_catalogue(t.findings), 1, now).select("run_id")
+
+
+@query(
+    "f16_listed_reports",
+    f"SELECT run_id FROM ({_CATALOGUE}) c WHERE status <> 'failed'",
 )
 def _(t):
     catalogue = tables.report_catalogue(t.findings)
-    newest = t.findings.agg((F.max("ts") + F.make_dt_interval(hours=F.lit(-1))).alias("_limit"))
-    # One row, so the broadcast has a fixed size.
-    return catalogue.join(F.broadcast(newest), F.col("end_time") < F.col("_limit")).select("run_id")
+    return tables.listed_reports(catalogue.withColumn("archived", F.col("status") == "failed")).select("run_id")
 
 
 @query(
@@ -158,7 +162,7 @@ def _(t):
 
 @query("p12_findings_algebra", f"SELECT action, count(*) AS n_entries, count(DISTINCT identifier) AS n_identifiers FROM ({_MERGED}) m GROUP BY action")
 def _(t):
-    merged = N.merge(*_halves(t), keys=_KEYS)
+    merged = N.merge(*_halves(t))
     return merged.groupBy("action").agg(
         F.count(F.lit(1)).alias("n_entries"), F.count_distinct("identifier").alias("n_identifiers")
     )

@@ -334,10 +334,16 @@ def test_report_status(spark, statuses, expected):
     assert findings.summarise(rows, runs).first()["status"] == expected
 
 
-def test_merge_drops_equal_entries_with_null_messages(spark):
-    rows = finding_rows(spark, ("i", "a", "error"), ("i", "b", "error"))
-    merged = findings.merge(rows, rows, keys=["run_id", "identifier", "action", "status", "message"])
-    assert merged.count() == 2
+def test_merge_drops_equal_entries(spark):
+    from fieldlens.schema import FINDINGS
+
+    late = DAY + timedelta(days=1)
+    one = [("1", "i", "a", "error", None, {"x": "1", "y": "2"}, late), ("1", "i", "b", "error", "m", {}, DAY)]
+    two = [("1", "i", "a", "error", None, {"y": "2", "x": "1"}, DAY), ("1", "i", "a", "error", None, {"x": "2"}, DAY)]
+    merged = findings.merge(spark.createDataFrame(one, FINDINGS), spark.createDataFrame(two, FINDINGS))
+    assert merged.columns == [f.name for f in FINDINGS]
+    got = sorted((r["action"], sorted(r["extra"].items()), r["ts"]) for r in merged.collect())
+    assert got == [("a", [("x", "1"), ("y", "2")], DAY), ("a", [("x", "2")], DAY), ("b", [], DAY)]
 
 
 def test_findings_schema(spark):
