@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.functions import parsing
@@ -36,19 +36,19 @@ def export_freshness(workflows: DataFrame, exports: DataFrame) -> DataFrame:
     return joined.select("id", name.alias("display_name"), F.coalesce("_date", F.lit("-")).alias("last_export"))
 
 
-def subject_keys(subjects: DataFrame) -> DataFrame:
-    """Subjects with the normalised name and origin they are recognised by."""
-    metadata = F.col("metadata")
+def _normalised(text: Column) -> Column:
+    return F.nullif(F.lower(F.trim(text)), F.lit(""))
 
-    def clean(value):
-        return F.nullif(F.lower(F.trim(value)), F.lit(""))
 
+def subject_keys(subjects: DataFrame) -> DataFrame:
+    """Subjects with the normalised name and origin they are recognised by."""
+    # A key with a blank value counts as absent.
+    metadata = F.map_filter("metadata", lambda _, value: value != "")
     named = F.coalesce(
         F.nullif(F.col("display_name"), F.lit("")), parsing.first_key(metadata, parsing.SUBJECT_NAME_KEYS)
     )
-    return subjects.withColumns(
-        {"_name": clean(named), "_origin": clean(parsing.first_key(metadata, ("origin", "Origin")))}
-    )
+    origin = parsing.first_key(metadata, ("origin", "Origin"))
+    return subjects.withColumns({"_name": _normalised(named), "_origin": _normalised(origin)})
 
 
 def subjects_present(candidates: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -59,10 +59,9 @@ def subjects_present(candidates: DataFrame, subjects: DataFrame) -> DataFrame:
     """
     known = subject_keys(subjects)
 
-    def clean(column: str):
-        return F.nullif(F.lower(F.trim(column)), F.lit(""))
-
-    keyed = candidates.withColumns({"_name": clean("name"), "_origin": clean("origin")})
+    keyed = candidates.withColumns(
+        {"_name": _normalised(F.col("name")), "_origin": _normalised(F.col("origin"))}
+    )
     found = [
         keyed.join(known.select(key).distinct(), key, "left_semi").select("candidate")
         for key in ("id", "_name", "_origin")

@@ -82,7 +82,7 @@ def workflow_summary(classified: DataFrame) -> DataFrame:
     Subjects are reduced first, so one busy workflow is spread over its subjects.
     """
     subjects = classified.groupBy("workflow_key", "sid").agg(
-        F.count(F.lit(1)).alias("_rows"), F.count_if("retired").alias("_retired")
+        F.count(F.lit(1)).alias("_rows"), F.count_if(F.col("retirement_reason") != "").alias("_retired")
     )
     totals = subjects.groupBy("workflow_key").agg(
         F.sum("_rows").alias("total_rows"),

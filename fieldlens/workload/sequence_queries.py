@@ -137,6 +137,16 @@ def _(t):
     return S.observation_types(t.obs)
 
 
+@query(
+    "a1_list_valued_types",
+    """SELECT media_id, observation_type, count(*) AS n FROM (SELECT media_id, unnest([observation_type, tags]) AS observation_type
+       FROM obs) o GROUP BY media_id, observation_type""",
+)
+def _(t):
+    lists = t.obs.select("media_id", F.array("observation_type", "tags").alias("observation_type"))
+    return S.observation_types(S.one_type_per_row(lists))
+
+
 @query(
     "f8_classified_observations",
     "SELECT obs_id, observation_type FROM obs WHERE observation_type <> '' AND observation_type <> 'unclassified'",
