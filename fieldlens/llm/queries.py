@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlens.llm import exact_dedup, licences, sharding
+from fieldlens.llm import bpe, exact_dedup, licences, packing, quality_classifier, quality_rules, sharding
 from fieldlens.session import configure
 
 
@@ -19,6 +20,27 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(_documents(spark, sf_dir), licences.known_digests(spark))
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
@@ -29,8 +51,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
     "op8_sharding": op8_sharding,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 _EXACT_SQL = r"""
