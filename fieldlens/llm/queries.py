@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlens.llm import bpe, exact_dedup, licences, packing, quality_classifier, quality_rules, sharding
+from fieldlens.llm import bpe, exact_dedup, language_id, licences, packing, quality_classifier, quality_rules, sharding
 from fieldlens.session import configure
 
 
@@ -37,6 +37,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(_documents(spark, sf_dir))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
     "op9_quality_classifier": op9_quality_classifier,
 }
