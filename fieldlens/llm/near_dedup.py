@@ -33,9 +33,8 @@ RANGES = 128
 # 25 bands of 5: texts of similarity 0.85 share a bucket but for 1 in 2 million, of 0.80 for 1 in 20,000.
 BAND_RANGES = 5
 BANDS = RANGES // BAND_RANGES
-# Rounds of stars in whole buckets before buckets are split by neighbouring bands.
-WHOLE_ROUNDS = 3
-NEIGHBOURS = 3
+# Buckets are first single bands, then several bands at strides up to the second number.
+LEVELS = [(1, 1), (2, 4), (3, 6)]
 
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _PROBES = np.stack([np.random.default_rng(1000 + i).permutation(RANGES) for i in range(RANGES)])
@@ -175,23 +174,24 @@ def _stars(members: DataFrame) -> DataFrame:
     return members.join(open_, "key")
 
 
-def _split(members: DataFrame) -> DataFrame:
-    """Buckets of bands that are neighbours, for nodes with both in unfinished buckets."""
+def _split(members: DataFrame, depth: int, strides: int) -> DataFrame:
+    """Finer buckets: ``depth`` bands at equal strides, for nodes with all of them in unfinished buckets.
+
+    ``members``: node, band, key. There are BANDS x strides rows per node at most.
+    """
     bands = members.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("keys"))
-    # BANDS entries per node at most.
-    pairs = F.flatten(
-        F.transform(
-            F.map_keys("keys"),
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.lit(NEIGHBOURS)),
-                lambda d: F.struct(
-                    F.xxhash64(F.try_element_at(F.col("keys"), i), F.try_element_at(F.col("keys"), (i + d) % BANDS)).alias("key"),
-                    F.map_contains_key(F.col("keys"), (i + d) % BANDS).alias("both"),
-                ),
-            ),
-        )
+
+    def combined(first: Column, stride: Column) -> Column:
+        keys = [F.try_element_at(F.col("keys"), (first + stride * i) % BANDS) for i in range(depth)]
+        every = keys[0].isNotNull()
+        for key in keys[1:]:
+            every = every & key.isNotNull()
+        return F.when(every, F.xxhash64(F.lit(depth), first, stride, *keys))
+
+    names = F.flatten(
+        F.transform(F.map_keys("keys"), lambda i: F.transform(F.sequence(F.lit(1), F.lit(strides)), lambda d: combined(i, d)))
     )
-    return bands.select("node", F.inline(pairs)).where("both").select("key", "node")
+    return bands.select("node", F.explode(names).alias("key")).where("key is not null")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -221,37 +221,33 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     label = popularity.select("node", F.col("node").alias("label"))
     tested = None
     members = buckets.select("key", "band", "node", F.lit(False).alias("served"))
-    turn = 0
-    while True:
-        ranked = members.join(popularity, "node").join(label, "node")
-        stars = stored(_stars(ranked), "stars")
-        if turn == WHOLE_ROUNDS:
-            if stars.isEmpty():
-                break
-            split = _split(stars.select("node", "band", "key").distinct())
-            members = stored(split.select("key", F.lit(0).alias("band"), "node", F.lit(False).alias("served")), "split")
-            turn += 1
-            continue
-        spokes = stars.where("label <> hub_label").select("hub", "node").distinct()
-        if tested is not None:
-            spokes = spokes.join(tested, ["hub", "node"], "left_anti")
-        spokes = _alike(spokes, sizes, percent)
-        spokes = stored(spokes, "spokes")
-        if stars.isEmpty():
-            break
-        tested = spokes if tested is None else tested.unionAll(spokes)
-        hubs = texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text"))
-        pairs = spokes.join(texts, "node").join(hubs, "hub").select("hub", "node", "hub_text", F.col("text").alias("node_text"))
-        links = stored(confirmed(pairs, shingle_words, percent), "links")
-        # Links between nodes become links between the components they are in.
-        of_a, of_b = (label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-        joined = components(links.join(of_a, "a").join(of_b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
-        served = F.col("served") | (F.col("label") == F.col("hub_label"))
-        members = stars.select("key", "band", "node", served.alias("served"))
-        if joined is not None:
-            ups = joined.select(F.col("id").alias("label"), F.col("label").alias("up"))
-            label = stored(label.join(ups, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
-        turn += 1
+    next_level = {a[0]: b for a, b in zip(LEVELS, LEVELS[1:])}
+    for depth, _ in LEVELS:
+        found = True
+        while found:
+            stars = stored(_stars(members.join(popularity, "node").join(label, "node")), "stars")
+            spokes = stars.where("label <> hub_label").select("hub", "node").distinct()
+            if tested is not None:
+                spokes = spokes.join(tested, ["hub", "node"], "left_anti")
+            spokes = stored(_alike(spokes, sizes, percent), "spokes")
+            tested = spokes if tested is None else tested.unionAll(spokes)
+            hubs = texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text"))
+            pairs = spokes.join(texts, "node").join(hubs, "hub").select("hub", "node", "hub_text", F.col("text").alias("node_text"))
+            links = stored(confirmed(pairs, shingle_words, percent), "links")
+            # Links between nodes become links between the components they are in.
+            of_a, of_b = (label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+            joined = components(links.join(of_a, "a").join(of_b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+            served = F.col("served") | (F.col("label") == F.col("hub_label"))
+            members = stars.select("key", "band", "node", served.alias("served"))
+            found = joined is not None
+            if found:
+                ups = joined.select(F.col("id").alias("label"), F.col("label").alias("up"))
+                label = stored(label.join(ups, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+        if depth == 1:
+            whole = members
+        if depth != LEVELS[-1][0]:
+            finer = _split(whole.select("node", "band", "key").distinct(), *next_level[depth])
+            members = stored(finer.select("key", F.lit(0).alias("band"), "node", F.lit(False).alias("served")), "split")
 
     by_set = sets.join(label, "node", "left").select("high", "low", F.coalesce("label", "node").alias("label"))
     linked = known.join(stored(by_set, "set-labels"), ["high", "low"], "left")
