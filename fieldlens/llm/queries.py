@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlens.llm import bpe, exact_dedup, language_id, licences, near_dedup, packing, quality_classifier, quality_rules, sharding
+from fieldlens.llm import bpe, exact_dedup, language_id, language_model, licences, near_dedup, packing, quality_classifier, quality_rules, sharding
 from fieldlens.session import configure
 
 
@@ -57,6 +57,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(_documents(spark, sf_dir))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 _EXACT_SQL = r"""
