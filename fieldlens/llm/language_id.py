@@ -68,7 +68,7 @@ def features(bodies: list[bytes]) -> np.ndarray:
     """One row per text: square roots of the bucket counts, scaled to length 1; zero without letters."""
     parts = []
     for block in _blocks(bodies):
-        # Two zero bytes between texts, so that no text's counts depend on its neighbours.
+        # Two zero bytes after texts, so that no text's counts depend on its neighbours.
         joined = _GAP.join(b.translate(_LETTERS) for b in block) + _GAP
         lengths = np.array([len(b) + len(_GAP) for b in block])
         a = np.frombuffer(joined, np.uint8).astype(np.uint32)
@@ -76,11 +76,13 @@ def features(bodies: list[bytes]) -> np.ndarray:
         pairs = a[:-1] * np.uint32(256) + a[1:]
         triples = pairs[:-1] * np.uint32(256) + a[2:]
         half = np.uint32(BUCKETS // 2 - 1)
-        counts = np.zeros(len(block) * BUCKETS)
-        for grams, start in ((pairs, 0), (triples, BUCKETS // 2)):
+        counts = np.zeros((len(block) + 1) * BUCKETS)
+        last = np.cumsum(lengths) - 1
+        for grams, start, reach in ((pairs, 0, 1), (triples, BUCKETS // 2, 2)):
+            base[last - reach + 1] = len(block) * BUCKETS  # reaches into the next text: counted apart
             slots = base[: len(grams)] + ((grams * np.uint32(2654435761)) >> np.uint32(15) & half) + start
             counts += np.bincount(slots, minlength=len(counts))
-        parts.append(np.sqrt(counts.reshape(len(block), BUCKETS), dtype=np.float64).astype(np.float32))
+        parts.append(np.sqrt(counts.reshape(-1, BUCKETS)[:-1]).astype(np.float32))
     if not parts:
         return np.zeros((0, BUCKETS), np.float32)
     rows = np.concatenate(parts)
@@ -187,10 +189,11 @@ def learn(docs: DataFrame) -> Model | None:
 
     sample = labelled.where(chosen).select("lang", F.encode("text", "UTF-8").alias("text")).mapInArrow(task, "lang string, row binary")
     # The hash keeps about ROWS_PER_LANGUAGE rows each; the limit holds for tables that repeat an id.
-    found = sample.limit(len(sizes) * 2 * ROWS_PER_LANGUAGE).toPandas()
+    found = sample.limit(len(sizes) * 2 * ROWS_PER_LANGUAGE).toArrow()
     if not len(found):
         return None
-    return fit(np.stack([np.frombuffer(r, np.float32) for r in found["row"]]), found["lang"].to_numpy(object))
+    rows = np.stack([np.frombuffer(r.as_buffer(), np.float32) for r in found.column("row")])
+    return fit(rows, np.array(found.column("lang").to_pylist(), object))
 
 
 def _judge(model: Model | None, bodies: list[bytes]) -> tuple[list[str], np.ndarray]:

@@ -71,7 +71,7 @@ def fit_forest(
     """Grow a forest; without rows of both labels it gives every row the same score."""
     good = float(labels.mean()) if len(labels) else 0.5
     forest = Forest(base=float(np.log((good + 1e-3) / (1 - good + 1e-3))), depth=depth)
-    if not 0 < good < 1:
+    if not len(labels) or not 0 < good < 1:
         return forest.flat()
     cuts = [np.unique(np.quantile(column, np.arange(1, bins) / bins)) for column in rows.T]
     binned = np.column_stack([np.searchsorted(c, column) for c, column in zip(cuts, rows.T)])
@@ -123,8 +123,9 @@ def labelled_sample(counted: DataFrame, labels: DataFrame, label: str, rows: int
     """Features and labels of at most ``rows`` labelled rows, those of the smallest hashes."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("_label")).where("_label is not null and doc_id is not null")
     chosen = counted.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(rows)
-    found = chosen.select(*COUNTS, "_label").toPandas()
-    return features_of(found[list(COUNTS)].to_numpy()), found["_label"].to_numpy(float)
+    found = chosen.select(*COUNTS, "_label").toArrow()
+    counts = np.column_stack([found.column(c).to_numpy() for c in COUNTS])
+    return features_of(counts), found.column("_label").to_numpy().astype(float)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, keep_above: float = KEEP_ABOVE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
