@@ -105,16 +105,17 @@ def package_name(
 
 
 def package_fields(file_name: Column) -> dict[str, Column]:
-    """Deployment, part and suffix of a package file name; nulls when it has another form.
+    """Stamp, tail, part and suffix of a package file name; nulls when it has another form.
 
-    The deployment follows the fourth underscore, so the four leading fields hold none themselves.
+    Name, project and stamp hold no underscore; the tail is collection and deployment, which may both
+    hold some, so only the known collections tell them apart.
     """
-    form = r"^[^_]*_[^_]*_[^_]*_[^_]*_(.*)_part(.*?)(\.yaml|\.zip)$"
+    form = r"^[^_]*_[^_]*_([^_]*)_(.+)_part(.*?)(\.yaml|\.zip)$"
 
     def field(number: int) -> Column:
         return F.when(file_name.rlike(form), F.regexp_extract(file_name, form, number))
 
-    return {"deployment": field(1), "part": field(2), "suffix": field(3)}
+    return {"stamp": field(1), "tail": field(2), "part": field(3), "suffix": field(4)}
 
 
 def label_name(media_id: Column, deployment: Column, file_name: Column) -> Column:

@@ -98,26 +98,33 @@ def by_action(findings: DataFrame, action: str) -> DataFrame:
     return findings.where(F.col("action") == action)
 
 
-def merge(*parts: DataFrame, order: str = "ts") -> DataFrame:
-    """Union of reports without repeated entries.
+def merge(target: DataFrame, *incoming: DataFrame, run_id: str, order: str = "ts") -> DataFrame:
+    """Reports merged into one, which bears ``run_id``.
 
-    Entries are the same when all columns but ``order`` are: null equals null, and maps are compared by
-    their sorted entries. The earliest one by ``order`` stays. Partial aggregation removes most repeats
-    before the shuffle, however often one repeats.
+    All entries of ``target`` stay, equal ones too. Of the incoming entries those that it holds are
+    skipped, and of equal ones the earliest by ``order`` is taken. Entries are equal when all columns but
+    the run and ``order`` are: null equals null, and maps are compared by their sorted entries. Partial
+    aggregation removes most repeats before the shuffle, however often one repeats.
     """
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [target.limit(0), *incoming])
     maps = [f.name for f in stacked.schema if isinstance(f.dataType, T.MapType)]
-    keys = [c for c in stacked.columns if c != order]
-    comparable = stacked.withColumns({c: F.array_sort(F.map_entries(c)) for c in maps})
-    kept = comparable.groupBy(*keys).agg(F.min(order).alias(order))
-    return kept.withColumns({c: F.map_from_entries(c) for c in maps}).select(stacked.columns)
-
-
-def merged_span(*summaries: DataFrame) -> DataFrame:
-    """Start and end of merged reports: earliest start, latest end."""
+    keys = [c for c in stacked.columns if c not in (order, "run_id")]
+    entries = {c: F.array_sort(F.map_entries(c)) for c in maps}
+    fresh = stacked.withColumns(entries).groupBy(*keys).agg(F.min(order).alias(order))
+    whole = stacked.limit(0).unionByName(target, allowMissingColumns=True)
+    held = whole.withColumns(entries).select(*[F.col(c).alias(f"_held_{c}") for c in keys]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_held_{c}")) for c in keys])
+    added = fresh.join(held, same, "left_anti").withColumns({c: F.map_from_entries(c) for c in maps})
+    run = F.lit(run_id).alias("run_id")
+    columns = [run if c == "run_id" else F.col(c) for c in stacked.columns]
+    return whole.select(*columns).unionAll(added.select(*columns))
+
+
+def merged_span(*summaries: DataFrame, run_id: str) -> DataFrame:
+    """Start and end of the merged report: earliest start, latest end."""
     stacked = reduce(DataFrame.unionByName, summaries)
-    return stacked.groupBy("run_id").agg(
-        F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time")
+    return stacked.agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time")).select(
+        F.lit(run_id).alias("run_id"), "start_time", "end_time"
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.functions import dates, filters, parsing
-from fieldlens.plans.ordered import CHUNK_ROWS, ordered_rows
+from fieldlens.plans.ordered import ordered_rows
 from fieldlens.session import stored
 
 
@@ -111,15 +111,13 @@ def field_sheet(
 ) -> DataFrame:
     """Spans in order of their start with the end of the span before as ``new_start``.
 
-    The order is over all sites unless ``partition_by`` names columns. The order is global, so beyond
-    one task's size it is computed over range-partitioned chunks. Spans of many entries are stored
-    before they are counted, so the entries are aggregated once.
+    The order is over all sites unless ``partition_by`` names columns; give ``chunk_rows`` where the
+    spans may not fit one task. They are stored then, so the entries are aggregated once.
     """
     spans = session_spans(keyed)
-    entries = keyed.count()
-    if entries > (chunk_rows or CHUNK_ROWS):
+    if chunk_rows is not None:
         spans = stored(spans, "spans")
     order = ["started", "site", "session"]
-    rows = ordered_rows(spans, partition_by, order, bound=entries, chunk_rows=chunk_rows)
+    rows = ordered_rows(spans, partition_by, order, chunk_rows=chunk_rows)
     result = rows.extend(previous={"new_start": F.col("last_entry")}).result()
     return result.select("site", "session", "first_entry", "last_entry", "new_start")

@@ -224,16 +224,38 @@ def build_packages(
 # --- package files and transfer ---
 
 
-def package_pairs(listing: DataFrame, deployments: Iterable[str] | None = None) -> DataFrame:
-    """Parts for which both package files exist, from (file_name, bytes)."""
+def parsed_packages(listing: DataFrame, collections: DataFrame) -> DataFrame:
+    """Package files of known collections: file_name, bytes, collection, deployment, stamp, part, suffix.
+
+    Every beginning of the tail that ends before an underscore is looked up in ``collections``
+    (collection), and the longest one known wins, so names with underscores are told apart by a hash join.
+    """
     fields = naming.package_fields(F.col("file_name"))
-    parsed = listing.select("file_name", "bytes", *[v.alias(k) for k, v in fields.items()])
-    wanted = parsed.where(F.col("suffix").isNotNull()).where(filters.in_list(F.col("deployment"), deployments))
+    parsed = listing.select("file_name", "bytes", *[v.alias(k) for k, v in fields.items()]).where("suffix IS NOT NULL")
+    words = F.split("tail", "_")
+    beginnings = F.transform(
+        F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(F.slice(words, F.lit(1), n), "_")
+    )
+    several = parsed.where(F.size(words) > 1).withColumn("collection", F.explode(beginnings))
+    known = several.join(collections.select("collection").distinct(), "collection")
+    longest = known.groupBy("file_name", "bytes", "stamp", "tail", "part", "suffix").agg(
+        F.max_by("collection", F.length("collection")).alias("collection")
+    )
+    deployment = F.expr("substring(tail, length(collection) + 2)")
+    return longest.select("file_name", "bytes", "collection", deployment.alias("deployment"), "stamp", "part", "suffix")
+
+
+def package_pairs(listing: DataFrame, collections: DataFrame, deployments: Iterable[str] | None = None) -> DataFrame:
+    """Parts for which both package files exist, from (file_name, bytes) and the known collections.
+
+    Files belong together when collection, deployment, stamp and part are the same.
+    """
+    wanted = parsed_packages(listing, collections).where(filters.in_list(F.col("deployment"), deployments))
 
     def of(suffix: str, column: str) -> Column:
         return F.max(F.when(F.col("suffix") == suffix, F.col(column)))
 
-    pairs = wanted.groupBy("deployment", "part").agg(
+    pairs = wanted.groupBy("collection", "deployment", "stamp", "part").agg(
         of(".yaml", "file_name").alias("yaml_file"),
         of(".zip", "file_name").alias("zip_file"),
         (of(".yaml", "bytes") + of(".zip", "bytes")).alias("total_bytes"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,20 +83,21 @@ def metadata_record(
 def deployment_summary(recorded: DataFrame, *, convert_to_utc: bool = True) -> DataFrame:
     """The deployments table: first and last date and the camera of the first file.
 
-    recorded: (deployment_id, file_index, instant, wall, offset_seconds, camera). Files without a date
-    do not count. Minimum, maximum and first are partial aggregates: nothing is sorted.
+    recorded: (collection, deployment_id, file_index, instant, wall, offset_seconds, camera). One row per
+    collection and deployment, for equal names occur in several collections. Files without a date do not count. Minimum, maximum and first are partial aggregates: nothing is sorted.
     """
     moment = F.col("instant").cast("timestamp_ntz") if convert_to_utc else F.col("wall")
     offset = F.lit(0) if convert_to_utc else F.col("offset_seconds")
     stamped = recorded.where(F.col("instant").isNotNull()).select(
-        "deployment_id", "file_index", "instant", "camera", dates.stamp_text(moment, offset).alias("_text")
+        "collection", "deployment_id", "file_index", "instant", "camera", dates.stamp_text(moment, offset).alias("_text")
     )
     location = naming.location_of(F.col("deployment_id"))
-    return stamped.groupBy("deployment_id").agg(
+    return stamped.groupBy("collection", "deployment_id").agg(
         F.min_by("_text", F.struct("instant", "file_index")).alias("deploymentStart"),
         F.max_by("_text", F.struct("instant", "file_index")).alias("deploymentEnd"),
         F.min_by("camera", "file_index").alias("cameraModel"),
     ).select(
+        "collection",
         F.col("deployment_id").alias("deploymentID"),
         location.alias("locationID"),
         "deploymentStart",
@@ -105,9 +106,10 @@ def deployment_summary(recorded: DataFrame, *, convert_to_utc: bool = True) -> D
     )
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """New rows replace old rows with the same key; other old rows stay. Keys are unique in ``new``."""
-    kept = old.join(new.select(key), key, "left_anti")
+    key = [key] if isinstance(key, str) else list(key)
+    kept = old.join(new.select(*key), key, "left_anti")
     return new.unionByName(kept.select(new.columns))
 
 
@@ -129,7 +131,7 @@ def prepare_deployments(
     """Every media file with its archive name, dates and camera, and with ``tags`` its metadata record.
 
     Files without a readable date have no archive name; :func:`copy_errors` reports them. Deployments
-    in ``existing`` are skipped unless ``overwrite``.
+    in ``existing`` (collection, deployment_id) are skipped unless ``overwrite``.
     """
     wanted = metadata.where(
         filters.in_list(F.col("collection"), collections)
@@ -137,12 +139,13 @@ def prepare_deployments(
         & filters.in_list(naming.extension(F.col("rel_path")), extensions)
     )
     # The slug needs Python for non-ASCII names, so it is computed once per deployment.
-    names = wanted.select("deployment").distinct().withColumn(
+    keys = ["collection", "deployment"]
+    names = wanted.select(*keys).distinct().withColumn(
         "deployment_id", naming.slug(F.col("deployment"), ascii_input=ascii_names)
     )
     if existing is not None and not overwrite:
-        names = names.join(existing.select("deployment_id"), "deployment_id", "left_anti")
-    placed = numbered_files(wanted.join(names, "deployment"), sizes=wanted, chunk_rows=chunk_rows)
+        names = names.join(existing.select("collection", "deployment_id"), ["collection", "deployment_id"], "left_anti")
+    placed = numbered_files(wanted.join(names, keys), sizes=wanted, chunk_rows=chunk_rows)
     recorded = recorded_media(placed, zone, ignore_dst=ignore_dst)
     moment = F.col("instant").cast("timestamp_ntz") if convert_to_utc else F.col("wall")
     new_name = naming.archive_name(F.col("deployment_id"), moment, F.col("file_index"), F.col("rel_path"))
@@ -172,7 +175,7 @@ def preparation_findings(
     prepared: DataFrame, targets: DataFrame, existing: DataFrame, *, overwrite: bool = False
 ) -> DataFrame:
     """Skipped targets, files without date, and one success per deployment with an exported file."""
-    exported = prepared.groupBy("deployment_id").agg(F.count("instant").alias("_copied"))
+    exported = prepared.groupBy("collection", "deployment_id").agg(F.count("instant").alias("_copied"))
     done = emit(
         exported, [finding(F.col("_copied") > 0, F.col("deployment_id"), "deployment exported", "success")]
     )

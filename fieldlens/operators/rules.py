@@ -341,13 +341,16 @@ def check_deployments(
 
 
 def existing_targets(prepared: DataFrame, existing: DataFrame, *, overwrite: bool = False) -> DataFrame:
-    """Deployments whose target already holds files and must not be overwritten."""
+    """Deployments whose target already holds files and must not be overwritten.
+
+    Both tables hold (collection, deployment_id): a target lies in its collection's folder.
+    """
+    keys = ["collection", "deployment_id"]
+    blocked = prepared.select(keys).distinct()
     if overwrite:
-        blocked = prepared.select("deployment_id").where(F.lit(False))
+        blocked = blocked.where(F.lit(False))
     else:
-        blocked = prepared.select("deployment_id").distinct().join(
-            existing.select("deployment_id").distinct(), "deployment_id", "left_semi"
-        )
+        blocked = blocked.join(existing.select(keys).distinct(), keys, "left_semi")
     dep = F.col("deployment_id")
     message = F.concat(F.lit("Target '"), dep, F.lit("' already exists and overwrite is off."))
     return emit(blocked, [finding(F.lit(True), dep, "existing deployment", "error", message)])

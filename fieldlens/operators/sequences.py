@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,9 +90,7 @@ def number_sequences(rows: OrderedRows, max_interval: float) -> OrderedRows:
     gapped = rows.extend(previous={"_previous": F.col("ts")})
     opens = F.col("_previous").isNull() | (F.col("ts") > F.col("_previous") + _seconds(max_interval))
     numbered = gapped.extend(running={"seq_id": opens.cast("bigint")})
-    return OrderedRows(
-        numbered.rows.drop("_previous"), numbered.group, numbered.order, numbered.chunked
-    )
+    return replace(numbered, rows=numbered.rows.drop("_previous"))
 
 
 def gap_sequences(
@@ -109,7 +108,7 @@ def drop_middle_humans(rows: OrderedRows) -> OrderedRows:
     middle = (F.col("seq_id") > 1) & (F.col("seq_id") < F.col("_last_seq"))
     human = F.coalesce(F.array_contains("observations", "human"), F.lit(False))
     kept = with_last.where(~(middle & human))
-    return OrderedRows(kept.rows.drop("_last_seq"), kept.group, kept.order, kept.chunked)
+    return replace(kept, rows=kept.rows.drop("_last_seq"))
 
 
 def is_sampled(position: Column, length: Column, n: int) -> Column:

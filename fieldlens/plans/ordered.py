@@ -1,11 +1,12 @@
 """Ordered computations over groups that may not fit one task.
 
-Positions, previous values and running sums need a group's rows in order. With a plain window one
-task sorts one whole group, which is the best plan as long as every group is small: one shuffle by
-the group and one sort. When a group is larger than ``chunk_rows``, the rows are range-partitioned
-by (group, order) instead, so that a huge group spans many chunks, each chunk is handled by a window
-of its own, and what a chunk needs from the chunks before it (their row count, sums, last value) is
-carried over through a table with at most a few rows per chunk.
+Positions, previous values and running sums need a group's rows in order. Without ``chunk_rows`` each
+group is sorted in one task by a plain window: one shuffle and one sort, right where every group is known
+to fit a task. With ``chunk_rows`` the rows are range-partitioned by (group, order) and stored, so that a
+huge group spans many chunks; each chunk is handled by a window of its own, and what a chunk needs from
+the chunks before it (their row count, sums, last value) is carried over through a table with at most a
+few rows per chunk. Each further step reads what the step before has stored, so the plans do not grow.
+The caller chooses; nothing is counted to decide.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from pyspark.sql import functions as F
 
 from fieldlens.session import stored
 
-# Largest number of rows one task sorts in one window.
-CHUNK_ROWS = 1_000_000
 _CHUNK = "_chunk"
 
 
@@ -28,13 +27,15 @@ _CHUNK = "_chunk"
 class OrderedRows:
     """Rows with a grouping and a total order inside each group.
 
-    ``chunked`` tells whether the rows carry a chunk number that follows the order.
+    ``chunked`` tells whether the rows carry a chunk number that follows the order; ``extended`` whether
+    they have been extended since they were last stored.
     """
 
     rows: DataFrame
     group: tuple[str, ...]
     order: tuple[str, ...]
     chunked: bool
+    extended: bool = False
 
     def where(self, condition: Column) -> OrderedRows:
         return replace(self, rows=self.rows.where(condition))
@@ -76,6 +77,11 @@ class OrderedRows:
         # A struct tells "no earlier row" (null) from "earlier row with a null value".
         boxed = {n: F.when(c, F.struct(v.alias("v"))) for n, (v, c) in lookback.items()}
 
+        if self.chunked and self.extended:
+            return replace(self, rows=stored(self.rows, "ordered-step"), extended=False).extend(
+                position=position, total=total, running=running, previous=previous,
+                previous_where=previous_where, maximum=maximum,
+            )
         keys = self.split_keys
         whole = Window.partitionBy(*keys)
         ordered = whole.orderBy(*self.order)
@@ -123,6 +129,7 @@ class OrderedRows:
                 for n in boxed
             ],
         ).where("_chunks > 1")  # at most the first and last group of every chunk
+        carry = stored(carry, "carry")
         same = [rows[k].eqNullSafe(carry[f"_key_{k}"]) for k in keys]
         joined = rows.join(carry, same, "left")
         merged: dict[str, Column] = {}
@@ -139,7 +146,9 @@ class OrderedRows:
             merged[name] = F.coalesce(name, f"_last_{name}")["v"]
         kept = [c for c in rows.columns if c not in merged]
         return replace(
-            self, rows=joined.select(*[rows[c] for c in kept], *[v.alias(n) for n, v in merged.items()])
+            self,
+            rows=joined.select(*[rows[c] for c in kept], *[v.alias(n) for n, v in merged.items()]),
+            extended=True,
         )
 
 
@@ -149,27 +158,19 @@ def ordered_rows(
     order: Sequence[str],
     *,
     sizes: DataFrame | None = None,
-    bound: int | None = None,
     chunk_rows: int | None = None,
 ) -> OrderedRows:
     """Prepare rows for ordered computations.
 
-    ``order`` must be a total order inside a group (end it with a unique id). The sizes of the groups
-    are counted first, which needs the grouping columns only and combines before its shuffle; pass
-    ``sizes``, a table that holds at least the same rows per group, when counting ``df`` itself would
-    repeat an expensive step. It may lack some grouping columns: its groups are larger then, and an
-    upper bound all the same. A ``bound`` already known to hold for every group saves the count.
+    ``order`` must be a total order inside a group (end it with a unique id). ``chunk_rows`` is about how
+    many rows a chunk holds; without it each group stays whole. To know the number of chunks the rows are
+    counted: pass ``sizes``, a table with at least as many rows, when counting ``df`` itself would repeat
+    an expensive step.
     """
-    limit = chunk_rows or CHUNK_ROWS
-    if bound is not None and bound <= limit:
+    if chunk_rows is None:
         return OrderedRows(df, tuple(group), tuple(order), False)
-    counted = df if sizes is None else sizes
-    known = [c for c in group if c in counted.columns]
-    per_group = counted.groupBy(*known).agg(F.count(F.lit(1)).alias("n"))
-    largest, rows = per_group.agg(F.max("n"), F.sum("n")).first()
-    if (largest or 0) <= limit:
-        return OrderedRows(df, tuple(group), tuple(order), False)
-    ranged = df.repartitionByRange(ceil(rows / limit) + 1, *group, *order)
+    chunks = ceil((df if sizes is None else sizes).count() / chunk_rows) + 1
+    ranged = df.repartitionByRange(chunks, *group, *order)
     # Stored, because two reads of one range partitioning may sample different boundaries.
-    chunks = stored(ranged.withColumn(_CHUNK, F.spark_partition_id()), "ordered")
-    return OrderedRows(chunks, tuple(group), tuple(order), True)
+    stored_rows = stored(ranged.withColumn(_CHUNK, F.spark_partition_id()), "ordered")
+    return OrderedRows(stored_rows, tuple(group), tuple(order), True)

@@ -2,6 +2,7 @@
 
 from fieldlens.workload import (  # noqa: F401
     catalogue_queries,
+    chunked_queries,
     consensus_queries,
     finding_queries,
     form_queries,

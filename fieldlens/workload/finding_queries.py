@@ -65,31 +65,40 @@ def _(t):
 
 
 def _halves(t):
-    """Two overlapping reports of the same runs."""
-    return t.findings.where("status = 'error'"), t.findings.where("action <> 'view'")
+    """Two overlapping reports; the first one holds some entries twice."""
+    errors = t.findings.where("status = 'error'")
+    return errors.unionAll(errors.where("action = 'view'")), t.findings.where("action <> 'view' OR status = 'success'")
 
 
-_MERGED = """SELECT run_id, identifier, action, status, message, min(ts) AS ts FROM (SELECT * FROM findings WHERE status = 'error'
-    UNION ALL SELECT * FROM findings WHERE action <> 'view') u GROUP BY run_id, identifier, action, status, message"""
+_FIRST = """SELECT * FROM findings WHERE status = 'error' UNION ALL SELECT * FROM findings WHERE status = 'error' AND action = 'view'"""
+_MERGED = f"""SELECT 'merged' AS run_id, identifier, action, status, message, ts FROM ({_FIRST}) a
+    UNION ALL SELECT 'merged', identifier, action, status, message, min(ts) FROM findings i WHERE (action <> 'view' OR status = 'success')
+      AND NOT EXISTS (SELECT 1 FROM ({_FIRST}) h WHERE h.identifier = i.identifier AND h.action = i.action AND h.status = i.status
+        AND h.message IS NOT DISTINCT FROM i.message)
+    GROUP BY identifier, action, status, message"""
+
+
+def _merged(t):
+    return N.merge(*_halves(t), run_id="merged")
 
 
 @query("a16_report_merge", _MERGED)
 def _(t):
-    return N.merge(*_halves(t))
+    return _merged(t)
 
 
 @query(
     "a16_merged_span",
-    "SELECT run_id, min(ts) AS start_time, max(ts) AS end_time FROM findings WHERE status = 'error' OR action <> 'view' GROUP BY run_id",
+    "SELECT 'merged' AS run_id, min(ts) AS start_time, max(ts) AS end_time FROM findings WHERE status = 'error' OR action <> 'view' OR status = 'success'",
 )
 def _(t):
     spans = [N.summarise(part).select("run_id", "start_time", "end_time") for part in _halves(t)]
-    return N.merged_span(*spans)
+    return N.merged_span(*spans, run_id="merged")
 
 
-@query("u5_report_union", f"SELECT run_id, count(*) AS n_entries FROM ({_MERGED}) m GROUP BY run_id")
+@query("u5_report_union", f"SELECT identifier, count(*) AS n_entries FROM ({_MERGED}) m GROUP BY identifier")
 def _(t):
-    return N.merge(*_halves(t)).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_entries"))
+    return _merged(t).groupBy("identifier").agg(F.count(F.lit(1)).alias("n_entries"))
 
 
 @query("u6_identifier_union", "SELECT DISTINCT run_id, identifier FROM findings")
@@ -158,8 +167,7 @@ def _(t):
 
 @query("p12_findings_algebra", f"SELECT action, count(*) AS n_entries, count(DISTINCT identifier) AS n_identifiers FROM ({_MERGED}) m GROUP BY action")
 def _(t):
-    merged = N.merge(*_halves(t))
-    return merged.groupBy("action").agg(
+    return _merged(t).groupBy("action").agg(
         F.count(F.lit(1)).alias("n_entries"), F.count_distinct("identifier").alias("n_identifiers")
     )
 

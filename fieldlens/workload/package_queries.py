@@ -96,28 +96,68 @@ def _(t):
     return rows.result().select("collection", "deployment", "name", "place")
 
 
-_FORM = "'^[^_]*_[^_]*_[^_]*_[^_]*_(.*)_part(.*?)(\\.yaml|\\.zip)$'"
-SQL_VIEWS["parsed_packages"] = f"""SELECT file_name, bytes, regexp_extract(file_name, {_FORM}, 1) AS deployment,
-    regexp_extract(file_name, {_FORM}, 2) AS part, regexp_extract(file_name, {_FORM}, 3) AS suffix
-    FROM packages WHERE regexp_matches(file_name, {_FORM})"""
-SQL_VIEWS["pairs"] = """SELECT deployment, part, max(CASE WHEN suffix = '.yaml' THEN file_name END) AS yaml_file,
+_FORM = "'^[^_]*_[^_]*_([^_]*)_(R[0-9]+|R_[a-z]+)_(.*)_part(.*?)(\\.yaml|\\.zip)$'"
+_STAMPS = ("20240101000000", "20250101000000")
+# The listing of two runs of the packaging, with all its collections.
+SQL_VIEWS["built_packages"] = " UNION ALL ".join(
+    f"""SELECT 'package_7_{stamp}_' || collection || '_' || deployment || printf('_part%03d', part) || suffix AS file_name,
+      CAST(total AS bigint) AS bytes FROM (SELECT collection, deployment, part, sum(file_size) AS total FROM packed
+      GROUP BY collection, deployment, part) p, (VALUES ('.yaml'), ('.zip')) s(suffix)"""
+    for stamp in _STAMPS
+)
+
+
+def _parsed(view):
+    return f"""SELECT file_name, bytes, regexp_extract(file_name, {_FORM}, 1) AS stamp, regexp_extract(file_name, {_FORM}, 2) AS collection,
+    regexp_extract(file_name, {_FORM}, 3) AS deployment, regexp_extract(file_name, {_FORM}, 4) AS part,
+    regexp_extract(file_name, {_FORM}, 5) AS suffix FROM {view} WHERE regexp_matches(file_name, {_FORM})"""
+
+
+def _paired(view):
+    return f"""SELECT collection, deployment, stamp, part, max(CASE WHEN suffix = '.yaml' THEN file_name END) AS yaml_file,
       max(CASE WHEN suffix = '.zip' THEN file_name END) AS zip_file,
       max(CASE WHEN suffix = '.yaml' THEN bytes END) + max(CASE WHEN suffix = '.zip' THEN bytes END) AS total_bytes
-    FROM parsed_packages GROUP BY deployment, part"""
+    FROM ({_parsed(view)}) f GROUP BY collection, deployment, stamp, part HAVING yaml_file IS NOT NULL AND zip_file IS NOT NULL"""
+
+
+SQL_VIEWS["parsed_packages"] = _parsed("packages")
+SQL_VIEWS["pairs"] = _paired("packages")
+
+
+def _collections(t):
+    """Those of the packages, and shorter ones that their names begin with."""
+    return t.files.select("collection").unionAll(t.nation.selectExpr("CASE WHEN n_nationkey = 0 THEN 'R0001' ELSE 'R' END"))
+
+
+def _built(t):
+    """File names and sizes as two runs of the packaging leave them."""
+    runs = [
+        P.manifest_totals(P.build_packages(t.files, max_bytes=LIMIT, project_id=7, stamp=stamp)).withColumn(
+            "stem", P.package_stem("package", 7, stamp)
+        )
+        for stamp in _STAMPS
+    ]
+    suffixes = F.explode(F.array(F.lit(".yaml"), F.lit(".zip")))
+    both = runs[0].unionAll(runs[1]).select("stem", suffixes.alias("suffix"), "total_bytes")
+    return both.select(F.concat("stem", "suffix").alias("file_name"), F.col("total_bytes").alias("bytes"))
 
 
 @query(
     "t16_package_names",
-    """SELECT file_name, deployment, part, suffix, 'package_7_20240101000000_R0001_' || deployment || '_part' || part AS stem
+    """SELECT file_name, collection, deployment, part, suffix, 'package_7_20240101000000_' || collection || '_' || deployment || '_part' || part AS stem
        FROM parsed_packages""",
 )
 def _(t):
-    fields = naming.package_fields(F.col("file_name"))
-    parsed = t.packages.select("file_name", *[v.alias(k) for k, v in fields.items()]).where("suffix IS NOT NULL")
+    parsed = P.parsed_packages(t.packages, _collections(t))
     stem = naming.package_name(
-        F.lit("package"), F.lit(7), F.lit("20240101000000"), F.lit("R0001"), F.col("deployment"), F.col("part").cast("int")
+        F.lit("package"), F.lit(7), F.lit("20240101000000"), F.col("collection"), F.col("deployment"), F.col("part").cast("int")
     )
-    return parsed.withColumn("stem", stem)
+    return parsed.select("file_name", "collection", "deployment", "part", "suffix", stem.alias("stem"))
+
+
+@query("t16_built_names", f"SELECT file_name, collection, deployment, stamp, part, suffix FROM ({_parsed('built_packages')}) p")
+def _(t):
+    return P.parsed_packages(_built(t), _collections(t)).drop("bytes")
 
 
 @query(
@@ -132,10 +172,15 @@ def _(t):
 
 @query(
     "j9_package_pairs",
-    "SELECT deployment, part, yaml_file, zip_file, total_bytes FROM pairs WHERE yaml_file IS NOT NULL AND zip_file IS NOT NULL",
+    "SELECT * FROM pairs",
 )
 def _(t):
-    return P.package_pairs(t.packages)
+    return P.package_pairs(t.packages, _collections(t))
+
+
+@query("j9_built_pairs", f"SELECT * FROM ({_paired('built_packages')}) p")
+def _(t):
+    return P.package_pairs(_built(t), _collections(t))
 
 
 @query(
@@ -180,12 +225,19 @@ def _(t):
 
 @query(
     "p5_transfer_plan",
-    """SELECT deployment, part, yaml_file, zip_file, total_bytes, i AS chunk_index, least(1000, total_bytes - i * 1000) AS chunk_len
-       FROM (SELECT *, unnest(range(CAST(ceil(total_bytes / 1000) AS bigint))) AS i FROM pairs
-         WHERE yaml_file IS NOT NULL AND zip_file IS NOT NULL) c""",
+    """SELECT collection, deployment, stamp, part, yaml_file, zip_file, total_bytes, i AS chunk_index, least(1000, total_bytes - i * 1000) AS chunk_len
+       FROM (SELECT *, unnest(range(CAST(ceil(total_bytes / 1000) AS bigint))) AS i FROM pairs) c""",
 )
 def _(t):
-    pairs = P.package_pairs(t.packages).withColumn("size", F.col("total_bytes"))
-    return P.chunk_plan(pairs, 1000).select(
-        "deployment", "part", "yaml_file", "zip_file", "total_bytes", "chunk_index", "chunk_len"
-    )
+    pairs = P.package_pairs(t.packages, _collections(t)).withColumn("size", F.col("total_bytes"))
+    return P.chunk_plan(pairs, 1000).drop("size", "offset")
+
+
+@query(
+    "p5_built_transfer",
+    f"""SELECT yaml_file, i AS chunk_index, least(10000, total_bytes - i * 10000) AS chunk_len
+       FROM (SELECT *, unnest(range(CAST(ceil(total_bytes / 10000) AS bigint))) AS i FROM ({_paired('built_packages')}) p) c""",
+)
+def _(t):
+    pairs = P.package_pairs(_built(t), _collections(t)).withColumn("size", F.col("total_bytes"))
+    return P.chunk_plan(pairs, 10_000).select("yaml_file", "chunk_index", "chunk_len")

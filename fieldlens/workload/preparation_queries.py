@@ -26,16 +26,16 @@ _CAMERA = """CASE WHEN starts_with(lower(trim(coalesce(model, '(unknown)'))), lo
     THEN lower(trim(coalesce(model, '(unknown)')))
     ELSE lower(trim(coalesce(make, '(unknown)'))) || ' ' || lower(trim(coalesce(model, '(unknown)'))) END"""
 SQL_VIEWS["placed_files"] = f"""SELECT *, lower(deployment) AS deployment_id, {_CAMERA} AS camera,
-    row_number() OVER (PARTITION BY deployment ORDER BY media_id) AS file_index
+    row_number() OVER (PARTITION BY collection, deployment ORDER BY media_id) AS file_index
     FROM instants WHERE rel_path NOT LIKE '%.txt'"""
 SQL_VIEWS["archive_files"] = """SELECT *, upper(deployment_id || '__' || strftime(instant_standard, '%Y%m%d') || '_' || CAST(file_index AS varchar)
       || CASE lower(regexp_extract(rel_path, '\\.[^.]+$')) WHEN '.jpg' THEN '.jpeg' ELSE lower(regexp_extract(rel_path, '\\.[^.]+$')) END) AS archive_name
     FROM placed_files"""
-SQL_VIEWS["summaries"] = """SELECT deployment_id AS "deploymentID", regexp_extract(deployment_id, '^[^-]*-(.*)$', 1) AS "locationID",
+SQL_VIEWS["summaries"] = """SELECT collection, deployment_id AS "deploymentID", regexp_extract(deployment_id, '^[^-]*-(.*)$', 1) AS "locationID",
       strftime(min(instant_standard), '%Y-%m-%dT%H:%M:%S+0000') AS "deploymentStart",
       strftime(max(instant_standard), '%Y-%m-%dT%H:%M:%S+0000') AS "deploymentEnd",
       arg_min(camera, file_index) FILTER (instant_standard IS NOT NULL) AS "cameraModel"
-    FROM placed_files GROUP BY deployment_id HAVING count(instant_standard) > 0"""
+    FROM placed_files GROUP BY collection, deployment_id HAVING count(instant_standard) > 0"""
 
 
 def _prepared(t, **options):
@@ -219,27 +219,28 @@ def _(t):
     return _prepared(t).groupBy("deployment_id").agg(F.count("instant").alias("copied"))
 
 
-SQL_VIEWS["old_summaries"] = """SELECT lower(printf('R%04d-LOC_%03d', s_suppkey % 5 + 1, s_suppkey)) AS "deploymentID", 'old' AS "locationID",
+SQL_VIEWS["old_summaries"] = """SELECT printf('R%04d', s_suppkey % 5 + 1) AS collection, lower(printf('R%04d-LOC_%03d', s_suppkey % 5 + 1, s_suppkey)) AS "deploymentID", 'old' AS "locationID",
     'old' AS "deploymentStart", 'old' AS "deploymentEnd", s_name AS "cameraModel" FROM supplier
-    UNION ALL SELECT 'kept-' || n_name, 'old', 'old', 'old', 'none' FROM nation"""
+    UNION ALL SELECT 'R0001', 'kept-' || n_name, 'old', 'old', 'old', 'none' FROM nation"""
 
 
 def _old_summaries(t):
     first = t.supplier.selectExpr(
+        "printf('R%04d', s_suppkey % 5 + 1) AS collection",
         "lower(printf('R%04d-LOC_%03d', s_suppkey % 5 + 1, s_suppkey)) AS deploymentID", "'old' AS locationID",
         "'old' AS deploymentStart", "'old' AS deploymentEnd", "s_name AS cameraModel",
     )
-    more = t.nation.selectExpr("'kept-' || n_name AS deploymentID", "'old'", "'old'", "'old'", "'none'")
+    more = t.nation.selectExpr("'R0001'", "'kept-' || n_name AS deploymentID", "'old'", "'old'", "'old'", "'none'")
     return first.union(more)
 
 
 @query(
     "j5_summary_upsert",
     """SELECT * FROM summaries UNION ALL SELECT * FROM old_summaries
-       WHERE "deploymentID" NOT IN (SELECT "deploymentID" FROM summaries)""",
+       WHERE (collection, "deploymentID") NOT IN (SELECT (collection, "deploymentID") FROM summaries)""",
 )
 def _(t):
-    return P.upsert(_old_summaries(t), P.deployment_summary(_prepared(t)), "deploymentID")
+    return P.upsert(_old_summaries(t), P.deployment_summary(_prepared(t)), ["collection", "deploymentID"])
 
 
 @query("p3_prepare_deployments", "SELECT collection, deployment_id, file_index, archive_name, camera, instant_standard AS taken FROM archive_files")
@@ -253,18 +254,42 @@ def _(t):
     return P.deployment_summary(_prepared(t))
 
 
+def _two_collections(t):
+    """The media once more under other collections, so every deployment name occurs in two."""
+    return t.meta.unionByName(t.meta.withColumn("collection", F.concat(F.lit("S"), "collection")))
+
+
+@query(
+    "p3_equal_names_in_collections",
+    """SELECT * FROM summaries UNION ALL SELECT 'S' || collection, COLUMNS(* EXCLUDE (collection)) FROM summaries""",
+)
+def _(t):
+    return P.deployment_summary(P.prepare_deployments(_two_collections(t), zone=ZONE, ignore_dst=True, ascii_names=True))
+
+
+@query(
+    "j5_upsert_in_collections",
+    """SELECT * FROM old_summaries WHERE (collection, "deploymentID") NOT IN (SELECT ('S' || collection, "deploymentID") FROM summaries)
+       UNION ALL SELECT 'S' || collection, COLUMNS(* EXCLUDE (collection)) FROM summaries""",
+)
+def _(t):
+    new = P.deployment_summary(_prepared(t)).withColumn("collection", F.concat(F.lit("S"), "collection"))
+    return P.upsert(_old_summaries(t), new, ["collection", "deploymentID"])
+
+
 @query(
     "p3_preparation_findings",
-    """WITH blocked AS (SELECT DISTINCT lower(deployment) AS d FROM meta WHERE lower(deployment) IN (SELECT "deploymentID" FROM old_summaries)),
-       done AS (SELECT * FROM placed_files WHERE deployment_id NOT IN (SELECT d FROM blocked))
+    """WITH blocked AS (SELECT DISTINCT collection, lower(deployment) AS d FROM meta
+         WHERE (collection, lower(deployment)) IN (SELECT (collection, "deploymentID") FROM old_summaries)),
+       done AS (SELECT * FROM placed_files WHERE (collection, deployment_id) NOT IN (SELECT (collection, d) FROM blocked))
        SELECT d AS identifier, 'existing deployment' AS action, 'error' AS status,
          'Target ''' || d || ''' already exists and overwrite is off.' AS message FROM blocked
        UNION ALL SELECT deployment_id, 'copy error', 'error', rel_path || ': no valid date found in metadata' FROM done WHERE instant_standard IS NULL
-       UNION ALL SELECT deployment_id, 'deployment exported', 'success', NULL FROM done GROUP BY deployment_id HAVING count(instant_standard) > 0""",
+       UNION ALL SELECT deployment_id, 'deployment exported', 'success', NULL FROM done GROUP BY collection, deployment_id HAVING count(instant_standard) > 0""",
 )
 def _(t):
-    existing = _old_summaries(t).selectExpr("deploymentID AS deployment_id")
-    targets = t.meta.select(F.lower("deployment").alias("deployment_id"))
+    existing = _old_summaries(t).selectExpr("collection", "deploymentID AS deployment_id")
+    targets = t.meta.select("collection", F.lower("deployment").alias("deployment_id"))
     return P.preparation_findings(_prepared(t, existing=existing), targets, existing)
 
 

@@ -320,12 +320,12 @@ def _(t):
     "v17_existing_targets",
     """SELECT d AS identifier, 'existing deployment' AS action, 'error' AS status,
          'Target ''' || d || ''' already exists and overwrite is off.' AS message
-       FROM (SELECT DISTINCT lower(deployment) AS d FROM media) m
-       WHERE d IN (SELECT lower(Deployment) FROM field_log)""",
+       FROM (SELECT DISTINCT collection, lower(deployment) AS d FROM media) m
+       WHERE (collection, d) IN (SELECT (collection, lower(Deployment)) FROM field_log)""",
 )
 def _(t):
-    targets = t.media.select(F.lower("deployment").alias("deployment_id"))
-    existing = t.field_log.select(F.lower("Deployment").alias("deployment_id"))
+    targets = t.media.select("collection", F.lower("deployment").alias("deployment_id"))
+    existing = t.field_log.select("collection", F.lower("Deployment").alias("deployment_id"))
     return R.existing_targets(targets, existing)
 
 

@@ -78,14 +78,12 @@ def _(t):
 
 @query(
     "s8_deployments_file",
-    """SELECT a.collection, s.* FROM summaries s JOIN (SELECT DISTINCT collection, deployment_id FROM placed_files) a
-       ON a.deployment_id = s."deploymentID" """,
+    "SELECT * FROM summaries",
 )
 def _(t):
     summary = P.deployment_summary(_prepared(t))
-    placed = summary.withColumn("collection", F.upper(F.substring_index("deploymentID", "-", 1)))
     path = scratch_path(t.spark, "deployments")
-    sinks.write_deployments(placed, path)
+    sinks.write_deployments(summary, path)
     columns = "deploymentID string, locationID string, deploymentStart string, deploymentEnd string, cameraModel string, collection string"
     return t.spark.read.schema(columns).option("header", "true").csv(path)
 

@@ -124,8 +124,8 @@ def test_archive_name(spark):
 def test_package_names(spark):
     fields = naming.package_fields(lit("package_123_20251215002603_R0001_r0001-loc_0001_part001.yaml"))
     row = spark.range(1).select(*[v.alias(k) for k, v in fields.items()]).first()
-    assert tuple(row) == ("r0001-loc_0001", "001", ".yaml")
-    assert value(spark, naming.package_fields(lit("package_part1.zip"))["deployment"]) is None
+    assert tuple(row) == ("20251215002603", "R0001_r0001-loc_0001", "001", ".yaml")
+    assert value(spark, naming.package_fields(lit("package_part1.zip"))["tail"]) is None
 
 
 def test_revision_code(spark):

@@ -310,11 +310,11 @@ def test_insert_if_absent_ignores_case(spark):
 
 def test_summary_takes_the_first_dated_file(spark):
     rows = spark.createDataFrame(
-        [("r1-loc-a", 1, None, None, None, "x"), ("r1-loc-a", 2, hour(5), hour(6), 3600, "cam 2"), ("r1-loc-a", 3, hour(4), hour(5), 3600, "cam 3")],
-        "deployment_id string, file_index bigint, instant timestamp, wall timestamp_ntz, offset_seconds bigint, camera string",
+        [("c", "r1-loc-a", 1, None, None, None, "x"), ("c", "r1-loc-a", 2, hour(5), hour(6), 3600, "cam 2"), ("c", "r1-loc-a", 3, hour(4), hour(5), 3600, "cam 3")],
+        "collection string, deployment_id string, file_index bigint, instant timestamp, wall timestamp_ntz, offset_seconds bigint, camera string",
     )
     got = preparation.deployment_summary(rows, convert_to_utc=False).first()
-    assert tuple(got) == ("r1-loc-a", "loc-a", "2024-09-04T05:00:00+0100", "2024-09-04T06:00:00+0100", "cam 2")
+    assert tuple(got) == ("c", "r1-loc-a", "loc-a", "2024-09-04T05:00:00+0100", "2024-09-04T06:00:00+0100", "cam 2")
 
 
 def finding_rows(spark, *values):
@@ -334,16 +334,17 @@ def test_report_status(spark, statuses, expected):
     assert findings.summarise(rows, runs).first()["status"] == expected
 
 
-def test_merge_drops_equal_entries(spark):
+def test_merge_skips_entries_already_held(spark):
     from fieldlens.schema import FINDINGS
 
     late = DAY + timedelta(days=1)
-    one = [("1", "i", "a", "error", None, {"x": "1", "y": "2"}, late), ("1", "i", "b", "error", "m", {}, DAY)]
-    two = [("1", "i", "a", "error", None, {"y": "2", "x": "1"}, DAY), ("1", "i", "a", "error", None, {"x": "2"}, DAY)]
-    merged = findings.merge(spark.createDataFrame(one, FINDINGS), spark.createDataFrame(two, FINDINGS))
+    one = [("1", "i", "a", "error", None, {"x": "1", "y": "2"}, late), ("1", "i", "b", "error", "m", {}, DAY), ("1", "i", "b", "error", "m", {}, late)]
+    two = [("2", "i", "a", "error", None, {"y": "2", "x": "1"}, DAY), ("2", "i", "a", "error", None, {"x": "2"}, late), ("3", "i", "a", "error", None, {"x": "2"}, DAY)]
+    merged = findings.merge(spark.createDataFrame(one, FINDINGS), spark.createDataFrame(two, FINDINGS), run_id="1")
     assert merged.columns == [f.name for f in FINDINGS]
-    got = sorted((r["action"], sorted(r["extra"].items()), r["ts"]) for r in merged.collect())
-    assert got == [("a", [("x", "1"), ("y", "2")], DAY), ("a", [("x", "2")], DAY), ("b", [], DAY)]
+    got = sorted((r["run_id"], r["action"], sorted(r["extra"].items()), r["ts"]) for r in merged.collect())
+    # Repeats of the first report stay, equal incoming entries come once, and all belong to one run.
+    assert got == [("1", "a", [("x", "1"), ("y", "2")], late), ("1", "a", [("x", "2")], DAY), ("1", "b", [], DAY), ("1", "b", [], late)]
 
 
 def test_findings_schema(spark):
@@ -378,8 +379,23 @@ def test_package_pairs_need_both_files(spark):
     listing = spark.createDataFrame(
         [(names[0] + ".yaml", 1), (names[0] + ".zip", 5), (names[1] + ".zip", 5), ("x.yaml", 1)], "file_name string, bytes bigint"
     )
-    assert listed(packaging.package_pairs(listing), "deployment", "part", "total_bytes") == [("r0001-a", "001", 6)]
-    assert packaging.package_pairs(listing, ["other"]).collect() == []
+    known = spark.createDataFrame([("R0001",), ("R",)], "collection string")
+    assert listed(packaging.package_pairs(listing, known), "deployment", "part", "total_bytes") == [("r0001-a", "001", 6)]
+    assert packaging.package_pairs(listing, known, ["other"]).collect() == []
+
+
+def test_package_names_with_underscores(spark):
+    names = [
+        "package_7_20240101000000_R0001_x_r0001-a_1_part001.yaml", "package_7_20240101000000_R0001_x_r0001-a_1_part001.zip",
+        "package_7_20250101000000_R0001_x_r0001-a_1_part001.zip", "package_7_20240101000000_R0001_r0001-a_1_part001.zip",
+        "package_7_20240101000000_R0009_r0009-a_part001.zip",
+    ]
+    listing = spark.createDataFrame([(n, 1) for n in names], "file_name string, bytes bigint")
+    known = spark.createDataFrame([("R0001",), ("R0001_x",)], "collection string")
+    parsed = listed(packaging.parsed_packages(listing, known), "file_name", "collection", "deployment")
+    assert parsed == sorted([(n, "R0001_x", "r0001-a_1") for n in names[:3]] + [(names[3], "R0001", "r0001-a_1")])
+    # Neither another stamp nor another collection completes a pair.
+    assert listed(packaging.package_pairs(listing, known), "collection", "stamp", "yaml_file") == [("R0001_x", "20240101000000", names[0])]
 
 
 def test_chunks_and_ledger(spark):

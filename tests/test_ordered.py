@@ -29,11 +29,11 @@ def skewed():
 SCHEMA = "g string, ts timestamp_ntz, id bigint, value int, skip boolean"
 
 
-@pytest.mark.parametrize("chunk_rows", [10_000, 25, 3])
+@pytest.mark.parametrize("chunk_rows", [None, 10_000, 25, 3])
 def test_all_columns(spark, skewed, chunk_rows):
     df = spark.createDataFrame(skewed, SCHEMA)
     result = ordered_rows(df, ["g"], ["ts", "id"], chunk_rows=chunk_rows)
-    assert result.chunked == (chunk_rows < 1000)
+    assert result.chunked == (chunk_rows is not None)
     result = result.extend(
         position="position",
         total="total",
