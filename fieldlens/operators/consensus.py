@@ -343,6 +343,8 @@ def decisions_by_user_rule(
     def whole_subjects(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for frame in frames:
+            if frame.empty:
+                continue
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
             last = frame.iloc[-1]
             # The rows of the last subject stay for the next frame, which may hold more of them.

@@ -183,7 +183,11 @@ def log_faults(log: DataFrame) -> DataFrame:
 
 def check_log_rows(log: DataFrame) -> DataFrame:
     """One finding per faulty log row, identified by collection and row number."""
-    broken = log_faults(log).where(F.col("fault").isNotNull())
+    return _fault_findings(log_faults(log))
+
+
+def _fault_findings(faults: DataFrame) -> DataFrame:
+    broken = faults.where(F.col("fault").isNotNull())
     who = _id(_c(), F.col("row_number").cast("string"))
     return broken.select(
         "collection",
@@ -204,11 +208,11 @@ def first_log_fault(log: DataFrame) -> DataFrame:
 
 
 def valid_log(log: DataFrame) -> DataFrame:
-    return (
-        log_faults(log)
-        .where(F.col("fault").isNull())
-        .select("collection", "deployment", "expected_start", "expected_end")
-    )
+    return _without_fault(log_faults(log))
+
+
+def _without_fault(faults: DataFrame) -> DataFrame:
+    return faults.where(F.col("fault").isNull()).select("collection", "deployment", "expected_start", "expected_end")
 
 
 def collections_without_log(collections: DataFrame, logs: DataFrame) -> DataFrame:
@@ -314,15 +318,19 @@ def check_deployments(
     """All findings of the field log, the folders it names and the dates of their media.
 
     deployments: (collection, deployment), one row per folder; log: raw log rows with collection and
-    row_number; media: (collection, deployment, rel_path, taken, error).
+    row_number; media: (collection, deployment, rel_path, taken, error). Log and folders are read and
+    judged once and stored as narrow tables, which all findings are taken from.
     """
     wanted = filters.in_list(_c(), collections)
     deployments, log, media = deployments.where(wanted), log.where(wanted), media.where(wanted)
     named = filters.in_list(_d(), only)
-    logged = valid_log(log).where(named)
     keys, columns = ["collection", "deployment"], ["identifier", "action", "status", "message"]
-    no_log = collections_without_log(deployments, log)
-    bad_rows = check_log_rows(log)
+    faults = log_faults(log).select(*keys, "row_number", "expected_start", "expected_end", "fault")
+    faults = stored(faults, "log-faults")
+    deployments = stored(deployments.select(keys).distinct(), "folders")
+    logged = _without_fault(faults).where(named)
+    no_log = collections_without_log(deployments, faults)
+    bad_rows = _fault_findings(faults)
     missing = logged_without_folder(logged, deployments)
     dated = media_findings(
         media.where(named), logged, tolerance_hours=tolerance_hours, extensions=extensions, chunk_rows=chunk_rows

@@ -27,19 +27,23 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+_STORED: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in local
-    tests, a temporary folder is made once per session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, and driver and executors
+    are one process, as in local tests, a temporary folder is made once per application.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="fieldlens-")
-        context.setCheckpointDir(folder)
+        folder = _LOCAL_FOLDERS.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="fieldlens-")
+        _LOCAL_FOLDERS[context.applicationId] = folder
     return folder.rstrip("/")
 
 
@@ -55,4 +59,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this process has stored; call it when the results are written.
+
+    Results that still read them fail afterwards. Returns how many were deleted.
+    """
+    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    count = 0
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        count += bool(path.getFileSystem(settings).delete(path, True))
+    return count

@@ -80,5 +80,6 @@ def write_manifests(manifests: DataFrame, path: str) -> None:
 
 
 def write_findings(findings: DataFrame, path: str) -> None:
-    """Append findings to the report store, foldered by run."""
-    findings.write.mode("append").partitionBy("run_id").parquet(path)
+    """Write findings to the report store, foldered by run. A run written again replaces itself."""
+    writer = findings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id").parquet(path)

@@ -12,6 +12,11 @@ from pyspark.sql.streaming import StreamingQuery
 from fieldlens.operators import packaging, progress, rules
 
 
+# Ledgers are foldered by a hash of the first key, so a batch reads only the folders of its own keys.
+BUCKET = "bucket"
+BUCKETS = 64
+
+
 def live_sequences(media: DataFrame, max_interval: int = 90, late_by: str = "1 hour") -> DataFrame:
     """Sequences of a media stream: start, end and number of images per deployment.
 
@@ -26,6 +31,21 @@ def live_sequences(media: DataFrame, max_interval: int = 90, late_by: str = "1 h
     ).drop("_gap")
 
 
+def open_sequences(media: DataFrame, emitted: DataFrame, max_interval: int = 90) -> DataFrame:
+    """The sequences a finished stream has left open: batch work on the images after the emitted ones.
+
+    ``emitted`` is what :func:`live_sequences` has written (deployment_id, ended). Sequences of a
+    deployment are emitted in order, so its later images are those of the open ones.
+    """
+    last = emitted.groupBy("deployment_id").agg(F.max("ended").alias("_last"))
+    timed = media.where(F.col("ts").isNotNull()).withColumn("ts", F.col("ts").cast("timestamp"))
+    rest = timed.join(last, "deployment_id", "left").where("_last IS NULL OR ts > _last")
+    gap = F.session_window("ts", f"{max_interval} seconds")
+    return rest.groupBy("deployment_id", gap.alias("_gap")).agg(
+        F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("n_images")
+    ).drop("_gap")
+
+
 def live_progress(events: DataFrame) -> DataFrame:
     """Running progress per collection and deployment, for update mode."""
     return progress.roll_up(events)
@@ -41,14 +61,21 @@ def run_each(
 
 def _write_batch(df: DataFrame, target: str, batch_id: int) -> None:
     """Write a micro-batch to a folder of its own, so a replayed batch replaces itself."""
-    df.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+    _written(df).parquet(f"{target}/batch={batch_id}")
+
+
+def _written(df: DataFrame):
+    writer = df.write.mode("overwrite")
+    return writer.partitionBy(BUCKET) if BUCKET in df.columns else writer
 
 
 def written_batches(spark: SparkSession, target: str, columns: str) -> DataFrame | None:
     """What earlier micro-batches wrote, with their ``batch`` number; None before the first."""
     try:
         return spark.read.schema(columns).parquet(target)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -73,15 +100,18 @@ def incremental_ledger(
 ) -> StreamingQuery:
     """Write work the ledger does not hold yet, once, also when a batch is replayed.
 
-    ``read_ledger`` returns the batches written so far, or None. A replayed batch ignores its own
-    earlier output, which it replaces.
+    ``read_ledger`` returns the batches written so far with ``bucket`` and ``batch``, or None. Only the
+    buckets of the batch are read. A replayed batch ignores its own earlier output, which it replaces.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(list(keys))
+        bucket = F.pmod(F.xxhash64(keys[0]), F.lit(BUCKETS)).cast("int")
+        fresh = batch.dropDuplicates(list(keys)).withColumn(BUCKET, bucket)
         held = read_ledger()
         if held is not None:
-            fresh = packaging.pending(fresh, held.where(F.col("batch") != batch_id), keys)
+            own = [row[0] for row in fresh.select(BUCKET).distinct().collect()]  # BUCKETS numbers at most
+            mine = held.where(F.col(BUCKET).isin(own) & (F.col("batch") != batch_id))
+            fresh = packaging.pending(fresh, mine, keys)
         _write_batch(fresh, ledger_path, batch_id)
 
     return run_each(work, handle, checkpoint, **trigger)

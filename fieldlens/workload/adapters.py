@@ -359,13 +359,15 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """A given table, its rows spread over the cores when its files have fewer splits than that.
+        """A given table; one that is a single split, as the local test tables are, is dealt out.
 
-        The local test tables are single-split files, so one task would build all the text cells of a
-        view. A large input has plenty of splits and is read as it is.
+        Else one task would build all the text cells of a view. A table of several splits is read as it
+        is, so what is shuffled here is never more than one split.
         """
-        rows, cores = self.table(name), self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+        rows = self.table(name)
+        if rows.rdd.getNumPartitions() > 1:
+            return rows
+        return rows.repartition(self.spark.sparkContext.defaultParallelism)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:

@@ -278,14 +278,26 @@ def _(t):
     return t.id_cells.select("cell_id", F.explode(parsing.subject_ids(F.col("text"), legacy=True)).alias("sid"))
 
 
+def task_values(parsed):
+    """Type of the values of one task."""
+    return parsed.schema["a"].dataType.elementType["value"].dataType
+
+
 @query(
     "t11_tolerant_annotations",
-    "SELECT classification_id, 1 AS n_tasks, CAST(k AS int) AS n_values FROM classified",
+    """SELECT c.classification_id, 1 AS n_tasks, CAST(any_value(c.k) AS int) AS n_values,
+         coalesce(string_agg(h.choice || ':' || coalesce(h.howmany, '-'), ',' ORDER BY h.i), '') AS answers
+       FROM classified c LEFT JOIN chosen h ON h.classification_id = c.classification_id GROUP BY c.classification_id""",
 )
 def _(t):
-    parsed = parsing.annotations(F.col("annotations"))
-    return t.export.select("classification_id", parsed.alias("a")).select(
-        "classification_id", F.size("a").alias("n_tasks"), F.size(F.col("a")[0]["value"]).alias("n_values")
+    parsed = t.export.select("classification_id", parsing.annotations(F.col("annotations")).alias("a"))
+    values = F.flatten(F.transform("a", lambda task: F.coalesce(task["value"], F.array().cast(task_values(parsed)))))
+    answer = F.transform(
+        "values",
+        lambda v: F.concat(v["choice"], F.lit(":"), F.coalesce(F.try_element_at(v["answers"], F.lit("HOWMANY")), F.lit("-"))),
+    )
+    return parsed.select("classification_id", F.size("a").alias("n_tasks"), values.alias("values")).select(
+        "classification_id", "n_tasks", F.size("values").alias("n_values"), F.array_join(answer, ",").alias("answers")
     )
 
 
@@ -330,13 +342,13 @@ def _(t):
 
 @query(
     "t29_whole_numbers",
-    """SELECT classification_id, coalesce(CASE WHEN regexp_full_match(howmany, '[0-9]+') THEN CAST(howmany AS bigint) END, -1) AS n
-       FROM chosen WHERE i = 0""",
+    """SELECT classification_id, CAST(i AS int) AS pos, coalesce(CASE WHEN regexp_full_match(howmany, '[0-9]+') THEN CAST(howmany AS bigint) END, -1) AS n
+       FROM chosen""",
 )
 def _(t):
-    rows = _pairs(t).where("pos = 0")
+    rows = _pairs(t)
     n = parsing.whole_number(F.try_element_at("answers", F.lit("HOWMANY")))
-    return rows.select("classification_id", F.coalesce(n, F.lit(-1)).alias("n"))
+    return rows.select("classification_id", "pos", F.coalesce(n, F.lit(-1)).alias("n"))
 
 
 @query(

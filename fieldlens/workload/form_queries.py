@@ -34,10 +34,9 @@ def _(t):
     return _keyed(t).select("entry_uuid", "site")
 
 
-@query("t22_unknown_keys", "SELECT entry_uuid, raw_site AS site FROM raw_sites WHERE raw_site LIKE 'UNKNOWN%'")
+@query("t22_unknown_keys", "SELECT entry_uuid, raw_site AS site FROM raw_sites")
 def _(t):
-    keyed = O.group_keys(t.entries, "site_raw", "session_raw")
-    return keyed.where(F.col("site").startswith("UNKNOWN")).select("entry_uuid", "site")
+    return O.group_keys(t.entries, "site_raw", "session_raw").select("entry_uuid", "site")
 
 
 @query("a4_session_spans", "SELECT site, session, first_entry, last_entry FROM spans")

@@ -14,13 +14,28 @@ from fieldlens.workload.registry import query
 from fieldlens.workload.sequence_queries import GAP
 
 
-def _stream(t, view: str):
-    """A view as a file stream over its given table, which is one file or a folder of files."""
+PARTS = 4
+
+
+def _stream(t, view: str, in_time: bool = False):
+    """A view as a file stream of several micro-batches over its whole given table.
+
+    ``in_time`` lands the rows in the order of ``ts``, one part after another, as a camera sends them.
+    """
     table, columns = VIEWS[view]
-    schema = t.table(table).schema
-    files = t.spark.readStream.schema(schema).option("recursiveFileLookup", "true")
-    rows = files.parquet(f"{t.folder}/{table}.parquet*")
-    return rows.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+    rows, folder = t.table(table), scratch_path(t.spark, f"landing-{view}")
+    if in_time:
+        moment = F.unix_micros(F.col("ts").cast("timestamp"))
+        timed = rows.withColumn("_at", moment)
+        cuts = timed.agg(F.percentile_approx("_at", [i / PARTS for i in range(1, PARTS)])).first()[0] or []
+        after = [None, *cuts]
+        for low, high in zip(after, [*cuts, None]):
+            part = timed.where((F.lit(low is None) | (F.col("_at") > F.lit(low))) & (F.lit(high is None) | (F.col("_at") <= F.lit(high))))
+            part.drop("_at").coalesce(1).write.mode("append").parquet(folder)
+    else:
+        rows.repartition(PARTS).write.parquet(folder)
+    files = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return files.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
 
 
 def _result(t, path: str, columns: str):
@@ -29,16 +44,16 @@ def _result(t, path: str, columns: str):
 
 @query(
     "st1_live_sequences",
-    """SELECT deployment_id, min(ts) AS started, max(ts) AS ended, count(*) AS n_images FROM all_seqs GROUP BY deployment_id, seq_id
-       HAVING max(ts) + INTERVAL 86400 SECOND <= (SELECT max(ts) - INTERVAL 3600 SECOND FROM media)""",
+    "SELECT deployment_id, min(ts) AS started, max(ts) AS ended, count(*) AS n_images FROM all_seqs GROUP BY deployment_id, seq_id",
 )
 def _(t):
-    sequences = live.live_sequences(_stream(t, "media"), GAP, "1 hour")
+    sequences = live.live_sequences(_stream(t, "media", in_time=True), GAP, "1 hour")
     target = scratch_path(t.spark, "live-sequences")
     writer = sequences.writeStream.format("parquet").option("checkpointLocation", target + "-state")
     writer.outputMode("append").trigger(availableNow=True).start(target).awaitTermination()
     back = _result(t, target, "deployment_id string, started timestamp, ended timestamp, n_images bigint")
-    return back.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
+    whole = back.unionByName(live.open_sequences(t.media, back, GAP))
+    return whole.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
 
 
 @query("st2_live_progress", ROLL_UP)
@@ -71,7 +86,7 @@ def _(t):
 @query("st4_live_ledger", "SELECT file, chunk_index, chunk_len FROM chunk_ledger")
 def _(t):
     target = scratch_path(t.spark, "live-ledger")
-    columns = "file string, chunk_index bigint, chunk_len bigint, batch int"
+    columns = "file string, chunk_index bigint, chunk_len bigint, bucket int, batch int"
     work = chunk_plan(_stream(t, "transfers"), CHUNK).select("file", "chunk_index", "chunk_len")
 
     def read_ledger():
@@ -79,4 +94,4 @@ def _(t):
 
     for _ in range(2):  # the second run finds nothing left to do
         live.incremental_ledger(work, target, target + "-state", ["file", "chunk_index"], read_ledger).awaitTermination()
-    return _result(t, target, columns).drop("batch")
+    return _result(t, target, columns).drop("batch", "bucket")
