@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldlens.llm import exact_dedup, language_id, near_dedup, packing, quality_classifier
-from fieldlens.session import configure, stored
+from fieldlens.llm.common import prepare
+from fieldlens.session import stored
 
 # Near duplicates: five words, similarity of 0.8 or more.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -19,31 +20,31 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good; learns from ``labels``."""
-    configure(spark)
+    prepare(spark)
     return quality_classifier.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is one of those in ``lang``; texts without a letter go."""
-    configure(spark)
+    prepare(spark)
     return language_id.accepted(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    configure(spark)
+    prepare(spark)
     return exact_dedup.without_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    configure(spark)
+    prepare(spark)
     return near_dedup.without_near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces of the documents in sequences of 2048 tokens."""
-    configure(spark)
+    prepare(spark)
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlens.session import stored
+from fieldlens.session import configure, stored
 
 # ASCII white space; words are the runs between.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+# Rows that a Python worker holds at a time; the longest texts have hundreds of kilobytes.
+BATCH_ROWS = "1000"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings of these operators."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
 def utf8(text: Column) -> Column:
     """The bytes of a text; a null text has none."""
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")

@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldlens.llm import bpe, exact_dedup, language_id, language_model, licences, near_dedup, packing, quality_classifier, quality_rules, sharding
-from fieldlens.session import configure
+from fieldlens.llm.common import prepare
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
