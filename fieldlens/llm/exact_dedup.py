@@ -106,6 +106,8 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
     # The id, and the row number where ids are equal, choose the row; a flag puts null ids last.
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
     groups = rows.groupBy("level", "name").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # Stored, so that both sides of the join are shuffled for it alone and a hot group can be split.
+    groups = stored(groups, "groups")
     return rows.join(groups, ["level", "name"]).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
