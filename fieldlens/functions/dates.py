@@ -49,8 +49,12 @@ def recorded_text(original: Column, created: Column, modified: Column | None = N
     return F.coalesce(*choices, *([] if modified is None else [modified]))
 
 
+# Years for which standard time is known; outside them it is null.
+FIRST_YEAR, LAST_YEAR = 1970, 2100
+
+
 @lru_cache(maxsize=None)
-def standard_offsets(zone: str, first_year: int = 1970, last_year: int = 2100) -> tuple:
+def standard_offsets(zone: str, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> tuple:
     """Steps (from wall time, seconds) of a zone's offset without daylight saving.
 
     The tz database is probed day by day on the driver and each change is narrowed to the minute, so
@@ -78,12 +82,12 @@ def standard_offsets(zone: str, first_year: int = 1970, last_year: int = 2100) -
 
 
 def standard_offset(wall: Column, zone: str) -> Column:
-    """Seconds east of UTC of the zone's standard time at a wall-clock time."""
+    """Seconds east of UTC of the zone's standard time at a wall-clock time; null outside the known years."""
     steps = standard_offsets(zone)
     value = F.lit(steps[0][1])
     for start, seconds in steps[1:]:
         value = F.when(wall >= F.lit(start.isoformat()).cast("timestamp_ntz"), seconds).otherwise(value)
-    return value
+    return F.when(F.year(wall).between(FIRST_YEAR, LAST_YEAR), value)
 
 
 def _seconds_between(later: Column, earlier: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fieldlens import schema
 from fieldlens.functions import parsing
 from fieldlens.operators.findings import emit, finding
+from fieldlens.session import stored
 
 SUBJECT = ("workflow_id", "workflow_key", "sid", "media_id")
 K_MAX = 3
@@ -398,11 +399,22 @@ def fan_out(
         {
             "classified_by": F.lit(classified_by),
             "classification_method": F.lit("human"),
+            "classified_at": F.current_timestamp(),
+            "bboxes": F.lit(None).cast("string"),  # boxes of the copied observation do not hold any more
             "comments": comment,
         }
     )
 
 
+def fan_out_findings(fanned: DataFrame) -> DataFrame:
+    """A success for every decision put on an observation."""
+    who = F.concat(F.lit("subject:"), F.col("sid").cast("string"))
+    message = F.concat(
+        F.lit("Observation added to media "), F.col("media_id"), F.lit(": "), F.coalesce("scientific_name", F.lit("no taxon"))
+    )
+    return emit(fanned, [finding(F.lit(True), who, "getting_decision", "success", message)])
+
+
 def undecided(classified: DataFrame, decided: DataFrame, observations: DataFrame) -> DataFrame:
     """Findings for subjects whose media has no observations, or which got no decision."""
     subjects = classified.select(*SUBJECT).distinct()
@@ -442,5 +454,7 @@ def consensus_observations(
 ) -> DataFrame:
     """Export to archive observations: parse, vote, fan out."""
     classified = classification_table(export, subjects=subjects, legacy=legacy)
-    decided = decisions(classified, rules, legacy=legacy)
+    # Few and narrow rows; stored, the join's filter on the media id meets a plain column, and the
+    # cells of the export are parsed once.
+    decided = stored(decisions(classified, rules, legacy=legacy), "decisions")
     return fan_out(decided, observations, classified_by=classified_by, copied=copied)

@@ -230,6 +230,16 @@ def _(t):
     )
 
 
+@query(
+    "j2_fan_out_findings",
+    """SELECT 'subject:' || CAST(d.sid AS varchar) AS identifier, 'getting_decision' AS action, 'success' AS status,
+         'Observation added to media ' || d.media_id || ': ' || coalesce(d.scientific_name, 'no taxon') AS message
+       FROM decided d JOIN media_ids o ON d.media_id = o.media_id""",
+)
+def _(t):
+    return C.fan_out_findings(C.consensus_observations(t.export, t.obs, classified_by="engine"))
+
+
 @query(
     "v19_undecided_subjects",
     """WITH own_subjects AS (SELECT DISTINCT workflow_key, sid, media_id FROM classified),

@@ -51,3 +51,23 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<event_id:bigint>" in text
     text = plan(spark, "f6_id_list")
     assert "PushedFilters: [In(user_id, [14,15,3,92])]" in text and "ReadSchema: struct<user_id:bigint>" in text
+
+
+def scans(text):
+    return len(re.findall(r"FileScan parquet", text))
+
+
+def test_chunked_plans_do_not_grow(spark):
+    # One scan of the stored step and one of its carry table, however many steps came before.
+    for name in ("w1_gap_sessions_chunked", "w3_even_sampling_chunked", "p7_select_sequences_chunked"):
+        text = plan(spark, name)
+        assert scans(text) <= 2 and "BroadcastNestedLoop" not in text, name
+
+
+def test_cells_are_parsed_once(spark):
+    # The stored decisions meet the observations: no cell of the export is read again.
+    assert "from_json" not in plan(spark, "p9_consensus_observations")
+
+
+def test_deployment_checks_read_stored_tables(spark):
+    assert "supplier" not in plan(spark, "p2_check_deployments")
