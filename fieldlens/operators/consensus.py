@@ -432,11 +432,11 @@ def undecided(classified: DataFrame, decided: DataFrame, observations: DataFrame
         [
             finding(
                 ~observed, who, "get_observations", "error",
-                F.concat(F.lit("No observations found for resource "), F.coalesce("media_id", F.lit("None"))),
+                F.concat(F.lit("Media without observations: "), F.coalesce("media_id", F.lit("None"))),
             ),
             finding(
                 observed & F.col("_decided").isNull(), who, "getting_decision", "error",
-                F.concat(F.lit("No decision found for subject "), F.col("sid").cast("string")),
+                F.concat(F.lit("Undecided subject "), F.col("sid").cast("string")),
             ),
         ],
     )

@@ -69,6 +69,7 @@ def metadata_record(
                 ("XMP-dc:Rights", F.lit(f"© {owner}, {year}. All rights reserved.")),
                 (
                     "XMP-dc:Coverage",
+                    # Fixed value: the sentence is part of the archive's record.
                     F.lit(f"This image was taken at {coverage}, as part of the {project} project.{site}"),
                 ),
                 ("XMP-xmpRights:Marked", F.lit("true")),
@@ -84,7 +85,8 @@ def deployment_summary(recorded: DataFrame, *, convert_to_utc: bool = True) -> D
     """The deployments table: first and last date and the camera of the first file.
 
     recorded: (collection, deployment_id, file_index, instant, wall, offset_seconds, camera). One row per
-    collection and deployment, for equal names occur in several collections. Files without a date do not count. Minimum, maximum and first are partial aggregates: nothing is sorted.
+    collection and deployment, for equal names occur in several collections. Files without a date do not
+    count. Minimum, maximum and first are partial aggregates: nothing is sorted.
     """
     moment = F.col("instant").cast("timestamp_ntz") if convert_to_utc else F.col("wall")
     offset = F.lit(0) if convert_to_utc else F.col("offset_seconds")
@@ -240,6 +242,6 @@ def register_deployments(
     recorded = recorded_media(metadata, zone, ignore_dst=ignore_dst)
     new = log_rows(recorded)
     undated = recorded.groupBy("deployment").agg(F.count("instant").alias("_dated"))
-    message = F.lit("No valid image/video timestamps were found.")
+    message = F.lit("None of the files has a date.")
     missing = emit(undated, [finding(F.col("_dated") == 0, F.col("deployment"), "csv_log", "error", message)])
     return insert_if_absent(log, new), registration_findings(log, new).unionByName(missing)

@@ -33,7 +33,7 @@ def check_collection_names(collections: DataFrame) -> DataFrame:
     """One finding per collection: its name has the fixed form, or not."""
     ok = naming.collection_name_ok(_c())
     action = "validate_collection_names"
-    wrong = F.concat(F.lit("Collection name '"), _c(), F.lit("' does not follow the RNNNN format."))
+    wrong = F.concat(F.lit("Collection '"), _c(), F.lit("' is not named R and four digits."))
     return emit(
         collections.select("collection"),
         [finding(ok, _c(), action, "success"), finding(~ok, _c(), action, "error", wrong)],
@@ -71,14 +71,14 @@ def check_deployment_names(
     action, who = "validate_deployment_names", _id(_c(), _d())
     form_ok = naming.deployment_name_ok(_d())
     form_message = F.lit(
-        "Name format is incorrect. It should follow the <CODE>-<NAME>_<SUFFIX> format."
+        "Expected a name like CODE-NAME_SUFFIX."
     )
-    prefix_message = F.concat(F.lit("The deployment name must start with "), code)
+    prefix_message = F.concat(F.lit("Name should begin with "), code)
     location_message = F.concat(
-        F.lit("The deployment name must include a valid location id, not '"), F.col("_location"), F.lit("'.")
+        F.lit("Unknown location '"), F.col("_location"), F.lit("'.")
     )
     bare_message = F.concat(
-        F.lit("Prefix "), prefix, F.lit(" does not match collection "), _c()
+        F.lit("Prefix "), prefix, F.lit(" is not that of collection "), _c()
     )
     return emit(
         rows,
@@ -86,7 +86,7 @@ def check_deployment_names(
             finding(~form_ok, who, action, "error", form_message),
             finding(form_ok & ~prefix_ok, who, action, "error", prefix_message),
             finding(form_ok & prefix_ok & ~location_ok, who, action, "error", location_message),
-            finding(form_ok & prefix_ok & location_ok, who, action, "success", F.lit("Deployment name is valid.")),
+            finding(form_ok & prefix_ok & location_ok, who, action, "success", F.lit("Name accepted.")),
             finding(~prefix_ok, _d(), action, "error", bare_message),
         ],
         keep=["collection", "deployment"],
@@ -131,14 +131,14 @@ def check_log_headers(headers: DataFrame) -> DataFrame:
     return emit(
         rows,
         [
-            finding(empty, _c(), "log header", "error", F.lit("No header row found")),
+            finding(empty, _c(), "log header", "error", F.lit("Header is empty")),
             finding(
                 ~empty & (F.size(repeated) > 0), _c(), "log header", "error",
-                F.concat(F.lit("Duplicated column names: "), F.array_join(repeated, ", ")),
+                F.concat(F.lit("Columns named twice: "), F.array_join(repeated, ", ")),
             ),
             finding(
                 ~empty & (F.size(missing) > 0), _c(), "log header", "error",
-                F.concat(F.lit("Missing required columns: "), F.array_join(missing, ", ")),
+                F.concat(F.lit("Columns not there: "), F.array_join(missing, ", ")),
             ),
         ],
     )
@@ -219,7 +219,7 @@ def collections_without_log(collections: DataFrame, logs: DataFrame) -> DataFram
     missing = collections.select("collection").distinct().join(
         logs.select("collection").distinct(), "collection", "left_anti"
     )
-    message = F.concat(F.lit("No field log "), _c(), F.lit("_FileTimestampLog.csv found"))
+    message = F.concat(F.lit("Field log is missing: "), _c(), F.lit("_FileTimestampLog.csv"))
     return emit(missing, [finding(F.lit(True), _c(), "check filetimestamplog", "error", message)])
 
 
@@ -227,7 +227,7 @@ def logged_without_folder(log: DataFrame, deployments: DataFrame) -> DataFrame:
     """Deployments the log names for which there is no folder. Unlogged folders are not reported."""
     keys = ["collection", "deployment"]
     missing = log.select(keys).distinct().join(deployments.select(keys).distinct(), keys, "left_anti")
-    message = F.concat(F.lit("Deployment folder '"), _d(), F.lit("' not found"))
+    message = F.concat(F.lit("No folder for deployment '"), _d(), F.lit("'"))
     return emit(missing, [finding(F.lit(True), _id(_c(), _d()), "missing deployment", "error", message)], keep=keys)
 
 
@@ -276,14 +276,14 @@ def media_findings(
     return emit(
         rows.result(),
         [
-            finding(~readable, who, "gather_metadata", "error", F.concat(F.lit("Failed to process image: "), F.col("error"))),
+            finding(~readable, who, "gather_metadata", "error", F.concat(F.lit("Metadata could not be read: "), F.col("error"))),
             finding(
                 readable & (taken < F.col("_previous")), who, "date order", "error",
-                F.concat(F.lit("Image '"), file_name, F.lit("' has earlier date than previous image.")),
+                F.concat(F.lit("Image '"), file_name, F.lit("' is older than the one before it.")),
             ),
             finding(
                 readable & ~taken.between(low, high), who, "image date out of range", "error",
-                F.concat(F.lit("Image '"), file_name, F.lit("' date is outside allowed range")),
+                F.concat(F.lit("Image '"), file_name, F.lit("' was taken outside the logged dates")),
             ),
         ],
         keep=["collection", "deployment", "rel_path"],
@@ -298,7 +298,7 @@ def validated_deployments(log: DataFrame, deployments: DataFrame, errors: DataFr
         .join(deployments.select(keys).distinct(), keys, "left_semi")
         .join(errors.select(keys).distinct(), keys, "left_anti")
     )
-    message = F.concat(F.lit("Deployment '"), _d(), F.lit("' validated successfully."))
+    message = F.concat(F.lit("Deployment '"), _d(), F.lit("' passed all checks."))
     return emit(
         clean, [finding(F.lit(True), _id(_c(), _d()), "deployment validated", "success", message)], keep=keys
     )
@@ -367,7 +367,7 @@ def existing_targets(prepared: DataFrame, existing: DataFrame, *, overwrite: boo
 def without_timestamps(media: DataFrame) -> DataFrame:
     """Deployments none of whose media has a valid date."""
     counted = media.groupBy("deployment_id").agg(F.count("taken").alias("_dated"))
-    message = F.lit("No valid image/video timestamps were found.")
+    message = F.lit("None of the files has a date.")
     return emit(
         counted, [finding(F.col("_dated") == 0, F.col("deployment_id"), "csv_log", "error", message)]
     )
@@ -378,7 +378,7 @@ def nothing_to_package(collections: DataFrame, resources: DataFrame) -> DataFram
     empty = collections.select("collection").distinct().join(
         resources.select("collection").distinct(), "collection", "left_anti"
     )
-    message = F.lit("No valid files found to package")
+    message = F.lit("There is no file to package")
     return emit(empty, [finding(F.lit(True), _c(), "deployment exported", "error", message)])
 
 

@@ -249,8 +249,8 @@ def _(t):
              AND EXISTS (SELECT 1 FROM kept_species d WHERE d.workflow_key = s.workflow_key AND d.sid = s.sid
                AND d.media_id IS NOT DISTINCT FROM s.media_id)) AS decided FROM own_subjects s)
        SELECT 'subject:' || CAST(sid AS varchar) AS identifier, 'get_observations' AS action, 'error' AS status,
-         'No observations found for resource ' || coalesce(media_id, 'None') AS message FROM tagged WHERE NOT coalesce(observed, false)
-       UNION ALL SELECT 'subject:' || CAST(sid AS varchar), 'getting_decision', 'error', 'No decision found for subject ' || CAST(sid AS varchar)
+         'Media without observations: ' || coalesce(media_id, 'None') AS message FROM tagged WHERE NOT coalesce(observed, false)
+       UNION ALL SELECT 'subject:' || CAST(sid AS varchar), 'getting_decision', 'error', 'Undecided subject ' || CAST(sid AS varchar)
        FROM tagged WHERE observed AND NOT decided""",
 )
 def _(t):

@@ -20,18 +20,18 @@ SQL_VIEWS["folder_checks"] = """SELECT f.*, l.location_id IS NOT NULL AS locatio
 SQL_VIEWS["name_findings"] = """SELECT collection, deployment, collection || ':' || deployment AS identifier,
       'validate_deployment_names' AS action,
       CASE WHEN form_ok AND prefix_ok AND location_ok THEN 'success' ELSE 'error' END AS status,
-      CASE WHEN NOT form_ok THEN 'Name format is incorrect. It should follow the <CODE>-<NAME>_<SUFFIX> format.'
-           WHEN NOT prefix_ok THEN 'The deployment name must start with ' || split_part(collection, '_', 1)
-           WHEN NOT location_ok THEN 'The deployment name must include a valid location id, not ''' || location || '''.'
-           ELSE 'Deployment name is valid.' END AS message
+      CASE WHEN NOT form_ok THEN 'Expected a name like CODE-NAME_SUFFIX.'
+           WHEN NOT prefix_ok THEN 'Name should begin with ' || split_part(collection, '_', 1)
+           WHEN NOT location_ok THEN 'Unknown location ''' || location || '''.'
+           ELSE 'Name accepted.' END AS message
     FROM folder_checks
     UNION ALL SELECT collection, deployment, deployment, 'validate_deployment_names', 'error',
-      'Prefix ' || split_part(deployment, '-', 1) || ' does not match collection ' || collection
+      'Prefix ' || split_part(deployment, '-', 1) || ' is not that of collection ' || collection
     FROM folder_checks WHERE NOT prefix_ok"""
 SQL_VIEWS["collection_findings"] = """SELECT collection AS identifier, 'validate_collection_names' AS action,
       CASE WHEN regexp_full_match(collection, 'R[0-9]{4}(_.+)?') THEN 'success' ELSE 'error' END AS status,
       CASE WHEN regexp_full_match(collection, 'R[0-9]{4}(_.+)?') THEN NULL
-           ELSE 'Collection name ''' || collection || ''' does not follow the RNNNN format.' END AS message
+           ELSE 'Collection ''' || collection || ''' is not named R and four digits.' END AS message
     FROM (SELECT DISTINCT collection FROM folders) c"""
 
 
@@ -66,24 +66,24 @@ SQL_VIEWS["shot_places"] = """SELECT f.*, l.expected_start, l.expected_end,
 SQL_VIEWS["shot_previous"] = """SELECT *, lag(taken) OVER (PARTITION BY deployment ORDER BY media_id) AS previous
     FROM shot_places WHERE error IS NULL"""
 SQL_VIEWS["metadata_findings"] = """SELECT collection, deployment, collection || ':' || deployment || ':' || file_name AS identifier,
-    'gather_metadata' AS action, 'error' AS status, 'Failed to process image: ' || error AS message
+    'gather_metadata' AS action, 'error' AS status, 'Metadata could not be read: ' || error AS message
     FROM shot_places WHERE error IS NOT NULL"""
 SQL_VIEWS["order_findings"] = """SELECT collection, deployment, collection || ':' || deployment || ':' || file_name AS identifier,
-    'date order' AS action, 'error' AS status, 'Image ''' || file_name || ''' has earlier date than previous image.' AS message
+    'date order' AS action, 'error' AS status, 'Image ''' || file_name || ''' is older than the one before it.' AS message
     FROM shot_previous WHERE taken < previous"""
 _low = f"""CASE WHEN position > 1 AND position = files THEN expected_end ELSE expected_start END - INTERVAL {TOLERANCE} HOUR"""
 _high = f"""CASE WHEN position = 1 THEN expected_start ELSE expected_end END + INTERVAL {TOLERANCE} HOUR"""
 SQL_VIEWS["range_findings"] = f"""SELECT collection, deployment, collection || ':' || deployment || ':' || file_name AS identifier,
-    'image date out of range' AS action, 'error' AS status, 'Image ''' || file_name || ''' date is outside allowed range' AS message
+    'image date out of range' AS action, 'error' AS status, 'Image ''' || file_name || ''' was taken outside the logged dates' AS message
     FROM shot_places WHERE error IS NULL AND taken IS NOT NULL AND (taken < {_low} OR taken > {_high})"""
 SQL_VIEWS["media_findings"] = (
     "SELECT * FROM metadata_findings UNION ALL SELECT * FROM order_findings UNION ALL SELECT * FROM range_findings"
 )
 SQL_VIEWS["missing_findings"] = """SELECT collection, deployment, collection || ':' || deployment AS identifier,
-    'missing deployment' AS action, 'error' AS status, 'Deployment folder ''' || deployment || ''' not found' AS message
+    'missing deployment' AS action, 'error' AS status, 'No folder for deployment ''' || deployment || '''' AS message
     FROM own_valid WHERE (collection, deployment) NOT IN (SELECT (collection, deployment) FROM media)"""
 SQL_VIEWS["validated_findings"] = """SELECT collection, deployment, collection || ':' || deployment AS identifier,
-    'deployment validated' AS action, 'success' AS status, 'Deployment ''' || deployment || ''' validated successfully.' AS message
+    'deployment validated' AS action, 'success' AS status, 'Deployment ''' || deployment || ''' passed all checks.' AS message
     FROM own_valid WHERE (collection, deployment) IN (SELECT (collection, deployment) FROM media)
       AND (collection, deployment) NOT IN (SELECT (collection, deployment) FROM media_findings)"""
 _F = "identifier, action, status, message"
@@ -168,10 +168,10 @@ def _(t):
        x AS (SELECT collection, header, list_filter(['Deployment', 'StartDate', 'StartTime', 'EndDate', 'EndTime'],
                     lambda r: NOT list_contains(names, r)) AS missing,
                     list_sort(list_distinct(list_filter(names, lambda n: len(list_filter(names, lambda m: m = n)) > 1))) AS repeated FROM h)
-       SELECT collection AS identifier, 'log header' AS action, 'error' AS status, 'No header row found' AS message FROM x WHERE header = ''
-       UNION ALL SELECT collection, 'log header', 'error', 'Duplicated column names: ' || array_to_string(repeated, ', ')
+       SELECT collection AS identifier, 'log header' AS action, 'error' AS status, 'Header is empty' AS message FROM x WHERE header = ''
+       UNION ALL SELECT collection, 'log header', 'error', 'Columns named twice: ' || array_to_string(repeated, ', ')
          FROM x WHERE header <> '' AND len(repeated) > 0
-       UNION ALL SELECT collection, 'log header', 'error', 'Missing required columns: ' || array_to_string(missing, ', ')
+       UNION ALL SELECT collection, 'log header', 'error', 'Columns not there: ' || array_to_string(missing, ', ')
          FROM x WHERE header <> '' AND len(missing) > 0""",
 )
 def _(t):
@@ -227,7 +227,7 @@ def _(t):
 
 
 _LOGLESS = """SELECT collection AS identifier, 'check filetimestamplog' AS action, 'error' AS status,
-       'No field log ' || collection || '_FileTimestampLog.csv found' AS message"""
+       'Field log is missing: ' || collection || '_FileTimestampLog.csv' AS message"""
 
 
 @query(
@@ -332,7 +332,7 @@ def _(t):
 @query(
     "v18_without_timestamps",
     """SELECT rel_path AS identifier, 'csv_log' AS action, 'error' AS status,
-         'No valid image/video timestamps were found.' AS message
+         'None of the files has a date.' AS message
        FROM shot_files GROUP BY rel_path HAVING count(taken) = 0""",
 )
 def _(t):
@@ -343,7 +343,7 @@ def _(t):
 @query(
     "v20_nothing_to_package",
     """SELECT collection AS identifier, 'deployment exported' AS action, 'error' AS status,
-         'No valid files found to package' AS message
+         'There is no file to package' AS message
        FROM (SELECT collection FROM collections EXCEPT SELECT collection FROM media WHERE file_name NOT LIKE '%.txt') c""",
 )
 def _(t):

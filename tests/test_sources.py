@@ -44,9 +44,9 @@ def test_field_logs(spark, tmp_path):
     assert listed(rules.valid_log(rows), "collection", "deployment") == [("R0001", "a, b")]
     heads = rules.check_log_headers(tables.read_log_headers(spark, str(tmp_path)))
     assert listed(heads, "identifier", "message") == [
-        ("R0002", "Duplicated column names: Deployment"),
-        ("R0002", "Missing required columns: EndDate, EndTime"),
-        ("R0003", "No header row found"),
+        ("R0002", "Columns named twice: Deployment"),
+        ("R0002", "Columns not there: EndDate, EndTime"),
+        ("R0003", "Header is empty"),
     ]
 
 
