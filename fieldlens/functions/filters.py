@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldlens import schema
+
 # Operators in the order they are looked for.
 _OPERATORS = {"==": eq, "!=": ne, ">=": ge, "<=": le, ">": gt, "<": lt}
 
@@ -97,3 +99,8 @@ def project(df: DataFrame, fields: Sequence[str], missing: str | None = None) ->
             for f in fields
         ]
     )
+
+
+def known_mime_type(mime_type: Column) -> Column:
+    """Whether the archive takes files of a type."""
+    return mime_type.isin(list(schema.MIME_TYPES))

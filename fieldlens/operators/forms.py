@@ -33,11 +33,30 @@ def text_cells(entries: DataFrame) -> DataFrame:
 
 
 def select_entries(
-    entries: DataFrame, filter_texts: Sequence[str] = (), fields: Sequence[str] = ()
+    entries: DataFrame,
+    filter_texts: Sequence[str] = (),
+    fields: Sequence[str] = (),
+    mandatory: Sequence[str] = (),
 ) -> DataFrame:
-    """Entries that meet all filters, with the named fields."""
+    """Entries that meet all filters, with the named fields and, among named ones, the mandatory ones."""
     kept = filters.apply_filters(text_cells(entries), filter_texts)
-    return filters.project(kept, fields) if fields else kept
+    return filters.project(kept, list(dict.fromkeys([*fields, *mandatory]))) if fields else kept
+
+
+def incomplete_pages(pages: DataFrame) -> DataFrame:
+    """What is missing from the pages of a form (errors, meta): form pages not delivered, or with errors.
+
+    Pages are complete when every number from 1 to the last page is there and none reports an error.
+    Returns page and reason; the last page number is the largest any page names.
+    """
+    numbers = pages.select(
+        F.col("meta.current_page").alias("page"), F.col("meta.last_page").alias("last"),
+        (F.size(F.coalesce("errors", F.array().cast("array<struct<title:string>>"))) > 0).alias("failed"),
+    )
+    last = numbers.agg(F.max("last").alias("last")).select(F.explode(F.sequence(F.lit(1), "last")).alias("page"))
+    absent = last.join(numbers.where("NOT failed").select("page"), "page", "left_anti")
+    failed = numbers.where("failed").select("page", F.lit("error").alias("reason"))
+    return absent.join(failed.select("page"), "page", "left_anti").select("page", F.lit("missing").alias("reason")).unionAll(failed)
 
 
 def group_keys(

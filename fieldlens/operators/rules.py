@@ -144,6 +144,24 @@ def check_log_headers(headers: DataFrame) -> DataFrame:
     )
 
 
+def missing_columns(headers: DataFrame) -> DataFrame:
+    """Required columns that the headers (collection, header) lack: collection, name."""
+    required = F.array(*[F.lit(f) for f in schema.LOG_FIELDS])
+    rows = headers.where("header <> ''")
+    return rows.select("collection", F.explode(F.array_except(required, F.split("header", ","))).alias("name"))
+
+
+def repeated_columns(headers: DataFrame) -> DataFrame:
+    """Columns that a header names more than once: collection, name, n."""
+    names = headers.where("header <> ''").select("collection", F.explode(F.split("header", ",")).alias("name"))
+    return names.groupBy("collection", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def empty_folders(deployments: DataFrame) -> DataFrame:
+    """Deployment folders without a file, from (collection, deployment, n_files)."""
+    return deployments.where("n_files = 0").select("collection", "deployment")
+
+
 def read_log_rows(log: DataFrame) -> DataFrame:
     """Trimmed cells and parsed times of log rows (collection, row_number, five text columns)."""
     cells = {f: F.trim(F.coalesce(f, F.lit(""))) for f in schema.LOG_FIELDS}

@@ -48,17 +48,23 @@ def read_media(spark: SparkSession, root: str, *, with_hash: bool = False) -> Da
 
 
 _LOG_FILES = "*_FileTimestampLog.csv"
-_CSV_COMMA = r',(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'
+# Followed by whole quoted parts only, so itself outside quotes.
+_UNQUOTED = r'(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'
+_CSV_COMMA = "," + _UNQUOTED
+_CSV_LINE = "\r?\n" + _UNQUOTED
 
 
 def _log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Collection and cell lists of every field-log file; blank lines are dropped as csv readers do."""
+    """Collection and cell lists of every field-log file; blank lines are dropped as csv readers do.
+
+    A line break inside quotes belongs to its cell.
+    """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _LOG_FILES)
     text = F.regexp_replace("value", "^\ufeff", "")
-    lines = F.filter(F.split(text, "\r?\n"), lambda line: line != "")
+    lines = F.filter(F.split(text, _CSV_LINE), lambda line: line != "")
 
     def cells(line):
-        plain = F.transform(F.split(line, _CSV_COMMA), lambda c: F.regexp_replace(c, '^"|"$', ""))
+        plain = F.transform(F.split(line, _CSV_COMMA), lambda c: F.regexp_replace(c, '(?s)^"|"$', ""))
         return F.transform(plain, lambda c: F.regexp_replace(c, '""', '"'))
 
     return reader.text(path, wholetext=True).select(

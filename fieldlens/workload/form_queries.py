@@ -112,8 +112,7 @@ def _(t):
     "SELECT created_at, entry_uuid, reading FROM entries",
 )
 def _(t):
-    fields = list(dict.fromkeys(["reading", "entry_uuid"] + ["entry_uuid", "created_at"]))
-    return O.select_entries(t.entries, fields=fields)
+    return O.select_entries(t.entries, fields=["reading", "entry_uuid"], mandatory=["entry_uuid", "created_at"])
 
 
 @query(
@@ -155,6 +154,26 @@ def _(t):
     return O.entries_of_pages(_pages(t))
 
 
+@query(
+    "s5_incomplete_pages",
+    """WITH p AS (SELECT DISTINCT CAST(floor(CAST(substr(entry_uuid, 2) AS bigint) / 1000) + 1 AS int) AS page FROM entries),
+         kept AS (SELECT page FROM p WHERE page % 3 <> 2)
+       SELECT page, 'error' AS reason FROM kept WHERE page % 6 = 0
+       UNION ALL SELECT CAST(n AS int), 'missing' FROM (SELECT unnest(range(1, (SELECT max(page) FROM p) + 1)) AS n) r
+         WHERE n NOT IN (SELECT page FROM kept)""",
+)
+def _(t):
+    # Every third page got lost on the way, and some came back as errors.
+    pages = _pages(t)
+    last = pages.agg(F.max("meta.current_page")).first()[0]
+    number = F.col("meta.current_page")
+    failed = F.when(number % 6 == 0, F.array(F.struct(F.lit("rate limit").alias("title"))))
+    got = pages.where(number % 3 != 2).withColumns(
+        {"errors": failed, "meta": F.struct(number.alias("current_page"), F.lit(last).alias("last_page"))}
+    )
+    return O.incomplete_pages(got)
+
+
 @query("u8_concatenated_pages", "SELECT count(*) AS n_entries, count(DISTINCT entry_uuid) AS n_ids FROM entries")
 def _(t):
     return O.entries_of_pages(_pages(t)).agg(

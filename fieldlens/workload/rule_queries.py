@@ -142,7 +142,7 @@ def _(t):
     "SELECT collection, deployment FROM folders WHERE n_files = 0",
 )
 def _(t):
-    return t.folders.where("n_files = 0").select("collection", "deployment")
+    return R.empty_folders(t.folders)
 
 
 @query(
@@ -188,11 +188,7 @@ _HEADER_NAMES = "SELECT collection, unnest(string_split(header, ',')) AS name FR
        WHERE (c.collection, r.name) NOT IN (SELECT (collection, name) FROM ({_HEADER_NAMES}) n)""",
 )
 def _(t):
-    from fieldlens.schema import LOG_FIELDS
-
-    required = F.array(*[F.lit(f) for f in LOG_FIELDS])
-    rows = t.headers.where("header <> ''")
-    return rows.select("collection", F.explode(F.array_except(required, F.split("header", ","))).alias("name"))
+    return R.missing_columns(t.headers)
 
 
 @query(
@@ -200,8 +196,7 @@ def _(t):
     f"SELECT collection, name, count(*) AS n FROM ({_HEADER_NAMES}) n GROUP BY collection, name HAVING count(*) > 1",
 )
 def _(t):
-    names = t.headers.where("header <> ''").select("collection", F.explode(F.split("header", ",")).alias("name"))
-    return names.groupBy("collection", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return R.repeated_columns(t.headers)
 
 
 def _fault_query(name: str, fault: str):

@@ -259,9 +259,7 @@ def _(t):
        'video/mpeg', 'video/quicktime', 'video/x-msvideo') AS is_valid FROM media""",
 )
 def _(t):
-    from fieldlens.schema import MIME_TYPES
-
-    return t.media.select("media_id", "mime_type", F.col("mime_type").isin(list(MIME_TYPES)).alias("is_valid"))
+    return t.media.select("media_id", "mime_type", filters.known_mime_type(F.col("mime_type")).alias("is_valid"))
 
 
 @query("f5_equality_filters", "SELECT media_id FROM media WHERE collection = 'R0002' AND mime_type = 'image/png'")

@@ -36,12 +36,14 @@ def test_field_logs(spark, tmp_path):
     (tmp_path / "c" / "R0001_FileTimestampLog.csv").write_bytes(("﻿" + header + "\r\n" + body).encode())
     (tmp_path / "R0002_FileTimestampLog.csv").write_text("Deployment,Deployment,StartDate,StartTime\nx,x,d,t\n")
     (tmp_path / "R0003_FileTimestampLog.csv").write_text("\n")
+    (tmp_path / "R0004_FileTimestampLog.csv").write_text(header + '\nd,e,t,d,t,"two\nlines"\nd,f,t,d,"t"\n')
     (tmp_path / "other.csv").write_text("Deployment\nno\n")
     rows = tables.read_field_logs(spark, str(tmp_path))
     assert listed(rows.where("collection = 'R0001'"), "row_number", "Deployment", "StartDate", "EndTime") == [
         (2, "a, b", "2024:09:04", "03:10:00"), (3, "c", "2024:09:04", None),
     ]
     assert listed(rules.valid_log(rows), "collection", "deployment") == [("R0001", "a, b")]
+    assert listed(rows.where("collection = 'R0004'"), "row_number", "Deployment", "EndTime") == [(2, "e", "t"), (3, "f", "t")]
     heads = rules.check_log_headers(tables.read_log_headers(spark, str(tmp_path)))
     assert listed(heads, "identifier", "message") == [
         ("R0002", "Columns named twice: Deployment"),
