@@ -8,9 +8,9 @@ Equal sets are one node. In a bucket, candidates are star-shaped: a hub with all
 number is that of the members and not of the pairs. The hub is the member that lies in the largest
 buckets: edits take a copy out of the buckets of its group, so this is the text most copies derive from.
 Candidates are confirmed on full sets, and confirmed links are contracted to components. Buckets whose
-members are then still in several components get a hub from another of them, and so on; after a few
-rounds the remaining buckets are split by neighbouring bands, where unlike texts rarely meet, and rounds
-go on until every bucket is used up.
+members are then still in several components get a hub from another of them, and so on until a round
+finds no link. What is left unfinished is split into finer buckets, of two and then of three bands each,
+where unlike texts rarely meet, with rounds of their own.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ RANGES = 128
 # 25 bands of 5: texts of similarity 0.85 share a bucket but for 1 in 2 million, of 0.80 for 1 in 20,000.
 BAND_RANGES = 5
 BANDS = RANGES // BAND_RANGES
-# Buckets are first single bands, then several bands at strides up to the second number.
-LEVELS = [(1, 1), (2, 4), (3, 6)]
+# Buckets are first single bands, then this many bands at strides from 1 to the second number.
+FINER = [(2, 4), (3, 6)]
 
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _PROBES = np.stack([np.random.default_rng(1000 + i).permutation(RANGES) for i in range(RANGES)])
@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     ``shingle_words``-word shingles (a shorter text is one shingle). component_id is the smallest doc_id
     reachable over links; kept says whether it is the row's own. Null and empty texts, and texts without
     words, have an empty set and link with nothing, nor do rows without id (component_id null, kept).
-    Rows that share an id are one document. Other columns are not read; an empty table gives an empty
+    Ids are taken to be unique; rows that repeat an id with another text are each answered by the links of
+    their own text. Other columns are not read; an empty table gives an empty
     result.
     """
     known = stored(digests(docs, shingle_words), "digests")
@@ -216,13 +217,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     sizes = first.select("node", F.col("n_shingles").alias("n")).groupBy("node").agg(F.max("n").alias("n"))
     sizes = stored(popularity.select("node").join(sizes, "node"), "sizes")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.encode("text", "UTF-8").alias("text"))
-    texts = stored(texts.join(popularity, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    texts = stored(texts.join(popularity, "node", "left_semi").dropDuplicates(["node", "text"]), "texts")
 
     label = popularity.select("node", F.col("node").alias("label"))
     tested = None
     members = buckets.select("key", "band", "node", F.lit(False).alias("served"))
-    next_level = {a[0]: b for a, b in zip(LEVELS, LEVELS[1:])}
-    for depth, _ in LEVELS:
+    unfinished = None
+    for finer in [None, *FINER]:
+        if finer is not None:
+            split = _split(unfinished, *finer).select("key", F.lit(0).alias("band"), "node", F.lit(False).alias("served"))
+            members = stored(split, "split")
         found = True
         while found:
             stars = stored(_stars(members.join(popularity, "node").join(label, "node")), "stars")
@@ -243,11 +247,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
             if found:
                 ups = joined.select(F.col("id").alias("label"), F.col("label").alias("up"))
                 label = stored(label.join(ups, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
-        if depth == 1:
-            whole = members
-        if depth != LEVELS[-1][0]:
-            finer = _split(whole.select("node", "band", "key").distinct(), *next_level[depth])
-            members = stored(finer.select("key", F.lit(0).alias("band"), "node", F.lit(False).alias("served")), "split")
+        if finer is None:
+            unfinished = members.select("node", "band", "key").distinct()
 
     by_set = sets.join(label, "node", "left").select("high", "low", F.coalesce("label", "node").alias("label"))
     linked = known.join(stored(by_set, "set-labels"), ["high", "low"], "left")

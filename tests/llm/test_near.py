@@ -57,6 +57,12 @@ def test_components_equal_all_pairs(documents, clashing, seed, words, percent):
     assert sorted(mine, key=str) == sorted(plain(rows + odd, words, percent), key=str)
 
 
+def test_repeated_ids(documents):
+    rows = [(1, "one two"), (2, "one two"), (2, "p q r s"), (3, "P q r s"), (2, "alone here")]
+    found = listed(near_dedup.near_duplicates(documents(rows)), "doc_id", "component_id")
+    assert found == [(1, 1), (2, 1), (2, 2), (2, 2), (3, 2)]
+
+
 def test_empty_and_filter(documents, clashing):
     assert near_dedup.near_duplicates(documents([])).count() == 0
     table = clashing(documents([(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (None, "a b c d e f"), (4, "")]))
