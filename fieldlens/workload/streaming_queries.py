@@ -17,21 +17,27 @@ from fieldlens.workload.sequence_queries import GAP
 PARTS = 4
 
 
+def _quarter(rows) -> tuple[int, int]:
+    """First second of the rows, and the length of a quarter of their time."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    return first or 0, ((last or 0) - (first or 0)) // PARTS + 1
+
+
 def _stream(t, view: str, in_time: bool = False):
     """A view as a file stream of several micro-batches over its whole given table.
 
-    ``in_time`` lands the rows in the order of ``ts``, one part after another, as a camera sends them.
+    ``in_time`` lands the rows one quarter of the time after another, as a camera sends them; the files of
+    a quarter come in any order, so the stream's rows are late by :func:`_quarter` at most.
     """
     table, columns = VIEWS[view]
     rows, folder = t.table(table), scratch_path(t.spark, f"landing-{view}")
     if in_time:
-        moment = F.unix_micros(F.col("ts").cast("timestamp"))
-        timed = rows.withColumn("_at", moment)
-        cuts = timed.agg(F.percentile_approx("_at", [i / PARTS for i in range(1, PARTS)])).first()[0] or []
-        after = [None, *cuts]
-        for low, high in zip(after, [*cuts, None]):
-            part = timed.where((F.lit(low is None) | (F.col("_at") > F.lit(low))) & (F.lit(high is None) | (F.col("_at") <= F.lit(high))))
-            part.drop("_at").coalesce(1).write.mode("append").parquet(folder)
+        first, length = _quarter(rows)
+        at = F.unix_seconds(F.col("ts").cast("timestamp"))
+        number = F.least(F.floor((at - first) / length), F.lit(PARTS - 1))
+        for part in range(PARTS):
+            rows.where(F.coalesce(number, F.lit(0)) == part).write.mode("append").parquet(folder)
     else:
         rows.repartition(PARTS).write.parquet(folder)
     files = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
@@ -47,7 +53,8 @@ def _result(t, path: str, columns: str):
     "SELECT deployment_id, min(ts) AS started, max(ts) AS ended, count(*) AS n_images FROM all_seqs GROUP BY deployment_id, seq_id",
 )
 def _(t):
-    sequences = live.live_sequences(_stream(t, "media", in_time=True), GAP, "1 hour")
+    _, late = _quarter(t.table(VIEWS["media"][0]))
+    sequences = live.live_sequences(_stream(t, "media", in_time=True), GAP, f"{late} seconds")
     target = scratch_path(t.spark, "live-sequences")
     writer = sequences.writeStream.format("parquet").option("checkpointLocation", target + "-state")
     writer.outputMode("append").trigger(availableNow=True).start(target).awaitTermination()
