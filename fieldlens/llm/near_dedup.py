@@ -11,6 +11,10 @@ Candidates are confirmed on full sets, and confirmed links are contracted to com
 members are then still in several components get a hub from another of them, and so on until a round
 finds no link. What is left unfinished is split into finer buckets, of two and then of three bands each,
 where unlike texts rarely meet, with rounds of their own.
+
+The rounds only save work. Members of buckets that still hold several components are at last joined
+exactly: two sets that are similar enough share one of the few first shingles of each in any fixed order,
+and the order puts rare shingles first. Only pairs of different components are made.
 """
 
 from __future__ import annotations
@@ -35,6 +39,10 @@ BAND_RANGES = 5
 BANDS = RANGES // BAND_RANGES
 # Buckets are first single bands, then this many bands at strides from 1 to the second number.
 FINER = [(2, 4), (3, 6)]
+# Common shingles are told from rare ones by counts in this many slots, over about this many sets. They
+# order the shingles, no more: any order gives the same links.
+COMMON_SLOTS = 1 << 21
+COMMON_SETS = 20_000
 
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _PROBES = np.stack([np.random.default_rng(1000 + i).permutation(RANGES) for i in range(RANGES)])
@@ -194,6 +202,92 @@ def _split(members: DataFrame, depth: int, strides: int) -> DataFrame:
     return bands.select("node", F.explode(names).alias("key")).where("key is not null")
 
 
+def _common(texts: DataFrame, shingle_words: int) -> np.ndarray:
+    """How often shingles occur in a sample of the sets, by slots of their hashes."""
+    share = min(1.0, COMMON_SETS / max(texts.count(), 1))
+    sample = texts.where(F.pmod(F.xxhash64("node", F.lit("common")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    shift = np.uint64(64 - COMMON_SLOTS.bit_length() + 1)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COMMON_SLOTS, np.int32)
+        for batch in batches:
+            for text in batch.column("text"):
+                np.add.at(total, (shingle_set(text.as_py(), shingle_words) >> shift).astype(np.int64), np.int32(1))
+        used = np.flatnonzero(total > 0)
+        for at in range(0, len(used), 1 << 18):
+            some = used[at : at + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["slot", "n"])
+
+    found = sample.select("text").mapInArrow(task, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = found.where("n > 1").toArrow()  # one number per slot at most
+    out = np.zeros(COMMON_SLOTS, np.int32)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _firsts(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """The first shingles of each set, rare ones first: shingle, node, label, n, at, low.
+
+    A set of n shingles that is similar to one not larger shares at least percent x n / 100 of them, and to
+    one not smaller at least 2 x percent x n / (100 + percent); so the first shared one has a place ``at``
+    among the n less that many. ``low`` marks the fewer places of the second kind.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle_words))
+    shift = np.uint64(64 - COMMON_SLOTS.bit_length() + 1)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        names = ["shingle", "node", "label", "n", "at", "low"]
+        for batch in batches:
+            rows, found, sizes, places, lows = [], [], [], [], []
+            for row, text in enumerate(batch.column("text")):
+                shingles = shingle_set(text.as_py(), shingle_words)
+                n = len(shingles)
+                if not n:
+                    continue
+                most = n + (-percent * n) // 100 + 1
+                least = n + (-2 * percent * n) // (100 + percent) + 1
+                often = common[(shingles >> shift).astype(np.int64)]
+                found.append(shingles[np.argsort(often, kind="stable")[:most]].view(np.int64))  # equal counts by hash
+                rows.append(np.full(most, row))
+                sizes.append(np.full(most, n))
+                places.append(np.arange(most))
+                lows.append(np.arange(most) < least)
+            if not rows:
+                continue
+            at = pa.array(np.concatenate(rows))
+            columns = [
+                pa.array(np.concatenate(found)), batch.column("node").take(at), batch.column("label").take(at),
+                pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32)),
+                pa.array(np.concatenate(lows)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "shingle bigint, node bigint, label bigint, n int, at int, low boolean"
+    return texts.select("node", "label", "text").mapInArrow(task, schema)
+
+
+def _across(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Candidates hub, node among all pairs of different labels; none that is similar enough is left out.
+
+    ``texts``: node, label, text. Shingles of one component are dropped, and the pairs of components at a
+    shingle are made before those of their members, so a large component is not paired with itself.
+    """
+    firsts = stored(_firsts(texts, shingle_words, percent), "firsts")
+    mixed = firsts.groupBy("shingle").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high")
+    firsts = stored(firsts.join(mixed.select("shingle"), "shingle", "left_semi"), "mixed-firsts")
+    small = firsts.where("low").select("shingle", F.col("label").alias("label_a"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    large = firsts.select("shingle", F.col("label").alias("label_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    labels = small.select("shingle", "label_a").distinct().join(large.select("shingle", "label_b").distinct(), "shingle").where("label_a <> label_b")
+    pairs = labels.join(small, ["shingle", "label_a"]).join(large, ["shingle", "label_b"])
+    # The smaller set is a. At the first shared shingle, what follows it must hold the rest of the overlap.
+    ordered = F.expr("n_a < n_b or (n_a = n_b and a < b)")
+    fits = F.lit(100) * F.col("n_a") >= F.lit(percent) * F.col("n_b")
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")).cast("bigint")
+    enough = rest * (100 + percent) >= (F.col("n_a") + F.col("n_b")).cast("bigint") * percent
+    return pairs.where(ordered & fits & enough).select(F.col("b").alias("hub"), F.col("a").alias("node")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
@@ -235,21 +329,22 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
                 spokes = spokes.join(tested, ["hub", "node"], "left_anti")
             spokes = stored(_alike(spokes, sizes, percent), "spokes")
             tested = spokes if tested is None else tested.unionAll(spokes)
-            hubs = texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text"))
-            pairs = spokes.join(texts, "node").join(hubs, "hub").select("hub", "node", "hub_text", F.col("text").alias("node_text"))
-            links = stored(confirmed(pairs, shingle_words, percent), "links")
-            # Links between nodes become links between the components they are in.
-            of_a, of_b = (label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-            joined = components(links.join(of_a, "a").join(of_b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
             served = F.col("served") | (F.col("label") == F.col("hub_label"))
             members = stars.select("key", "band", "node", served.alias("served"))
-            found = joined is not None
-            if found:
-                ups = joined.select(F.col("id").alias("label"), F.col("label").alias("up"))
-                label = stored(label.join(ups, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+            merged = _merged(label, spokes, texts, shingle_words, percent)
+            found = merged is not None
+            label = merged if found else label
         if finer is None:
             unfinished = members.select("node", "band", "key").distinct()
 
+    # Links between members that were no hubs: whatever still lies in a bucket with another component.
+    of_key = stored(buckets.select("key", "node").join(label, "node"), "labelled")
+    mixed = of_key.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high")
+    opened = of_key.join(mixed.select("key"), "key", "left_semi").select("node", "label").distinct()
+    across = stored(_across(stored(texts.join(opened, "node"), "open-texts"), shingle_words, percent), "across")
+    merged = _merged(label, across, texts, shingle_words, percent)
+    label = label if merged is None else merged
+
     by_set = sets.join(label, "node", "left").select("high", "low", F.coalesce("label", "node").alias("label"))
     linked = known.join(stored(by_set, "set-labels"), ["high", "low"], "left")
     component = F.coalesce("label", F.col("doc_id").cast("bigint"))
@@ -258,6 +353,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     )
 
 
+def _merged(label: DataFrame, pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame | None:
+    """The labels after the confirmed of the pairs hub, node are linked; None if none of them is."""
+    hubs = texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text"))
+    bodies = pairs.join(texts, "node").join(hubs, "hub").select("hub", "node", "hub_text", F.col("text").alias("node_text"))
+    links = stored(confirmed(bodies, shingle_words, percent), "links")
+    # Links between nodes become links between the components they are in.
+    of_a, of_b = (label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+    joined = components(links.join(of_a, "a").join(of_b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    if joined is None:
+        return None
+    ups = joined.select(F.col("id").alias("label"), F.col("label").alias("up"))
+    return stored(label.join(ups, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+
+
 def _alike(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose set sizes allow the similarity; so the texts of a pair are of like length too."""
     own = sizes.select("node", F.col("n").alias("_n"))

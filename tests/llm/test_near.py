@@ -57,6 +57,25 @@ def test_components_equal_all_pairs(documents, clashing, seed, words, percent):
     assert sorted(mine, key=str) == sorted(plain(rows + odd, words, percent), key=str)
 
 
+def templates():
+    """One text with four slots of 1200 words: linked are those that agree in a slot, 0.84 alike the others."""
+    draw = random.Random(4)
+    base = [f"w{i}" for i in range(140)]
+    rows = []
+    for doc_id in range(600):
+        text = list(base)
+        for at in (20, 50, 80, 110):
+            text[at] = f"s{draw.randrange(1200)}"
+        rows.append((doc_id * 7 % 1009, " ".join(text)))
+    return rows
+
+
+def test_slot_templates_equal_all_pairs(documents):
+    rows = templates()
+    found = listed(near_dedup.near_duplicates(documents(rows), 3, 85), "doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(found) == sorted(plain(rows, 3, 85))
+
+
 def test_repeated_ids(documents):
     rows = [(1, "one two"), (2, "one two"), (2, "p q r s"), (3, "P q r s"), (2, "alone here")]
     found = listed(near_dedup.near_duplicates(documents(rows)), "doc_id", "component_id")
