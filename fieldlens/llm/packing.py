@@ -2,11 +2,12 @@
 
 Documents are tokenised and cut into pieces of at most ``capacity`` tokens. Only the histogram of piece
 lengths, at most ``capacity`` numbers, goes to the driver. There a linear program over configurations
-(multisets of lengths that fit into a sequence) covers the histogram with as few sequences as it can: the
-weights of the lengths are updated multiplicatively, a knapsack dynamic program prices the next
-configuration. The solution is rounded down to whole sequences; what is left of the histogram is packed
-best-fit decreasing, many equal pieces at a time. The plan says for each length which places its 1st, 2nd,
-... piece takes, so pieces need only a number among those of their length to find their own place.
+(multisets of lengths that fit into a sequence) covers the histogram with few sequences: the weights of the
+lengths fall by small factors as they are covered, a knapsack dynamic program prices the next configuration
+and bounds the optimum from below, and the steps are averaged. The solution is rounded down to whole
+sequences; what is left of the histogram is packed best-fit decreasing, many equal pieces at a time. The
+whole histogram packed best-fit decreasing is kept where it is not larger. The plan says for each length
+which places its 1st, 2nd, ... piece takes, so pieces need only a number among those of their length to find their own place.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ from fieldlens.session import stored
 CAPACITY = 2048
 # Configurations priced at most; more come closer to the linear optimum.
 ROUNDS = 600
+# A step covers this share of one length's pieces; a covered share of 1 lowers a weight by e^-RATE; a solution
+# this close to its lower bound is good enough.
+STEP, RATE, GAP = 0.1, 1.0, 1e-3
 _CACHE_WORDS = 300_000
 _CACHE_WORD_BYTES = 40
 
@@ -169,31 +173,44 @@ def _knapsack(prices: np.ndarray, capacity: int) -> Configuration:
     return sorted(chosen.items(), reverse=True)
 
 
-def fractional_cover(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[Configuration, float]]:
-    """Configurations and how often each is taken, by multiplicative weights.
+def fractional_cover(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[Configuration, float]], float]:
+    """Configurations, how often each is taken, and a lower bound of the linear optimum.
 
-    A length's price starts in proportion to the length, the dual solution of a perfect packing, and
-    falls exponentially with the share of its pieces that is covered. Each round takes the
-    configuration of the largest price until one of its lengths is covered.
+    Multiplicative weights: a length's weight starts as its share of the tokens, which are the prices of
+    a perfect packing, and falls exponentially with the share of its pieces that is covered. Each round
+    takes the configuration of the largest price for a small step. All steps together, scaled so that the
+    least covered length is covered once, are a solution; weights over the largest price are a bound.
     """
-    lengths = np.arange(capacity + 1)
-    need = counts.astype(float)
-    covered = np.zeros(capacity + 1)
-    taken = []
-    for _ in range(min(rounds, 2 * int((counts > 0).sum()))):
-        share = np.divide(covered, need, out=np.ones_like(need), where=need > 0)
-        left = need - covered
-        if not (left > 0.5).any():
-            break
-        prices = np.where(left > 0.5, lengths / capacity * np.exp(-0.05 * share), 0.0)
+    lengths = np.flatnonzero(counts > 0)
+    if not len(lengths):
+        return [], 0.0
+    need = counts[lengths].astype(float)
+    place = {int(length): i for i, length in enumerate(lengths)}
+    first = np.log(need * lengths)
+    covered = np.zeros(len(lengths))
+    steps: list[tuple[Configuration, float]] = []
+    total, bound, least, best = 0.0, 0.0, np.inf, (0, 1.0)
+    for _ in range(rounds):
+        logs = first - RATE * covered
+        weights = np.exp(logs - logs.max())
+        prices = np.zeros(capacity + 1)
+        prices[lengths] = weights / need
         chosen = _knapsack(prices, capacity)
-        if not chosen:
+        at = [place[length] for length, _ in chosen]
+        many = np.array([n for _, n in chosen], float)
+        bound = max(bound, weights.sum() / (prices[lengths[at]] @ many))
+        often = STEP * float((need[at] / many).min())
+        covered[at] += often * many / need[at]
+        steps.append((chosen, often))
+        total += often
+        if covered.min() > 0 and total / covered.min() < least:
+            least, best = total / covered.min(), (len(steps), 1 / covered.min())
+        if least <= bound * (1 + GAP):
             break
-        often = min(max(left[length], 0.5) / many for length, many in chosen)
-        for length, many in chosen:
-            covered[length] += often * many
-        taken.append((chosen, often))
-    return taken
+    sums: dict[tuple[tuple[int, int], ...], float] = {}
+    for chosen, often in steps[: best[0]]:
+        sums[tuple(chosen)] = sums.get(tuple(chosen), 0.0) + often * best[1]
+    return [(list(chosen), often) for chosen, often in sums.items()], bound
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Configuration, int]]:
@@ -206,13 +223,19 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
     if left[capacity]:
         made.append(([(capacity, 1)], int(left[capacity])))
         left[capacity] = 0
-    for chosen, often in fractional_cover(left, capacity, rounds):
+    plain = _best_fit(left, capacity)
+    many_plain = sum(often for _, often in plain)
+    if many_plain * capacity < int(left @ np.arange(capacity + 1)) + capacity:
+        return made + plain  # no packing can have fewer
+    solved: list[tuple[Configuration, int]] = []
+    for chosen, often in fractional_cover(left, capacity, rounds)[0]:
         whole = min([int(often + 1e-9), *(int(left[length]) // many for length, many in chosen)])
         if whole > 0:
-            made.append((chosen, whole))
+            solved.append((chosen, whole))
             for length, many in chosen:
                 left[length] -= whole * many
-    return made + _best_fit(left, capacity)
+    solved += _best_fit(left, capacity)
+    return made + (solved if sum(often for _, often in solved) < many_plain else plain)
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[Configuration, int]]:

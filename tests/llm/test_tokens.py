@@ -92,6 +92,43 @@ def test_plan_holds_the_counts(seed, capacity):
     assert sum(often for _, often in made) <= max(bound * 1.01 + 2, (counts > capacity // 2)[: capacity + 1].sum())
 
 
+def _histogram(capacity, pieces):
+    counts = np.zeros(capacity + 1, int)
+    counts[list(pieces)] = list(pieces.values())
+    return counts
+
+
+@pytest.mark.parametrize(
+    "capacity, pieces, optimum, slack",
+    [
+        (2048, {1025: 8, 256: 24}, 8, 0),
+        (2048, {1100: 30_000, 128: 210_000}, 30_000, 0),
+        # Best-fit decreasing needs 11,000 here: 51 + 26 + 23 and 27 + 27 + 23 + 23 fill sequences.
+        (100, {51: 6000, 27: 6000, 26: 6000, 23: 12_000}, 9000, 270),
+    ],
+)
+def test_plan_of_skewed_histograms(capacity, pieces, optimum, slack):
+    counts = _histogram(capacity, pieces)
+    made = packing.plan(counts, capacity)
+    held = np.zeros(capacity + 1, int)
+    for chosen, often in made:
+        for length, many in chosen:
+            held[length] += many * often
+    assert (held == counts).all()
+    assert optimum <= sum(often for _, often in made) <= optimum + slack
+
+
+def test_the_program_is_solved_between_its_bounds():
+    counts = _histogram(100, {51: 6000, 27: 6000, 26: 6000, 23: 12_000})
+    cover, bound = packing.fractional_cover(counts, 100)
+    covered = np.zeros(101)
+    for chosen, often in cover:
+        for length, many in chosen:
+            covered[length] += many * often
+    assert (covered >= counts * (1 - 1e-9)).all()
+    assert bound <= 9000 * (1 + 1e-9) and bound * 1.05 >= sum(often for _, often in cover) >= 9000 * (1 - 1e-9)
+
+
 def test_plan_of_nothing():
     assert packing.plan(np.zeros(9, int), 8) == []
     assert packing.plan(np.array([0, 0, 0, 0, 0, 0, 0, 0, 3]), 8) == [([(8, 1)], 3)]
