@@ -198,6 +198,11 @@ def test_the_model_is_a_probability():
         assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_weights_are_updated_each_time_twice_as_much_is_read():
+    assert language_model.stretch_ends(1000) == [0, 64, 128, 256, 512, 1024]
+    assert language_model.stretch_ends(9000)[5:] == [1024, 2048, 4096, 6144, 8192, 10240]
+
+
 def test_scores_do_not_depend_on_the_batch():
     model = small_model()
     draw = random.Random(8)
