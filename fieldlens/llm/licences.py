@@ -8,6 +8,9 @@ digest that is known names the licence. Column functions only.
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +71,22 @@ KNOWN = [
     ("All-Rights-Reserved", "All rights reserved."),
 ]
 
+
+
+def _layouts(text: str) -> set[str]:
+    """A text as it is, with a line per paragraph, and as one line.
+
+    Lines that begin with the word copyright are left out, so other line breaks can give another digest.
+    """
+    paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
+    return {text, "\n".join(paragraphs), " ".join(paragraphs)}
+
+
+# Whole licence texts: a file each, named by identifier and, where there are several, the wording.
+for _file in sorted(files(__package__).joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+    _name = re.sub(r"(\.[a-z-]+)?\.txt$", "", _file.name)
+    KNOWN += [(_name, _text) for _text in sorted(_layouts(_file.read_text("utf-8")))]
+
 # Spellings that mean the same, and their common form; applied in this order.
 SPELLINGS = [
     ("licence", "license"),

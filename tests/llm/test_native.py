@@ -106,3 +106,24 @@ def test_licences(spark, documents, clashing):
         assert listed(licences.licence_scan(documents(rows), licences.known_digests(spark)), "doc_id", "whole_licence", "licences", "n_notices") == found
     finally:
         licences.BROADCAST_ROWS = before
+
+
+def test_whole_licence_texts(spark, documents):
+    folder = "/usr/share/common-licenses"
+    named = {
+        "Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0",
+        "BSD": "BSD-3-Clause", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0",
+    }
+    texts = [(name, open(f"{folder}/{file}", encoding="utf-8").read()) for file, name in named.items()]
+    data = {n: t for n, t in licences.KNOWN if n.startswith("BSD-") and t.startswith("BSD") and "\n\n" in t}
+    assert len(data) == 2
+    rows, expected = [], []
+    for name, text in texts + sorted(data.items()):
+        lined = re.sub(r"\n[ \t]*\n", "\n\n\n", text).replace("\n", " \r\n")
+        flowed = "\n\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", text))
+        other = re.sub(r"(?m)^([ \t]*)Copyright \(c\) .*$", r"\1Copyright 2021 Some One Else", text, flags=re.I)
+        for body in (text, text.upper(), other, lined, flowed, text + "\nand more"):
+            expected.append((len(rows), None if body.endswith("more") else name))
+            rows.append((len(rows), body))
+    found = licences.licence_scan(documents(rows), licences.known_digests(spark))
+    assert sorted((r.doc_id, r.whole_licence) for r in found.collect()) == expected
