@@ -13,16 +13,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens.llm.common import fold
 
 FOLDS = 5  # fold 0 is held out
 BUCKETS = 2048
-# Bounds of what is learned from: languages by number of documents, and rows of each by hash of the id.
-MAX_LANGUAGES = 32
-ROWS_PER_LANGUAGE = 1200
+# Rows learned from, by hash of the id: about this many of each language, and fewer where there are so many
+# languages that all would be more than LEARNING_ROWS; but no language is left out.
+ROWS_PER_LANGUAGE, LEAST_ROWS = 1200, 20
+LEARNING_ROWS = 32 * ROWS_PER_LANGUAGE
+# Machines that the driver fits itself; more are fitted in tasks.
+DRIVER_MACHINES = 64
 UNKNOWN = "und"
 # In a filter, rows below this score are turned away; low, to keep clean documents.
 MIN_SCORE = 0.05
@@ -100,7 +103,10 @@ def fit_svm(rows: np.ndarray, sign: np.ndarray, ridge: float = 1e-4, steps: int
 
     Both classes weigh the same, whatever their sizes.
     """
-    x = np.column_stack([rows, np.ones(len(rows), np.float32)])
+    return _fit_svm(np.column_stack([rows, np.ones(len(rows), np.float32)]), sign, ridge, steps)
+
+
+def _fit_svm(x: np.ndarray, sign: np.ndarray, ridge: float = 1e-4, steps: int = 120) -> np.ndarray:
     share = np.where(sign > 0, 0.5 / max((sign > 0).sum(), 1), 0.5 / max((sign < 0).sum(), 1)).astype(np.float32)
     weights = np.zeros(x.shape[1], np.float32)
     ahead, rate = weights.copy(), 1 / (2 * 2 + ridge)  # rows have length 1, with the bias sqrt(2)
@@ -148,36 +154,69 @@ class Model:
         return best, score
 
 
-def fit(rows: np.ndarray, languages: np.ndarray) -> Model:
+def fit(rows: np.ndarray, languages: np.ndarray, spark: SparkSession | None = None) -> Model:
+    """A machine per family and per pair of languages in a family; in tasks of ``spark`` if there are many."""
     codes = sorted(set(languages.tolist()))
     model = Model(codes, sorted({family_of(c) for c in codes}))
-    families = np.array([family_of(c) for c in languages.tolist()])
-    if len(model.families) > 1:
-        model.by_family = np.stack([fit_svm(rows, np.where(families == f, 1, -1).astype(np.float32)) for f in model.families])
-    for a, b in combinations(range(len(codes)), 2):
-        if family_of(codes[a]) == family_of(codes[b]):
-            used = np.isin(languages, [codes[a], codes[b]])
-            sign = np.where(languages[used] == codes[a], 1, -1).astype(np.float32)
-            model.by_pair[a, b] = fit_svm(rows[used], sign)
+    by_name = {f: [] for f in model.families}
+    for i, code in enumerate(codes):
+        by_name[family_of(code)].append(i)
+    place = {code: i for i, code in enumerate(codes)}
+    language = np.array([place[c] for c in languages.tolist()])
+    family_at = {name: i for i, name in enumerate(model.families)}
+    family = np.array([family_at[family_of(c)] for c in codes])[language]
+    pairs = [pair for members in by_name.values() for pair in combinations(members, 2)]
+    several = len(model.families) if len(model.families) > 1 else 0
+    x = np.column_stack([rows, np.ones(len(rows), np.float32)])
+
+    def machine(number: int, x: np.ndarray) -> np.ndarray:
+        if number < several:
+            return _fit_svm(x, np.where(family == number, 1, -1).astype(np.float32))
+        a, b = pairs[number - several]
+        used = np.isin(language, [a, b])
+        return _fit_svm(x[used], np.where(language[used] == a, 1, -1).astype(np.float32))
+
+    total = several + len(pairs)
+    if spark is None or total <= DRIVER_MACHINES:
+        found = [machine(i, x) for i in range(total)]
+    else:
+        shared = spark.sparkContext.broadcast(x)
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number in batch.column("id").to_pylist():
+                    weights = machine(number, shared.value).astype(np.float32).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([weights], pa.binary())], ["id", "weights"])
+
+        del x  # tasks take the broadcast
+        parts = min(total, 4 * spark.sparkContext.defaultParallelism)
+        table = spark.range(0, total, 1, parts).mapInArrow(task, "id bigint, weights binary").toArrow().sort_by("id")
+        found = [np.frombuffer(w.as_buffer(), np.float32) for w in table.column("weights")]
+        shared.unpersist()
+    if several:
+        model.by_family = np.stack(found[:several])
+    model.by_pair = dict(zip(pairs, found[several:]))
     return model
 
 
 def learn(docs: DataFrame) -> Model | None:
-    """A model from at most MAX_LANGUAGES x ROWS_PER_LANGUAGE labelled rows outside fold 0.
+    """A model of every language with labelled rows outside fold 0, from a bounded number of them each.
 
-    The rows are chosen by a hash of their ids, evenly over the table. None without labelled rows.
+    The rows are chosen by a hash of their ids, evenly over the table. None without labelled rows. The
+    driver holds a number per language and the chosen rows.
     """
     # Documents without text or letters teach nothing.
     labelled = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and doc_id is not null")
     labelled = labelled.where(fold(F.col("doc_id"), FOLDS) > 0)
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().collect()
     if not sizes:
         return None
+    rows_each = max(LEAST_ROWS, min(ROWS_PER_LANGUAGE, LEARNING_ROWS // len(sizes)))
+    spark = docs.sparkSession
+    # Languages of few rows are learned whole.
+    shares = [(row["lang"], int(min(1.0, rows_each / row["count"]) * (1 << 30))) for row in sizes]
     place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for row in sizes:
-        part = min(1.0, ROWS_PER_LANGUAGE / row["count"])
-        chosen = chosen | ((F.col("lang") == row["lang"]) & (place < int(part * (1 << 30))))
+    bounds = F.broadcast(spark.createDataFrame(shares, "lang string, _share bigint"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,13 +226,14 @@ def learn(docs: DataFrame) -> Model | None:
             langs = batch.column("lang").take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([langs, pa.array([r.tobytes() for r in rows], pa.binary())], ["lang", "row"])
 
-    sample = labelled.where(chosen).select("lang", F.encode("text", "UTF-8").alias("text")).mapInArrow(task, "lang string, row binary")
-    # The hash keeps about ROWS_PER_LANGUAGE rows each; the limit holds for tables that repeat an id.
-    found = sample.limit(len(sizes) * 2 * ROWS_PER_LANGUAGE).toArrow()
+    sample = labelled.join(bounds, "lang").where(place < F.col("_share")).select("lang", F.encode("text", "UTF-8").alias("text"))
+    sample = sample.mapInArrow(task, "lang string, row binary")
+    # The hash keeps about rows_each rows each; the limit holds for tables that repeat an id.
+    found = sample.limit(len(sizes) * 2 * rows_each).toArrow()
     if not len(found):
         return None
     rows = np.stack([np.frombuffer(r.as_buffer(), np.float32) for r in found.column("row")])
-    return fit(rows, np.array(found.column("lang").to_pylist(), object))
+    return fit(rows, np.array(found.column("lang").to_pylist(), object), spark)
 
 
 def _judge(model: Model | None, bodies: list[bytes]) -> tuple[list[str], np.ndarray]:

@@ -136,6 +136,19 @@ def test_languages(real, documents, clashing):
     assert left.columns == clashing(documents(odd)).columns and {1, 2, 4}.isdisjoint(r.doc_id for r in left.collect())
 
 
+@pytest.mark.parametrize("on_driver", [64, 0])
+def test_every_language_is_learned(documents, monkeypatch, on_driver):
+    monkeypatch.setattr(language_id, "DRIVER_MACHINES", on_driver, raising=False)
+    draw = random.Random(6)
+    rows = []
+    for language in range(40):
+        syllables = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(12)]
+        for _ in range(20 if language < 32 else 12):
+            rows.append((len(rows), " ".join("".join(draw.choices(syllables, k=2)) for _ in range(40)), f"x{language:02}"))
+    found = {r.doc_id: r.lang_pred for r in language_id.languages(documents(rows)).collect()}
+    assert [i for i, _, lang in rows if found[i] != lang] == []
+
+
 def test_features_do_not_depend_on_neighbours():
     bodies = [b"one text", b"", "Größe é".encode(), b"x"]
     together = language_id.features(bodies)
