@@ -278,12 +278,20 @@ def _across(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     firsts = stored(firsts.join(mixed.select("shingle"), "shingle", "left_semi"), "mixed-firsts")
     small = firsts.where("low").select("shingle", F.col("label").alias("label_a"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
     large = firsts.select("shingle", F.col("label").alias("label_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    labels = small.select("shingle", "label_a").distinct().join(large.select("shingle", "label_b").distinct(), "shingle").where("label_a <> label_b")
+    # Pairs of components first, without those whose sizes and places allow no pair of members.
+    rest_a, rest_b = F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")
+    of_a = small.groupBy("shingle", "label_a").agg(F.min("n_a").alias("low_a"), F.max("n_a").alias("high_a"), F.max(rest_a).alias("most_a"))
+    of_b = large.groupBy("shingle", "label_b").agg(F.min("n_b").alias("low_b"), F.max("n_b").alias("high_b"), F.max(rest_b).alias("most_b"))
+    sizes = (F.col("low_a") <= F.col("high_b")) & (F.lit(100) * F.col("high_a") >= F.lit(percent) * F.col("low_b"))
+    most = F.least("most_a", "most_b").cast("bigint")
+    places = most * (100 + percent) >= (F.col("low_a") + F.col("low_b")).cast("bigint") * percent
+    possible = of_a.join(of_b, "shingle").where((F.col("label_a") != F.col("label_b")) & sizes & places)
+    labels = possible.select("shingle", "label_a", "label_b")
     pairs = labels.join(small, ["shingle", "label_a"]).join(large, ["shingle", "label_b"])
     # The smaller set is a. At the first shared shingle, what follows it must hold the rest of the overlap.
     ordered = F.expr("n_a < n_b or (n_a = n_b and a < b)")
     fits = F.lit(100) * F.col("n_a") >= F.lit(percent) * F.col("n_b")
-    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")).cast("bigint")
+    rest = F.least(rest_a, rest_b).cast("bigint")
     enough = rest * (100 + percent) >= (F.col("n_a") + F.col("n_b")).cast("bigint") * percent
     return pairs.where(ordered & fits & enough).select(F.col("b").alias("hub"), F.col("a").alias("node")).distinct()
 
