@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlens.llm import bpe, exact_dedup, language_id, language_model, licences, near_dedup, packing, quality_classifier, quality_rules, sharding
+from fieldlens.llm import bpe, centroids, exact_dedup, language_id, language_model, licences, near_dedup, packing, phrases, quality_classifier, quality_rules, sharding, simhash
 from fieldlens.llm.common import prepare
 
 
@@ -61,6 +61,18 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(_documents(spark, sf_dir))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_documents(spark, sf_dir))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_duplicates(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -72,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_lm_scores": op10_lm_scores,
+    "op11_phrase_mining": op11_phrase_mining,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_simhash_dedup": op13_simhash_dedup,
 }
 
 _EXACT_SQL = r"""
@@ -86,4 +101,6 @@ FROM n WINDOW same AS (PARTITION BY body)
 ORACLES: dict[str, str] = {
     "op1_license_scan": licences.oracle_sql(),
     "op5_exact_dedup": _EXACT_SQL,
+    "op11_phrase_mining": phrases.oracle_sql(),
+    "op12_centroid_clustering": centroids.oracle_sql(),
 }
