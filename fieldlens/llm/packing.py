@@ -2,11 +2,12 @@
 
 Documents are tokenised and cut into pieces of at most ``capacity`` tokens. Only the histogram of piece
 lengths, at most ``capacity`` numbers, goes to the driver. There a linear program over configurations
-(multisets of lengths that fit into a sequence) covers the histogram with few sequences: the weights of the
-lengths fall by small factors as they are covered, a knapsack dynamic program prices the next configuration
-and bounds the optimum from below, and the steps are averaged. The solution is rounded down to whole
-sequences; what is left of the histogram is packed best-fit decreasing, many equal pieces at a time. The
-whole histogram packed best-fit decreasing is kept where it is not larger. The plan says for each length
+(multisets of lengths that fit into a sequence) covers the histogram with few sequences: the prices of the
+lengths fall by small factors as they are covered, a knapsack dynamic program finds the best filling of every
+room and bounds the optimum from below, and each round takes, for every length, the best configuration that
+holds it, if that is close to the best of all. So all lengths are covered from the first round on. The steps
+are averaged and rounded to whole sequences, the most used configurations first, as long as there are
+pieces; what is left of the histogram is packed best-fit decreasing, many equal pieces at a time. The plan says for each length
 which places its 1st, 2nd, ... piece takes, so pieces need only a number among those of their length to find their own place.
 """
 
@@ -18,6 +19,7 @@ import re
 import sys
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,11 +32,13 @@ from pyspark.sql import functions as F
 from fieldlens.session import stored
 
 CAPACITY = 2048
-# Configurations priced at most; more come closer to the linear optimum.
-ROUNDS = 600
-# A step covers this share of one length's pieces; a covered share of 1 lowers a weight by e^-RATE; a solution
-# this close to its lower bound is good enough.
-STEP, RATE, GAP = 0.1, 1.0, 1e-3
+# Rounds of pricing at most, each with a configuration for every length; more come closer to the linear optimum.
+ROUNDS = 100
+# A round covers this share of one length's pieces; a covered share of 1 lowers a price by e^-RATE; configurations
+# whose price is this close to the best are taken; a solution this close to its lower bound is good enough.
+STEP, RATE, NEAR, GAP = 0.1, 1.0, 0.02, 1e-3
+# Shares of the rounded solution that are tried; best-fit decreasing packs the rest.
+SHARES = (1.0, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.0)
 _CACHE_WORDS = 300_000
 _CACHE_WORD_BYTES = 40
 
@@ -60,7 +64,8 @@ class WordTokens:
     The tokenizer drops white space and never merges across it, so the ids of a text are those of its
     words one after another; recent words are remembered. Two generations bound the memory. Words of
     plain Latin letters, with one mark after them at most, are not changed by the tokenizer's
-    normalisation beyond lower case and are split before the mark, so they go to its model directly.
+    normalisation beyond lower case and are split before the mark, so they go to its model directly. The
+    tokenizer's special strings are found in the text as it is, and have their ids.
     """
 
     _PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u024f]+)([.,;:!?]?)")
@@ -70,7 +75,11 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_file)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # They are cut out below, before a text is lowered; what is left is ordinary text.
+        self._tokenizer.encode_special_tokens = True
+        special = {t.content.encode(): i for i, t in self._tokenizer.get_added_tokens_decoder().items() if t.special}
+        self._special = {text: _little([i]) for text, i in special.items()}
+        self._cut = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) + b")") if special else None
         self._pieces = self._tokenizer.model.tokenize
         self._letters = _byte_letters()
         self._new: dict[bytes, bytes] = {}
@@ -90,6 +99,25 @@ class WordTokens:
         return _little(ids)
 
     def encode(self, bodies: list[bytes]) -> list[bytes]:
+        """The ids of each text, four bytes each."""
+        parts: dict[int, list[bytes]] = {}  # of the texts with special strings: text, string, text, ...
+        if self._special:
+            for at, body in enumerate(bodies):
+                if any(text in body for text in self._special):
+                    parts[at] = self._cut.split(body)
+        if not parts:
+            return self._ordinary(bodies)
+        flat = [b for at, body in enumerate(bodies) for b in (parts[at][::2] if at in parts else [body])]
+        coded = iter(self._ordinary(flat))
+        out = []
+        for at in range(len(bodies)):
+            ids = next(coded)
+            for text in parts.get(at, [])[1::2]:
+                ids += self._special[text] + next(coded)
+            out.append(ids)
+        return out
+
+    def _ordinary(self, bodies: list[bytes]) -> list[bytes]:
         texts = [b.lower().split() for b in bodies]  # lower case of A-Z, as the tokenizer does itself
         known: dict[bytes, bytes] = {}
         unknown = []
@@ -155,87 +183,132 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
 Configuration = list[tuple[int, int]]  # (length, how many), longest first
 
 
-def _knapsack(prices: np.ndarray, capacity: int) -> Configuration:
-    """The configuration of the largest total price; prices[l] is that of one piece of length l."""
-    best = np.zeros(capacity + 1)
-    last = np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        totals = prices[1 : c + 1] + best[c - 1 :: -1]
-        at = int(totals.argmax())
-        best[c], last[c] = totals[at], at + 1
-    chosen: dict[int, int] = {}
-    c = capacity
-    while c > 0 and best[c] > 0:
-        length = int(last[c])
-        if prices[length] > 0:
-            chosen[length] = chosen.get(length, 0) + 1
-        c -= length
-    return sorted(chosen.items(), reverse=True)
-
-
-def fractional_cover(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[Configuration, float]], float]:
-    """Configurations, how often each is taken, and a lower bound of the linear optimum.
-
-    Multiplicative weights: a length's weight starts as its share of the tokens, which are the prices of
-    a perfect packing, and falls exponentially with the share of its pieces that is covered. Each round
-    takes the configuration of the largest price for a small step. All steps together, scaled so that the
-    least covered length is covered once, are a solution; weights over the largest price are a bound.
+def _fillings(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room the largest total price that fits, and the length it takes (0: nothing fits).
+
+    ``prices`` are those of one piece of each of the rising ``lengths``; equal totals take the longest piece.
+    """
+    best, taken = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    longest, price = lengths[::-1].copy(), prices[::-1].copy()
+    fits = len(lengths) - np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    for room in range(int(lengths[0]), capacity + 1):
+        at = fits[room]
+        totals = price[at:] + best[room - longest[at:]]
+        chosen = int(totals.argmax())
+        best[room], taken[room] = totals[chosen], longest[at + chosen]
+    return best, taken
+
+
+def _bundle(lengths: np.ndarray, best: np.ndarray, taken: np.ndarray, capacity: int) -> np.ndarray:
+    """A row for each length: itself and the best filling of the room it leaves, 0 where nothing follows."""
+    room = capacity - lengths
+    columns = [lengths]
+    while True:
+        following = np.where(best[room] > 0, taken[room], 0)
+        if not following.any():
+            return np.stack(columns, axis=1)
+        columns.append(following)
+        room = room - following
+
+
+def fractional_cover(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[Configuration, float]], float, float]:
+    """Configurations and how often each is taken, how often a piece is covered on average, and a lower bound.
+
+    Multiplicative weights: a piece's price starts as its length, which is the price of a perfect packing, and
+    falls exponentially with the share of the pieces of its length that is covered. All steps together,
+    scaled so that the least covered length is covered once, are a solution of the program; the prices of all
+    pieces over the largest price of a configuration are a bound of it.
     """
     lengths = np.flatnonzero(counts > 0)
     if not len(lengths):
-        return [], 0.0
+        return [], 1.0, 0.0
     need = counts[lengths].astype(float)
-    place = {int(length): i for i, length in enumerate(lengths)}
-    first = np.log(need * lengths)
+    place = np.zeros(capacity + 1, np.int64)
+    place[lengths] = np.arange(len(lengths))
+    first = np.log(lengths)
     covered = np.zeros(len(lengths))
-    steps: list[tuple[Configuration, float]] = []
-    total, bound, least, best = 0.0, 0.0, np.inf, (0, 1.0)
+    sums: dict[tuple[int, ...], float] = {}
+    total, bound = 0.0, 0.0
     for _ in range(rounds):
         logs = first - RATE * covered
-        weights = np.exp(logs - logs.max())
-        prices = np.zeros(capacity + 1)
-        prices[lengths] = weights / need
-        chosen = _knapsack(prices, capacity)
-        at = [place[length] for length, _ in chosen]
-        many = np.array([n for _, n in chosen], float)
-        bound = max(bound, weights.sum() / (prices[lengths[at]] @ many))
-        often = STEP * float((need[at] / many).min())
-        covered[at] += often * many / need[at]
-        steps.append((chosen, often))
-        total += often
-        if covered.min() > 0 and total / covered.min() < least:
-            least, best = total / covered.min(), (len(steps), 1 / covered.min())
-        if least <= bound * (1 + GAP):
+        prices = np.exp(logs - logs.max())
+        best, taken = _fillings(prices, lengths, capacity)
+        value = prices + best[capacity - lengths]
+        bound = max(bound, float(prices @ need / value.max()))
+        near = np.flatnonzero(value >= (1 - NEAR) * value.max())
+        rows = _bundle(lengths[near], best, taken, capacity)
+        often = need[near]
+        used = rows > 0
+        share = np.bincount(place[rows[used]], np.repeat(often[:, None], rows.shape[1], axis=1)[used], len(lengths)) / need
+        step = STEP / share.max()
+        covered += step * share
+        total += step * float(often.sum())
+        for row, n in zip((-np.sort(-rows, axis=1)).tolist(), (step * often).tolist()):
+            key = tuple(x for x in row if x)
+            sums[key] = sums.get(key, 0.0) + n
+        if covered.min() > 0 and total / covered.min() <= bound * (1 + GAP):
             break
-    sums: dict[tuple[tuple[int, int], ...], float] = {}
-    for chosen, often in steps[: best[0]]:
-        sums[tuple(chosen)] = sums.get(tuple(chosen), 0.0) + often * best[1]
-    return [(list(chosen), often) for chosen, often in sums.items()], bound
+    mean = float((covered * need * lengths).sum() / (need @ lengths))
+    cover = [(sorted(Counter(key).items(), reverse=True), often) for key, often in sums.items()]
+    return cover, mean, bound
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Configuration, int]]:
     """Whole numbers of sequences by configuration, which hold exactly the pieces counted.
 
-    counts[l] is the number of pieces of length l, 1 to ``capacity``.
+    counts[l] is the number of pieces of length l, 1 to ``capacity``. Of the rounded solution as much is used
+    as gives the fewest sequences, with best-fit decreasing for the rest; see :func:`program_share`.
     """
     left = counts.astype(np.int64).copy()
     made: list[tuple[Configuration, int]] = []
     if left[capacity]:
         made.append(([(capacity, 1)], int(left[capacity])))
         left[capacity] = 0
-    plain = _best_fit(left, capacity)
-    many_plain = sum(often for _, often in plain)
-    if many_plain * capacity < int(left @ np.arange(capacity + 1)) + capacity:
-        return made + plain  # no packing can have fewer
-    solved: list[tuple[Configuration, int]] = []
-    for chosen, often in fractional_cover(left, capacity, rounds)[0]:
-        whole = min([int(often + 1e-9), *(int(left[length]) // many for length, many in chosen)])
+    solved, rest = _solved(left, capacity, rounds)
+    return made + solved + rest
+
+
+def program_share(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[int, int, float]:
+    """Sequences with room to fill that come from the program, all of them, and the program's lower bound."""
+    left = counts.astype(np.int64).copy()
+    left[capacity] = 0
+    solved, rest = _solved(left, capacity, rounds)
+    many = sum(often for _, often in solved)
+    return many, many + sum(often for _, often in rest), fractional_cover(left, capacity, rounds)[2]
+
+
+def _solved(counts: np.ndarray, capacity: int, rounds: int) -> tuple[list[tuple[Configuration, int]], list[tuple[Configuration, int]]]:
+    """The sequences that come from the program, and those of the rest."""
+    cover, mean, _ = fractional_cover(counts, capacity, rounds)
+    left = counts.copy()
+    rounded: list[tuple[Configuration, int]] = []
+    for chosen, often in sorted(cover, key=lambda c: -c[1]):
+        # Covered once on average, and up, while there are pieces.
+        whole = min([int(np.ceil(often / mean - 1e-9)), *(int(left[length]) // many for length, many in chosen)])
         if whole > 0:
-            solved.append((chosen, whole))
+            rounded.append((chosen, whole))
             for length, many in chosen:
                 left[length] -= whole * many
-    solved += _best_fit(left, capacity)
-    return made + (solved if sum(often for _, often in solved) < many_plain else plain)
+    most = sum(often for _, often in rounded)
+    best: tuple[list[tuple[Configuration, int]], list[tuple[Configuration, int]]] = ([], [])
+    fewest = np.inf
+    for share in SHARES:
+        part, open_ = [], int(share * most)
+        left = counts.copy()
+        for chosen, often in rounded:
+            often = min(often, open_)
+            if often:
+                part.append((chosen, often))
+                open_ -= often
+                for length, many in chosen:
+                    left[length] -= often * many
+        rest = _best_fit(left, capacity)
+        n = sum(often for _, often in part) + sum(often for _, often in rest)
+        if n < fewest:
+            fewest, best = n, (part, rest)
+        if n * capacity < int(counts @ np.arange(capacity + 1)) + capacity:
+            break  # no packing can have fewer
+    return best
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[Configuration, int]]:
@@ -299,8 +372,8 @@ class Places:
 def packed(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text, and one of white space only, is the end id alone. Every piece has a place,
-    also those of repeated rows. Other columns of ``docs`` are not read. An empty table gives an empty
+    A null or empty text, and one of white space only, is the end id alone. Special strings of the tokenizer
+    in a text have their ids, as its file says. Every piece has a place, also those of repeated rows. Other columns of ``docs`` are not read. An empty table gives an empty
     result. Sequences are numbered from 0 and filled from offset 0 without gaps.
     """
     cut = stored(pieces(docs, tokenizer_file, capacity, end_id), "pieces")

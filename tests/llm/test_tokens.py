@@ -68,14 +68,42 @@ def test_round_trip_query(documents, clashing, plain):
 
 def test_word_tokens_equal_library():
     own, library = packing.WordTokens(WORDS), Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
-    texts = ["Straße ÉCOLE İstanbul Σας ŉ ǅ ß. a.b a,, don't we'll 'S x's <|endoftext|> ... a1b2", "éx É́ 中文 ab cd a\x1cc\x85 K ſ ﬁ", "", " \n", "Ā ĀB. Ŀ ĸ'"]
+    texts = [
+        "<|endoftext|>", "a<|startoftext|>b <|endoftext|><|endoftext|> C", "<|ENDOFTEXT|> <|EndOfText|>", "<|endoftext|", "é<|endoftext|>\u0301",
+        "x" * 50 + "<|endoftext|>" + "y" * 50, "Straße ÉCOLE İstanbul Σας ŉ ǅ ß. a.b a,, don't we'll 'S x's <|endoftext|> ... a1b2", "éx É́ 中文 ab cd a\x1cc\x85 K ſ ﬁ", "", " \n", "Ā ĀB. Ŀ ĸ'"]
     draw = random.Random(3)
     texts += ["".join(draw.choices(BITS, k=40)) for _ in range(300)]
     for text, ids in zip(texts, own.encode([t.encode() for t in texts])):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_sequences_come_from_the_program():
+    """Lengths of the documents of sf0.1, some 1,800 different ones: how many sequences are configurations."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist()
+    own, counts = packing.WordTokens(WORDS), np.zeros(2049, int)
+    for at in range(0, len(texts), 256):
+        for ids in own.encode([(t or "").encode() for t in texts[at : at + 256]]):
+            counts[2048] += (len(ids) // 4 + 1) // 2048
+            counts[(len(ids) // 4 + 1) % 2048] += 1
+    counts[0] = 0
+    assert (counts > 0).sum() > 1500
+    solved, every, bound = packing.program_share(counts)
+    assert every <= bound * 1.001 + 1 and solved >= 0.8 * every
+    cover, mean, _ = packing.fractional_cover(counts * (np.arange(2049) < 2048), 2048)
+    assert mean > 0 and all(sum(length * many for length, many in chosen) <= 2048 for chosen, _ in cover)
+
+
+@pytest.mark.parametrize("low, high, most", [(400, 1000, 1.02), (100, 700, 1.002)])
+def test_plan_beats_best_fit(low, high, most):
+    """Evenly drawn lengths, where best-fit decreasing is up to 7 % above the bound."""
+    counts = np.bincount(np.random.default_rng(0).integers(low, high, 20_000), minlength=2049)
+    solved, every, bound = packing.program_share(counts)
+    assert every <= bound * most + 1 and solved > 0.7 * every
+    assert every <= sum(often for _, often in packing._best_fit(counts.copy(), 2048))
+
+
 @pytest.mark.parametrize("seed, capacity", [(1, 64), (2, 2048)])
 def test_plan_holds_the_counts(seed, capacity):
     rng = np.random.default_rng(seed)
@@ -120,13 +148,14 @@ def test_plan_of_skewed_histograms(capacity, pieces, optimum, slack):
 
 def test_the_program_is_solved_between_its_bounds():
     counts = _histogram(100, {51: 6000, 27: 6000, 26: 6000, 23: 12_000})
-    cover, bound = packing.fractional_cover(counts, 100)
+    cover, _, bound = packing.fractional_cover(counts, 100)
     covered = np.zeros(101)
     for chosen, often in cover:
         for length, many in chosen:
             covered[length] += many * often
-    assert (covered >= counts * (1 - 1e-9)).all()
-    assert bound <= 9000 * (1 + 1e-9) and bound * 1.05 >= sum(often for _, often in cover) >= 9000 * (1 - 1e-9)
+    least = min(covered[i] / counts[i] for i in (51, 27, 26, 23))
+    assert least > 0
+    assert bound <= 9000 * (1 + 1e-9) and bound * 1.05 >= sum(often for _, often in cover) / least >= 9000 * (1 - 1e-9)
 
 
 def test_plan_of_nothing():
