@@ -6,12 +6,13 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens import schema
 from fieldlens.functions import filters, naming
-from fieldlens.plans.ordered import OrderedRows, ordered_rows
+from fieldlens.plans.ordered import ordered_rows
+from fieldlens.session import stored
 
 _DEPLOYMENT = ("collection", "deployment")
 RESOURCE_FIELDS = (
@@ -35,89 +36,40 @@ def resources(media: DataFrame, extensions: Iterable[str] = schema.MEDIA_EXTENSI
 # --- next-fit packing ---
 
 
-def _next_part(totals: np.ndarray, limit: int) -> np.ndarray:
-    """For a part opened at each file, the file that opens the next one. ``totals`` starts at 0."""
+def _next_part(sizes: np.ndarray, limit: int) -> np.ndarray:
+    """For a part opened at each file, the place of the file that opens the next one."""
+    totals = np.concatenate([[0], np.cumsum(sizes)])
     reach = np.searchsorted(totals, totals[:-1] + limit, side="right") - 1
     return np.maximum(reach, np.arange(1, len(totals)))
 
 
-def _first_opened(totals: np.ndarray, limit: int, opened: float | None) -> int:
-    """The file of a chunk that opens a part, given the bytes in the part open before it."""
-    if opened is None:
-        return 0
-    return max(int(np.searchsorted(totals, limit - opened, side="right")) - 1, 0)
+def _leave(following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts that follow one opened at each place lead out of the places, and how many they are.
 
-
-def _totals(sizes: pd.Series) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(sizes.to_numpy(dtype=np.int64))])
-
-
-def _chunk_outcomes(limit: int):
-    """Per chunk: what follows from each possible amount of bytes left open before it.
-
-    Outcomes are steps: from a room of ``room`` bytes on, the chunk opens ``parts`` parts and leaves
-    ``opened`` bytes open. Neighbouring starts soon meet in the same parts, so few steps remain.
+    Steps are composed with themselves, so the turns grow with the logarithm of the parts.
     """
-
-    def outcomes(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("name", kind="stable")
-        totals = _totals(pdf["size"])
-        files = len(pdf)
-        following = _next_part(totals, limit)
-        parts = np.zeros(files + 1, dtype=np.int64)
-        last = np.arange(files + 1)
-        for start in range(files - 1, -1, -1):
-            after = following[start]
-            parts[start] = parts[after] + 1
-            last[start] = start if after == files else last[after]
-        # No room at all opens a part at the first file; else files fit until the room is used up.
-        starts = np.concatenate([[0], np.arange(_first_opened(totals, limit, 0) + 1)])
-        room = np.concatenate([[-1], totals[starts[1:]]])
-        opened = np.where(starts < files, totals[-1] - totals[last[starts]], -1)
-        steps = pd.DataFrame({"room": room, "parts": parts[starts], "opened": opened})
-        steps = steps.drop_duplicates("room", keep="last")
-        same = (steps[["parts", "opened"]] == steps[["parts", "opened"]].shift()).all(axis=1)
-        steps = steps[~same].assign(bytes=totals[-1], chunk=pdf["_chunk"].iloc[0])
-        return steps.assign(collection=pdf["collection"].iloc[0], deployment=pdf["deployment"].iloc[0])
-
-    return outcomes
-
-
-def _follow_chunks(limit: int):
-    """Per deployment: the open bytes and the parts before each chunk, chunk after chunk."""
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        states, opened, parts = [], None, 0
-        for chunk, steps in pdf.sort_values(["chunk", "room"]).groupby("chunk", sort=True):
-            states.append((chunk, opened, parts))
-            room = -1 if opened is None else max(limit - opened, -1)
-            step = steps.iloc[int(np.searchsorted(steps["room"].to_numpy(), room, side="right")) - 1]
-            if step["opened"] < 0:
-                opened += int(step["bytes"])
-            else:
-                opened, parts = int(step["opened"]), parts + int(step["parts"])
-        frame = pd.DataFrame(states, columns=["_chunk", "_opened", "_parts"])
-        return frame.assign(collection=pdf["collection"].iloc[0], deployment=pdf["deployment"].iloc[0])
-
-    return follow
-
-
-def _assign_parts(limit: int):
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("name", kind="stable")
-        totals = _totals(pdf["size"])
-        following = _next_part(totals, limit)
-        opened = pdf["_opened"].iloc[0]
-        start = _first_opened(totals, limit, None if pd.isna(opened) else int(opened))
-        opens = np.zeros(len(pdf), dtype=np.int64)
-        while start < len(pdf):
-            opens[start] = 1
-            start = following[start]
-        return pdf.assign(part=int(pdf["_parts"].iloc[0]) + np.cumsum(opens))[
-            ["collection", "deployment", "name", "size", "part"]
-        ]
-
-    return assign
+    at, parts = following.copy(), np.ones(len(following), dtype=np.int64)
+    inside = np.flatnonzero(at < len(at))
+    while len(inside):
+        reached = at[inside]
+        parts[inside] += parts[reached]
+        at[inside] = at[reached]
+        inside = inside[at[inside] < len(at)]
+    return at, parts
+
+
+def _opened(following: np.ndarray, first: int) -> np.ndarray:
+    """1 at the places that open a part, if one is opened at ``first``."""
+    end = len(following)
+    opens = np.zeros(end + 1, dtype=np.int64)
+    opens[first] = 1
+    steps = np.append(np.minimum(following, end), end)
+    while True:
+        reached = steps[np.flatnonzero(opens)]
+        if opens[reached].all():
+            return opens[:-1]
+        opens[reached] = 1
+        steps = steps[steps]
 
 
 def pack_parts(
@@ -126,39 +78,119 @@ def pack_parts(
     """Number the parts of every deployment: files in name order, a part ends before it would exceed
     ``max_bytes``. A larger file is a part of its own; without a limit there is one part.
 
-    files: (collection, deployment, name, size), names unique in a deployment. Each part depends on
-    where the one before it ended, so one deployment is followed in order. A deployment too large for
-    one task is cut into chunks: each chunk first works out, for every possible start, how many parts
-    it opens and what it leaves open; these short tables are followed per deployment, and the chunks
-    are then numbered independently.
+    files: (collection, deployment, name, size), names unique in a deployment; a null size is 0. Each part
+    depends on where the one before it ended, so one deployment is followed in order. With ``chunk_rows`` no
+    task holds more than about that many files of a deployment, see :func:`_pack_chunks`.
     """
-    narrow = files.select(*_DEPLOYMENT, "name", F.col("size").cast("bigint").alias("size"))
+    size = F.coalesce(F.col("size").cast("bigint"), F.lit(0)).alias("size")
+    narrow = files.select(*_DEPLOYMENT, "name", size)
     if not max_bytes:
         return narrow.withColumn("part", F.lit(1).cast("bigint"))
-    output = "collection string, deployment string, name string, size bigint, part bigint"
-    rows = ordered_rows(narrow, _DEPLOYMENT, ["name"], chunk_rows=chunk_rows)
-    if not rows.chunked:
-        ready = rows.rows.withColumns({"_opened": F.lit(None).cast("bigint"), "_parts": F.lit(0)})
-        return ready.groupBy(*_DEPLOYMENT).applyInPandas(_assign_parts(max_bytes), output)
-    return _pack_chunks(rows, max_bytes, output)
-
-
-def _pack_chunks(rows: OrderedRows, max_bytes: int, output: str) -> DataFrame:
-    steps = rows.rows.groupBy(*rows.split_keys).applyInPandas(
-        _chunk_outcomes(max_bytes),
-        "room bigint, parts bigint, opened bigint, bytes bigint, chunk int, collection string, deployment string",
-    )
-    states = steps.groupBy(*_DEPLOYMENT).applyInPandas(
-        _follow_chunks(max_bytes),
-        "_chunk int, _opened bigint, _parts bigint, collection string, deployment string",
-    )
-    return (
-        rows.rows.join(states, rows.split_keys)
-        .groupBy(*rows.split_keys)
-        .applyInPandas(_assign_parts(max_bytes), output)
+    if chunk_rows is not None:
+        return _pack_chunks(narrow, max_bytes, chunk_rows)
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("name", kind="stable")
+        following = _next_part(pdf["size"].to_numpy(dtype=np.int64), max_bytes)
+        return pdf.assign(part=np.cumsum(_opened(following, 0)))
+
+    return narrow.groupBy(*_DEPLOYMENT).applyInPandas(assign, _PACKED)
+
+
+_PACKED = "collection string, deployment string, name string, size bigint, part bigint"
+
+
+def _part_steps(files: DataFrame, limit: int, chunk_rows: int) -> DataFrame:
+    """Files with their place, their chunk, the number of files, and ``next``: the place that opens the next
+    part if one is opened here. All are read off orders cut into chunks, whatever a part holds."""
+    rows = ordered_rows(files, _DEPLOYMENT, ["name"], chunk_rows=chunk_rows)
+    placed = rows.extend(position="place", total="files", running={"_bytes": F.col("size")}).result()
+    placed = stored(placed, "placed")
+    # A file lies at its own total, and asks how many files end within the limit behind its start.
+    lies = F.struct(F.col("_bytes").alias("at"), F.lit(0).alias("asks"))
+    asks = F.struct((F.col("_bytes") - F.col("size") + F.lit(limit)).alias("at"), F.lit(1).alias("asks"))
+    both = placed.select(*_DEPLOYMENT, "place", F.inline(F.array(lies, asks)))
+    merged = ordered_rows(both, _DEPLOYMENT, ["at", "asks", "place"], chunk_rows=chunk_rows)
+    answered = merged.extend(running={"_within": F.lit(1) - F.col("asks")}).result().where("asks = 1")
+    following = answered.select(*_DEPLOYMENT, "place", (F.greatest("place", "_within") + 1).alias("next"))
+    chunk = F.expr(f"(place - 1) div {chunk_rows}").alias("chunk")
+    return placed.drop("_bytes").join(following, [*_DEPLOYMENT, "place"]).select("*", chunk)
+
+
+def _chunk_starts(steps: DataFrame, chunk_rows: int) -> DataFrame:
+    """Per chunk of the deployments that have several: ``first``, the place that opens the first part in it (null
+    if none does), and ``parts``, how many were opened before the chunk."""
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        base = int(pdf["place"].iloc[0])
+        at, parts = _leave(pdf["next"].to_numpy(dtype=np.int64) - base)
+        return pdf.assign(to=at + base, parts=parts)[[*_DEPLOYMENT, "files", "place", "to", "parts"]]
+
+    several = steps.where(F.col("files") > chunk_rows)
+    schema = "collection string, deployment string, files bigint, place bigint, to bigint, parts bigint"
+    moves = several.groupBy(*_DEPLOYMENT, "chunk").applyInPandas(leave, schema)
+    # Only what a part from another chunk leads to can be the first one opened in a chunk.
+    outside = several.where(F.expr(f"(next - 1) div {chunk_rows} > chunk")).select(*_DEPLOYMENT, F.col("next").alias("place"))
+    first = F.col("place") == 1
+    moves = stored(moves, "part-moves")
+    kept = moves.where(first).unionByName(moves.where(~first).join(outside.distinct(), [*_DEPLOYMENT, "place"], "left_semi"))
+    moves = stored(kept, "chunk-moves")
+
+    reached = moves.where(first).select(*_DEPLOYMENT, "place", F.lit(0).cast("bigint").alias("before"))
+    jumps = moves.where("to <= files").drop("files")
+    while not jumps.isEmpty():
+        led = reached.join(jumps, [*_DEPLOYMENT, "place"])
+        more = led.select(*_DEPLOYMENT, F.col("to").alias("place"), (F.col("before") + F.col("parts")).alias("before"))
+        reached = stored(reached.unionByName(more), "reached")
+        then = jumps.select(*_DEPLOYMENT, F.col("place").alias("to"), F.col("to").alias("_to"), F.col("parts").alias("_parts"))
+        jumps = stored(
+            jumps.join(then, [*_DEPLOYMENT, "to"]).select(*_DEPLOYMENT, "place", F.col("_to").alias("to"), (F.col("parts") + F.col("_parts")).alias("parts")),
+            "jumps",
+        )
+    # One row per chunk that has a first place; the chunks up to the next of them lie in one part.
+    chunk = F.expr(f"(place - 1) div {chunk_rows}").alias("chunk")
+    known = reached.join(moves.select(*_DEPLOYMENT, "place", "files", "parts"), [*_DEPLOYMENT, "place"]).select("*", chunk)
+    following = F.lead("chunk").over(Window.partitionBy(*_DEPLOYMENT).orderBy("chunk"))
+    until = F.coalesce(following, F.expr(f"(files - 1) div {chunk_rows} + 1"))
+    spans = known.withColumn("_last", until - 1).withColumn("_chunk", F.explode(F.sequence("chunk", "_last")))
+    own = F.col("_chunk") == F.col("chunk")
+    return spans.select(
+        *_DEPLOYMENT,
+        F.col("_chunk").alias("chunk"),
+        F.when(own, F.col("place")).alias("first"),
+        (F.col("before") + F.when(own, 0).otherwise(F.col("parts"))).alias("parts"),
     )
 
 
+def _pack_chunks(files: DataFrame, limit: int, chunk_rows: int) -> DataFrame:
+    """Packing with at most ``chunk_rows`` files of a deployment in a task, however much a part holds.
+
+    Which file opens the next part is known for a part opened at any file. Per chunk these steps are composed
+    to where its parts lead out of it, and kept only where a part from outside can lead in. The steps out of
+    chunks are composed with themselves, two, four, eight chunks at a time, while the files that really open
+    the first part in a chunk are followed: as many joins as the number of chunks has binary digits, and no
+    task follows a deployment. Then chunks are numbered independently.
+    """
+    steps = stored(_part_steps(files, limit, chunk_rows), "part-steps")
+    starts = _chunk_starts(steps, chunk_rows)
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        base = int(pdf["place"].iloc[0])
+        first, before = pdf["first"].iloc[0], pdf["parts"].iloc[0]
+        opens = np.zeros(len(pdf), dtype=np.int64)
+        if not pd.isna(first):
+            opens = _opened(pdf["next"].to_numpy(dtype=np.int64) - base, int(first) - base)
+        return pdf.assign(part=int(before) + np.cumsum(opens))[[*_DEPLOYMENT, "name", "size", "part"]]
+
+    keys = [*_DEPLOYMENT, "chunk"]
+    single = F.col("files") <= chunk_rows
+    whole = steps.where(single).withColumns({"first": F.lit(1).cast("bigint"), "parts": F.lit(0).cast("bigint")})
+    cut = steps.where(~single).join(starts, keys)
+    return whole.unionByName(cut).groupBy(*keys).applyInPandas(assign, _PACKED)
+
+
 # --- manifests ---
 
 

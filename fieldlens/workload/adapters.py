@@ -359,15 +359,13 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """A given table; one that is a single split, as the local test tables are, is dealt out.
+        """A given table dealt out by its first columns, before the cells of a view are built from it.
 
-        Else one task would build all the text cells of a view. A table of several splits is read as it
-        is, so what is shuffled here is never more than one split.
+        Building and parsing cells costs far more than this shuffle of plain columns, and the files of a
+        table may hold very unequal numbers of rows, or one row group.
         """
         rows = self.table(name)
-        if rows.rdd.getNumPartitions() > 1:
-            return rows
-        return rows.repartition(self.spark.sparkContext.defaultParallelism)
+        return rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *rows.columns[:2])
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
