@@ -7,14 +7,13 @@ chosen by a fixed random order per range (optimal densification). Bands of the s
 Equal sets are one node. In a bucket, candidates are star-shaped: a hub with all other members, so their
 number is that of the members and not of the pairs. The hub is the member that lies in the largest
 buckets: edits take a copy out of the buckets of its group, so this is the text most copies derive from.
-Candidates are confirmed on full sets, and confirmed links are contracted to components. Buckets whose
-members are then still in several components get a hub from another of them, and so on until a round
-finds no link. What is left unfinished is split into finer buckets, of two and then of three bands each,
-where unlike texts rarely meet, with rounds of their own.
+Candidates are confirmed on full sets, and nodes move to the label of what they are linked with. Buckets
+whose members then still have several labels get a hub from another of them, for a few rounds.
 
-The rounds only save work. Members of buckets that still hold several components are at last joined
+The rounds only save work. Members of buckets that still hold several labels are at last joined
 exactly: two sets that are similar enough share one of the few first shingles of each in any fixed order,
-and the order puts rare shingles first. Only pairs of different components are made.
+and the order puts rare shingles first. Only pairs of different labels are made. All confirmed links
+together are contracted to components, once.
 """
 
 from __future__ import annotations
@@ -37,8 +36,8 @@ RANGES = 128
 # 25 bands of 5: texts of similarity 0.85 share a bucket but for 1 in 2 million, of 0.80 for 1 in 20,000.
 BAND_RANGES = 5
 BANDS = RANGES // BAND_RANGES
-# Buckets are first single bands, then this many bands at strides from 1 to the second number.
-FINER = [(2, 4), (3, 6)]
+# Rounds of stars before the exact join; more find fewer links each and cost as much.
+ROUNDS = 3
 # Common shingles are told from rare ones by counts in this many slots, over about this many sets. They
 # order the shingles, no more: any order gives the same links.
 COMMON_SLOTS = 1 << 21
@@ -171,8 +170,8 @@ def components(edges: DataFrame) -> DataFrame | None:
 def _stars(members: DataFrame) -> DataFrame:
     """Members of unfinished buckets with their bucket's hub: the most popular one not served yet.
 
-    ``members``: key, node, label, popularity, served. A bucket is finished when its members are in one
-    component, or each component has served as hub.
+    ``members``: key, node, label, popularity, served. A bucket is finished when its members have one label, or
+    each has served as hub.
     """
     rank = F.struct("popularity", (-F.col("node")).alias("order"), "node", "label")
     buckets = members.groupBy("key").agg(
@@ -182,26 +181,6 @@ def _stars(members: DataFrame) -> DataFrame:
     return members.join(open_, "key")
 
 
-def _split(members: DataFrame, depth: int, strides: int) -> DataFrame:
-    """Finer buckets: ``depth`` bands at equal strides, for nodes with all of them in unfinished buckets.
-
-    ``members``: node, band, key. There are BANDS x strides rows per node at most.
-    """
-    bands = members.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("keys"))
-
-    def combined(first: Column, stride: Column) -> Column:
-        keys = [F.try_element_at(F.col("keys"), (first + stride * i) % BANDS) for i in range(depth)]
-        every = keys[0].isNotNull()
-        for key in keys[1:]:
-            every = every & key.isNotNull()
-        return F.when(every, F.xxhash64(F.lit(depth), first, stride, *keys))
-
-    names = F.flatten(
-        F.transform(F.map_keys("keys"), lambda i: F.transform(F.sequence(F.lit(1), F.lit(strides)), lambda d: combined(i, d)))
-    )
-    return bands.select("node", F.explode(names).alias("key")).where("key is not null")
-
-
 def _common(texts: DataFrame, shingle_words: int) -> np.ndarray:
     """How often shingles occur in a sample of the sets, by slots of their hashes."""
     share = min(1.0, COMMON_SETS / max(texts.count(), 1))
@@ -226,7 +205,7 @@ def _common(texts: DataFrame, shingle_words: int) -> np.ndarray:
 
 
 def _firsts(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """The first shingles of each set, rare ones first: shingle, node, label, n, at, low.
+    """The first shingles of each set, rare ones first, as a stored table: shingle, node, label, n, at, low.
 
     A set of n shingles that is similar to one not larger shares at least percent x n / 100 of them, and to
     one not smaller at least 2 x percent x n / (100 + percent); so the first shared one has a place ``at``
@@ -264,7 +243,9 @@ def _firsts(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "shingle bigint, node bigint, label bigint, n int, at int, low boolean"
-    return texts.select("node", "label", "text").mapInArrow(task, schema)
+    found = stored(texts.select("node", "label", "text").mapInArrow(task, schema), "firsts")
+    shared.destroy()
+    return found
 
 
 def _across(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
@@ -273,7 +254,7 @@ def _across(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     ``texts``: node, label, text. Shingles of one component are dropped, and the pairs of components at a
     shingle are made before those of their members, so a large component is not paired with itself.
     """
-    firsts = stored(_firsts(texts, shingle_words, percent), "firsts")
+    firsts = _firsts(texts, shingle_words, percent)
     mixed = firsts.groupBy("shingle").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high")
     firsts = stored(firsts.join(mixed.select("shingle"), "shingle", "left_semi"), "mixed-firsts")
     small = firsts.where("low").select("shingle", F.col("label").alias("label_a"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
@@ -322,36 +303,35 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     texts = stored(texts.join(popularity, "node", "left_semi").dropDuplicates(["node", "text"]), "texts")
 
     label = popularity.select("node", F.col("node").alias("label"))
-    tested = None
-    members = buckets.select("key", "band", "node", F.lit(False).alias("served"))
-    unfinished = None
-    for finer in [None, *FINER]:
-        if finer is not None:
-            split = _split(unfinished, *finer).select("key", F.lit(0).alias("band"), "node", F.lit(False).alias("served"))
-            members = stored(split, "split")
-        found = True
-        while found:
-            stars = stored(_stars(members.join(popularity, "node").join(label, "node")), "stars")
-            spokes = stars.where("label <> hub_label").select("hub", "node").distinct()
-            if tested is not None:
-                spokes = spokes.join(tested, ["hub", "node"], "left_anti")
-            spokes = stored(_alike(spokes, sizes, percent), "spokes")
-            tested = spokes if tested is None else tested.unionAll(spokes)
-            served = F.col("served") | (F.col("label") == F.col("hub_label"))
-            members = stars.select("key", "band", "node", served.alias("served"))
-            merged = _merged(label, spokes, texts, shingle_words, percent)
-            found = merged is not None
-            label = merged if found else label
-        if finer is None:
-            unfinished = members.select("node", "band", "key").distinct()
-
-    # Links between members that were no hubs: whatever still lies in a bucket with another component.
+    members = buckets.select("key", "node", F.lit(False).alias("served"))
+    tested = links = None
+    for _ in range(ROUNDS):
+        stars = stored(_stars(members.join(popularity, "node").join(label, "node")), "stars")
+        spokes = stars.where("label <> hub_label").select("hub", "node").distinct()
+        if tested is not None:
+            spokes = spokes.join(tested, ["hub", "node"], "left_anti")
+        spokes = stored(_alike(spokes, sizes, percent), "spokes")
+        found = _links(spokes, texts, shingle_words, percent)
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionAll(found)
+        tested = spokes if tested is None else tested.unionAll(spokes)
+        served = F.col("served") | (F.col("node") == F.col("hub"))
+        members = stars.select("key", "node", served.alias("served"))
+        label = _moved(label, found)
+
+    # Links between members that were no hubs: whatever still lies in a bucket with another label.
     of_key = stored(buckets.select("key", "node").join(label, "node"), "labelled")
     mixed = of_key.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high")
     opened = of_key.join(mixed.select("key"), "key", "left_semi").select("node", "label").distinct()
     across = stored(_across(stored(texts.join(opened, "node"), "open-texts"), shingle_words, percent), "across")
-    merged = _merged(label, across, texts, shingle_words, percent)
-    label = label if merged is None else merged
+    found = _links(across, texts, shingle_words, percent)
+    joined = components(found if links is None else links.unionAll(found))
+    label = popularity.select("node")
+    if joined is None:
+        label = label.withColumn("label", F.col("node"))
+    else:
+        label = label.join(joined.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
     by_set = sets.join(label, "node", "left").select("high", "low", F.coalesce("label", "node").alias("label"))
     linked = known.join(stored(by_set, "set-labels"), ["high", "low"], "left")
@@ -361,18 +341,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     )
 
 
-def _merged(label: DataFrame, pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame | None:
-    """The labels after the confirmed of the pairs hub, node are linked; None if none of them is."""
+def _links(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """The confirmed of the pairs hub, node, as a stored table a, b."""
     hubs = texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text"))
     bodies = pairs.join(texts, "node").join(hubs, "hub").select("hub", "node", "hub_text", F.col("text").alias("node_text"))
-    links = stored(confirmed(bodies, shingle_words, percent), "links")
-    # Links between nodes become links between the components they are in.
+    return stored(confirmed(bodies, shingle_words, percent), "links")
+
+
+def _moved(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Each label moved to the smallest that a link joins it with, twice over: nodes of one label are connected,
+    though connected nodes can still have several."""
     of_a, of_b = (label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-    joined = components(links.join(of_a, "a").join(of_b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
-    if joined is None:
-        return None
-    ups = joined.select(F.col("id").alias("label"), F.col("label").alias("up"))
-    return stored(label.join(ups, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+    pairs = links.join(of_a, "a").join(of_b, "b").where("label_a <> label_b")
+    both = pairs.select("label_a", "label_b").unionAll(pairs.select("label_b", "label_a"))
+    up = both.groupBy(F.col("label_a").alias("label")).agg(F.min("label_b").alias("_up"))
+    up = stored(up.select("label", F.least("label", "_up").alias("up")), "ups")
+    again = up.select(F.col("label").alias("up"), F.col("up").alias("top"))
+    twice = up.join(again, "up").select("label", "top")
+    return stored(label.join(twice, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
 
 
 def _alike(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:

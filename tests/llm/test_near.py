@@ -116,7 +116,7 @@ def test_signatures_agree_as_often_as_sets_overlap():
 
 def test_candidates_are_stars(spark):
     members = spark.createDataFrame(
-        [(1, 0, n, False, n, 10 if n == 4 else 1) for n in range(2, 30)], "key bigint, band int, node bigint, served boolean, label bigint, popularity int"
+        [(1, n, False, n, 10 if n == 4 else 1) for n in range(2, 30)], "key bigint, node bigint, served boolean, label bigint, popularity int"
     )
     stars = near_dedup._stars(members)
     assert stars.count() == 28 and {r.hub for r in stars.collect()} == {4}
