@@ -1,7 +1,7 @@
 """Shards along a Hilbert curve over document metadata.
 
-Several metadata columns are quantised to a few bits each, by quantiles, so that every cell of the grid
-holds a like share of the rows. Rows are sorted by their cell's place on the Hilbert curve and the order
+Several metadata columns, texts or numbers, are quantised to a few bits each, by exact quantiles, so that every
+cell of the grid holds a like share of the rows. Rows are sorted by their cell's place on the Hilbert curve and the order
 is cut into runs. A run covers few neighbouring cells, so a reader that filters on any of the dimensions
 can skip most shards by their minima and maxima. Column functions only.
 """
@@ -10,14 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.llm.common import globally_ranked, utf8
+from fieldlens.plans.ordered import ordered_rows
 from fieldlens.session import stored
 
 BITS = 5
+# Distinct values of a dimension that are put in order at a time.
+VALUES_AT_A_TIME = 1_000_000
 
 
 def curve_tables(dims: int) -> tuple[list[int], list[int]]:
@@ -61,23 +65,28 @@ def hilbert_index(cells: Sequence[Column], bits: int) -> Column:
     return F.aggregate(octants, start, step, lambda at: at["place"])
 
 
-def text_as_number(value: Column) -> Column:
-    """The first seven bytes of a text as a number, which keeps the order of the texts."""
-    digits = F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(digits, 16, 10).cast("bigint")
+def cuts_of(df: DataFrame, column: str, bits: int) -> list[tuple[int, Any]]:
+    """The cells above the lowest that have a value, and the smallest value of each; at most 2^bits - 1.
 
+    A value's cell is its share of the rows below it, times 2^bits, without the rest; nulls are below all.
+    Values are counted and put in order by ranges, whole, so texts may share any beginning.
+    """
+    counted = stored(df.groupBy(column).agg(F.count(F.lit(1)).alias("_n")), "dimension")
+    total = counted.agg(F.sum("_n")).first()[0] or 0
+    values = ordered_rows(counted, [], [column], chunk_rows=VALUES_AT_A_TIME).extend(running={"_upto": F.col("_n")}).result()
+    cell = F.expr(f"(_upto - _n) * {1 << bits} div {max(total, 1)}")
+    lowest = values.where(F.col(column).isNotNull()).groupBy(cell.alias("_cell")).agg(F.min(column).alias("_first"))
+    return [(row["_cell"], row["_first"]) for row in lowest.where("_cell > 0").orderBy("_cell").collect()]
 
-def quantised(df: DataFrame, values: Mapping[str, Column], bits: int) -> list[Column]:
-    """Each value's quantile number, 0 to 2^bits - 1; nulls have 0.
 
-    The quantiles are read off the whole table; there are 2^bits - 1 of them for each dimension.
-    """
-    points = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = df.agg(*[F.percentile_approx(v, points, 10_000).alias(n) for n, v in values.items()]).first()
+def quantised(df: DataFrame, columns: Sequence[str], bits: int) -> list[Column]:
+    """Each column's quantile number, from 0 to 2^bits - 1; nulls have 0."""
     cells = []
-    for name, value in values.items():
-        above = [F.when(value > F.lit(cut), 1).otherwise(0) for cut in sorted(set(cuts[name] or []))]
-        cells.append(reduce(lambda a, b: a + b, above, F.lit(0)))
+    for column in columns:
+        cell = F.lit(0)
+        for number, cut in cuts_of(df, column, bits):
+            cell = F.when(F.col(column) >= F.lit(cut), number).otherwise(cell)
+        cells.append(cell)
     return cells
 
 
@@ -88,25 +97,24 @@ def sharded(
 
     Returns doc_id, size (bytes of the text, none for null, plus 1), text_crc32, law, shard, slot (place
     in the shard), grown_shard (null: a new number of shards moves rows) and curve. ``dimensions`` names
-    numeric expressions over ``docs``; by default source, language and length. Null values of a
-    dimension lie in its lowest cell. Rows of one cell follow in the order of doc_id, nulls first, then
+    expressions over ``docs``; by default source, language and length. Null values of a
+    dimension lie in its lowest cell, equal values in one cell. Texts are read whole, however long. Other
+    columns are not read. Rows of one cell follow in the order of doc_id, nulls first, then
     of their text's checksum, so hot cells are cut like others. Repeated rows each have a slot. An empty
     table gives an empty result.
     """
-    dimensions = dimensions or {
-        "source": text_as_number(F.col("source")),
-        "lang": text_as_number(F.col("lang")),
-        "n_chars": F.col("n_chars"),
-    }
-    cells = quantised(docs, dimensions, bits)
+    dimensions = dimensions or {"source": F.col("source"), "lang": F.col("lang"), "n_chars": F.col("n_chars")}
     body = utf8(F.col("text"))
+    named = {f"_dimension{i}": value for i, value in enumerate(dimensions.values())}
     narrow = docs.select(
         "doc_id",
         (F.octet_length(body) + 1).cast("bigint").alias("size"),
         F.crc32(body).alias("text_crc32"),
-        hilbert_index(cells, bits).alias("curve"),
+        *[value.alias(name) for name, value in named.items()],
     )
-    # Stored, so that dealing out by ranges does not read the texts a second time.
+    narrow = stored(narrow, "metadata")  # so the texts are read once
+    curve = hilbert_index(quantised(narrow, list(named), bits), bits)
+    narrow = narrow.select("doc_id", "size", "text_crc32", curve.alias("curve"))
     ranked = globally_ranked(stored(narrow, "curve"), ["curve", "doc_id", "text_crc32"], "curve-order")
     shard = F.expr(f"rank * {shards} div total")
     return ranked.withColumn("_shard", shard).select(

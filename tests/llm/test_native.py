@@ -75,6 +75,45 @@ def test_shards(documents, clashing):
     assert sharding.sharded(documents([])).count() == 0
 
 
+def plain_cells(values, bits):
+    """Cells by counting the values below each."""
+    def less(a, b):
+        return b is not None and (a is None or a < b)
+
+    return [0 if v is None else sum(less(u, v) for u in values) * (1 << bits) // len(values) for v in values]
+
+
+def test_cells_of_texts_that_share_a_beginning(documents):
+    names = [f"common_crawl_{y}" for y in range(2012, 2025)] + ["a", "zzz", None, "common_crawl"]
+    rows = [(i, "t", None, names[(i + i // 40) % 17]) for i in range(400)]
+    docs = documents(rows)
+    cells = sharding.quantised(docs, ["source"], 5)
+    found = [(r.doc_id, r.cell) for r in docs.select("doc_id", cells[0].alias("cell")).collect()]
+    assert sorted(found) == list(enumerate(plain_cells([r[3] for r in rows], 5)))
+    assert len({c for _, c in found}) > 12
+
+
+def test_sharding_equals_brute_force(spark):
+    """The whole query: cells, places in order, shards and slots."""
+    from fieldlens.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    columns = [plain_cells([v if v is None or isinstance(v, int) else v.encode() for v in (r[c] for r in rows)], 5) for c in ("source", "lang", "n_chars")]
+    found = {r.doc_id: r for r in queries.op8_sharding(spark, folder).collect()}
+    order = sorted((found[r.doc_id].curve, r.doc_id) for r in rows)
+    n = len(rows)
+    assert len(found) == n
+    for rank, (_, doc_id) in enumerate(order):
+        shard = rank * 8 // n
+        assert (found[doc_id].shard, found[doc_id].slot) == (shard, rank - -(-shard * n // 8))
+    # One curve for all: points with equal cells have one place, others different ones.
+    point = {r.doc_id: p for r, p in zip(rows, zip(*columns))}
+    assert len({(point[i], found[i].curve) for i in found}) == len(set(point.values())) == len({found[i].curve for i in found})
+    for r in rows:
+        assert found[r.doc_id].size == len((r.text or "").encode()) + 1 and found[r.doc_id].text_crc32 == zlib.crc32((r.text or "").encode())
+
+
 def test_write_shards(spark, documents, tmp_path):
     rows = [(i, "t" * i, "en", f"src{i % 4}") for i in range(40)] + [(None, None)]
     sharding.write_shards(documents(rows), str(tmp_path / "out"))
