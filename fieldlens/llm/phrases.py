@@ -5,7 +5,8 @@ runs of those numbers. Pairs of neighbours are counted in tiles of the square of
 tile that fills up is an array addressed by the pair itself and counted with ``bincount``, in the others the pairs
 are sorted and counted by runs. Pairs that are frequent are ranked and numbered in their turn: the run of
 words becomes a run of overlapping pairs, whose neighbours are phrases of three words, and so on. A phrase
-is never more frequent than its parts, so nothing is lost by numbering only what is frequent.
+is never more frequent than its parts, so nothing is lost by numbering only what is frequent. Tasks send
+what they counted tile by tile, some two bytes a pair, and a tile is summed up as an array.
 
 Ranks, and so tiles and what is sent to the tasks, are bounded: beyond them a word or pair is known by a hash of
 it, as a negative number, and a bitmap of fixed size tells which hashes are worth counting. It is checked that no
@@ -15,12 +16,15 @@ hash stands for two things, and another is tried then.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +37,23 @@ COVERED_PERCENT = 100
 # Ranks, and bytes of a word that has one; so 16 MB of words at most go to the tasks.
 RANKS, RANKED_BYTES = 1 << 18, 64
 BITMAP = 1 << 24  # bits
-TILE_BITS = 9  # a tile is 512 x 512 pairs, 1 MB of counts
-DENSE_TILES = 64
-DENSE_SHARE = 0.125  # pairs at a time for each cell of a tile that make it dense
 GATHERED = 1 << 20  # pairs counted at a time
 HELD = 1 << 21  # distinct pairs, or words, that a task holds before it hands them on
 RUN = 1 << 14  # numbers in a row, more only where a run is longer
 
+
+
+class Tiling(NamedTuple):
+    """How pairs are counted; none of it changes a result."""
+
+    bits: int = 8  # a tile is 256 x 256 pairs, 0.5 MB of counts; a place in it has two bytes, so 8 at most
+    dense_tiles: int = 128  # in a task
+    dense_share: float = 0.125  # pairs at a time for each cell of a tile that make it dense
+    buckets: int = 4  # parts of the tiles, for each shuffle partition
+    tasks: int = 256  # tasks whose counts of a tile meet in one task; sums of more are summed up in turn
+    name_bits: int = 62  # of hashes at first
+
+
 _BREAK = -1  # no phrase goes over it
 _MARK = b"\xff"  # a byte that UTF-8 does not have
 _TO_MARKS = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + _MARK * 10)
@@ -81,27 +95,37 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 # --- Names: ranks for the most frequent, hashes beyond. ---
 
 
-def _word_name(lang: str, word: bytes, attempt: int) -> int:
+class Hashing(NamedTuple):
+    """Which hashes name what has no rank: numbers of ``bits`` bits, other ones with each attempt."""
+
+    bits: int
+    attempt: int = 0
+
+    def next(self) -> Hashing:
+        return Hashing(min(self.bits + 8, 62), self.attempt + 1)
+
+
+def _word_name(lang: str, word: bytes, how: Hashing) -> int:
     """The hash of a word as a number below the break; the same as ``_word_name_column``."""
-    seed = xxhash.xxh64_intdigest(lang.encode(), xxhash.xxh64_intdigest(str(attempt).encode(), 42))
+    seed = xxhash.xxh64_intdigest(lang.encode(), xxhash.xxh64_intdigest(str(how.attempt).encode(), 42))
     value = xxhash.xxh64_intdigest(word, seed)
-    return -(value >> 2) - 2
+    return -(value >> (64 - how.bits)) - 2
 
 
-def _word_name_column(attempt: int) -> Column:
-    value = F.xxhash64(F.lit(str(attempt)), "lang", "word")
-    return -F.shiftrightunsigned(value, 2) - 2
+def _word_name_column(how: Hashing) -> Column:
+    value = F.xxhash64(F.lit(str(how.attempt)), "lang", "word")
+    return -F.shiftrightunsigned(value, 64 - how.bits) - 2
 
 
-def _pair_names(left: np.ndarray, right: np.ndarray, attempt: int) -> np.ndarray:
+def _pair_names(left: np.ndarray, right: np.ndarray, how: Hashing) -> np.ndarray:
     """Hashes of pairs as numbers below the break."""
-    value = np.full(len(left), attempt, np.uint64)
+    value = np.full(len(left), how.attempt, np.uint64)
     for part in (left, right):
         value = (value + part.astype(np.int64).view(np.uint64)) * _MIX[0]
         value = (value ^ (value >> np.uint64(30))) * _MIX[1]
         value = (value ^ (value >> np.uint64(27))) * _MIX[2]
         value = value ^ (value >> np.uint64(31))
-    return -(value >> np.uint64(2)).astype(np.int64) - 2
+    return -(value >> np.uint64(64 - how.bits)).astype(np.int64) - 2
 
 
 def _bitmap(named: DataFrame) -> np.ndarray | None:
@@ -119,8 +143,9 @@ def _bitmap(named: DataFrame) -> np.ndarray | None:
 class Names:
     """The names of the words, or pairs, of one level: what a task needs to number a run."""
 
-    def __init__(self, ranked: pa.Table, bitmap: np.ndarray | None, attempt: int):
-        self._bitmap, self._attempt = bitmap, attempt
+    def __init__(self, ranked: pa.Table, bitmap: np.ndarray | None, how: Hashing):
+        self._bitmap, self._how = bitmap, how
+        self.kind = np.dtype("<i4" if bitmap is None else "<i8")  # ranks alone need four bytes
         self._words: dict[str, dict[bytes, int]] = {}
         if "word" in ranked.column_names:
             for lang, word, rank in zip(*(ranked.column(c).to_pylist() for c in ("lang", "word", "name"))):
@@ -138,7 +163,7 @@ class Names:
         out = np.array(list(map(ranks.get, words, repeat(_BREAK))), np.int64)
         if self._bitmap is not None:
             at = [i for i in np.flatnonzero(out == _BREAK).tolist() if words[i] != _MARK]
-            out[at] = self._filtered(np.array([_word_name(lang, words[i], self._attempt) for i in at], np.int64))
+            out[at] = self._filtered(np.array([_word_name(lang, words[i], self._how) for i in at], np.int64))
         return out
 
     def of_pairs(self, run: np.ndarray) -> np.ndarray:
@@ -152,7 +177,7 @@ class Names:
             out[ranked] = np.where(self._keys[at] == key, self._ranks[at], _BREAK)
         if self._bitmap is not None:
             rest = np.flatnonzero((out == _BREAK) & (left != _BREAK) & (right != _BREAK))
-            out[rest] = self._filtered(_pair_names(left[rest], right[rest], self._attempt))
+            out[rest] = self._filtered(_pair_names(left[rest], right[rest], self._how))
         return out
 
 
@@ -164,20 +189,27 @@ def _ranked(frequent: DataFrame, keys: list[str], ranks: int) -> DataFrame:
     return frequent.sparkSession.createDataFrame(top)
 
 
-def _named(counted: DataFrame, keys: list[str], min_count: int, ranks: int, by_hash) -> tuple[DataFrame, Names, Column]:
-    """Frequent rows with their ``name``, and the names for the tasks."""
-    frequent = stored(counted.where(F.col("n") >= min_count), "frequent")
+def _named(
+    count: Callable[[int], DataFrame], keys: list[str], min_count: int, ranks: int, by_hash: Callable[[DataFrame, Hashing], DataFrame], bits: int
+) -> tuple[DataFrame, Names]:
+    """Rows found ``min_count`` times with their ``name``, and the names for the tasks.
+
+    ``count`` gives the counted rows from a least count on.
+    """
+    frequent = stored(count(min_count), "frequent")
     ranked = stored(_ranked(frequent, keys, ranks), "ranked")
-    attempt = 0
+    how = Hashing(bits)
     while True:
-        rest = by_hash(counted.join(ranked, keys, "left_anti"), attempt)
-        tail = rest.where(F.col("n") >= min_count)
+        tail = by_hash(frequent.join(ranked, keys, "left_anti"), how)
         named = stored(frequent.join(ranked, keys).unionByName(tail.select(*frequent.columns, "name")), "named")
         bitmap = _bitmap(named)
+        if bitmap is None:
+            return named, Names(ranked.toArrow(), None, how)
         # A hash must stand for one thing, also among those that are not frequent.
-        if bitmap is None or rest.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
-            return named, Names(ranked.toArrow(), bitmap, attempt)
-        attempt += 1
+        every = by_hash(count(1).join(ranked, keys, "left_anti"), how)
+        if every.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+            return named, Names(ranked.toArrow(), bitmap, how)
+        how = how.next()
 
 
 # --- Runs of names, and counts of neighbours. ---
@@ -194,19 +226,19 @@ def _compact(run: np.ndarray) -> np.ndarray:
     return np.where(keep, run, _BREAK)[keep | after]
 
 
-def _rows(runs: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _rows(runs: Iterator[np.ndarray], kind: np.dtype) -> Iterator[pa.RecordBatch]:
     """Runs as rows of bytes, some 4 MB at a time; long ones are cut at breaks."""
     held: list[bytes] = []
     size = 0
     for run in runs:
-        run = _compact(run)
+        run = _compact(run).astype(kind)
         while len(run):
             cut = len(run)
             if cut > RUN:
                 later = np.flatnonzero(run[RUN:] == _BREAK)
                 cut = RUN + int(later[0]) + 1 if len(later) else cut
             held.append(run[:cut].tobytes())
-            size += 8 * cut
+            size += len(held[-1])
             run = run[cut:]
         if size > 1 << 22:
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["run"])
@@ -224,140 +256,243 @@ def _word_runs(docs: DataFrame, names: Names) -> DataFrame:
                 for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                     yield shared.value.of_words(lang, marked_words(text.as_py()))
 
-        yield from _rows(runs())
+        yield from _rows(runs(), shared.value.kind)
 
     out = stored(_texts(docs).mapInArrow(task, "run binary"), "runs")
     shared.destroy()
     return out
 
 
-def _pair_runs(runs: DataFrame, names: Names) -> DataFrame:
+def _pair_runs(runs: DataFrame, names: Names, kind: np.dtype) -> DataFrame:
     shared = runs.sparkSession.sparkContext.broadcast(names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[np.ndarray]:
             for batch in batches:
                 for run in batch.column("run"):
-                    yield shared.value.of_pairs(np.frombuffer(run.as_py(), np.int64))
+                    yield shared.value.of_pairs(np.frombuffer(run.as_py(), kind).astype(np.int64))
 
-        yield from _rows(pairs())
+        yield from _rows(pairs(), shared.value.kind)
 
     out = stored(runs.mapInArrow(task, "run binary"), "runs")
     shared.destroy()
     return out
 
 
+def _blob(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
+    """Counts of places in tiles: three bytes each, more only for large counts, and the tiles once each."""
+    tile = keys >> 2 * bits
+    first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+    large = counts >= 255
+    return b"".join(
+        [
+            len(first).to_bytes(4, "little"), len(keys).to_bytes(4, "little"), tile[first].astype("<i8").tobytes(),
+            np.diff(np.append(first, len(keys))).astype("<i4").tobytes(), (keys & ((1 << 2 * bits) - 1)).astype("<u2").tobytes(),
+            np.where(large, 255, counts).astype(np.uint8).tobytes(), counts[large].astype("<i8").tobytes(),
+        ]
+    )
+
+
+def _unblob(blob: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    n_tiles, n = (int.from_bytes(blob[at : at + 4], "little") for at in (0, 4))
+    at = 8 + 8 * n_tiles
+    tile = np.repeat(np.frombuffer(blob, "<i8", n_tiles, 8), np.frombuffer(blob, "<i4", n_tiles, at))
+    at += 4 * n_tiles
+    counts = np.frombuffer(blob, np.uint8, n, at + 2 * n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(blob, "<i8", -1, at + 3 * n)
+    return tile << 2 * bits | np.frombuffer(blob, "<u2", n, at), counts
+
+
 class Tiles:
-    """Counts of pairs. Dense tiles are arrays; what is in none is sorted and counted by runs."""
+    """Counts of pairs of ranks. Dense tiles are arrays; what is in none is sorted and counted by runs."""
 
-    def __init__(self) -> None:
+    def __init__(self, tiling: Tiling = Tiling()) -> None:
+        self._tiling = tiling
         self._dense: dict[int, np.ndarray] = {}
         self._sparse: list[tuple[np.ndarray, np.ndarray]] = []
-        self._hashed: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
 
     @staticmethod
     def _runs(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys in order and their counts."""
-        order = np.argsort(keys, kind="stable") if counts is not None else None
+        if not len(keys):
+            return keys, np.zeros(0, np.int64)
+        order = None if counts is None else np.argsort(keys, kind="stable")
         keys = np.sort(keys) if order is None else keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        if counts is None:
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        if order is None:
             return keys[first], np.diff(np.append(first, len(keys)))
-        return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+        return keys[first], np.add.reduceat(counts[order], first)
 
     def add(self, left: np.ndarray, right: np.ndarray) -> None:
-        ranked = (left >= 0) & (right >= 0)
-        if not ranked.all():
-            self._add_hashed(left[~ranked], right[~ranked])
-            left, right = left[ranked], right[ranked]
-        mask = (1 << TILE_BITS) - 1
-        tile = (left >> TILE_BITS << 31) | (right >> TILE_BITS)
-        order = np.argsort(tile, kind="stable")
-        tile, left, right = tile[order], left[order], right[order]
+        """Count pairs. A key is the tile, by the upper bits of both ranks, and the place in it, by the lower."""
+        bits, mask = self._tiling.bits, (1 << self._tiling.bits) - 1
+        tile = (left >> bits << (31 - bits)) | (right >> bits)
+        self.add_counted(*self._runs(tile << 2 * bits | (left & mask) << bits | (right & mask)))
+
+    def pairs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranks of some keys."""
+        bits, mask = self._tiling.bits, (1 << self._tiling.bits) - 1
+        tile, cell = keys >> 2 * bits, keys & ((1 << 2 * bits) - 1)
+        return (tile >> (31 - bits) << bits) + (cell >> bits), ((tile & ((1 << (31 - bits)) - 1)) << bits) + (cell & mask)
+
+    def add_counted(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Add counts of keys; those of a tile follow one another."""
+        cells = 1 << 2 * self._tiling.bits
+        tile = keys >> 2 * self._tiling.bits
         starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])) if len(tile) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(tile))
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        pairs = upto[ends] - upto[starts]
+        dense = np.isin(tile[starts], list(self._dense)) if self._dense else np.zeros(len(starts), bool)
+        full = np.flatnonzero(~dense & (pairs >= self._tiling.dense_share * cells))
+        dense[full[np.argsort(-pairs[full], kind="stable")][: self._tiling.dense_tiles - len(self._dense)]] = True
         rest = np.ones(len(tile), bool)
-        for start, end in sorted(zip(starts.tolist(), ends.tolist()), key=lambda s: s[0] - s[1]):
-            name = int(tile[start])
-            if name not in self._dense:
-                if end - start < DENSE_SHARE * (mask + 1) ** 2 or len(self._dense) >= DENSE_TILES:
-                    continue
-                self._dense[name] = np.zeros((mask + 1) ** 2, np.int64)
-            cell = (left[start:end] & mask) << TILE_BITS | (right[start:end] & mask)
-            self._dense[name] += np.bincount(cell, minlength=(mask + 1) ** 2)
+        for start, end in zip(starts[dense].tolist(), ends[dense].tolist()):
+            counted = self._dense.setdefault(int(tile[start]), np.zeros(cells, np.int64))
+            counted += np.bincount(keys[start:end] & (cells - 1), counts[start:end], cells).astype(np.int64)
             rest[start:end] = False
-        self._sparse.append(self._runs(left[rest] << 31 | right[rest]))
+        self._sparse.append((keys[rest], counts[rest]))
         self.held += len(self._sparse[-1][0])
         if self.held > HELD:  # equal pairs of several turns are one
-            both = [np.concatenate(c) for c in zip(*self._sparse)]
-            self._sparse = [self._runs(*both)]
-            self.held = len(self._sparse[0][0]) + sum(len(h[0]) for h in self._hashed)
+            self._sparse = [self._runs(*[np.concatenate(c) for c in zip(*self._sparse)])]
+            self.held = len(self._sparse[0][0])
 
-    def _add_hashed(self, left: np.ndarray, right: np.ndarray) -> None:
-        names, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-        keys, counts = self._runs(at[: len(left)] * len(names) + at[len(left) :])
-        self._hashed.append((names[keys // len(names)], names[keys % len(names)], counts))
-        self.held += len(keys)
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys in order and their counts; nothing is left then."""
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for name, cells in self._dense.items():
             used = np.flatnonzero(cells)
-            left = (name >> 31 << TILE_BITS) + (used >> TILE_BITS)
-            right = ((name & ((1 << 31) - 1)) << TILE_BITS) + (used & ((1 << TILE_BITS) - 1))
-            yield self._batch(left, right, cells[used])
-        if self._sparse:
-            keys, counts = self._runs(*[np.concatenate(c) for c in zip(*self._sparse)])
-            for at in range(0, len(keys), 1 << 18):
-                some = keys[at : at + (1 << 18)]
-                yield self._batch(some >> 31, some & ((1 << 31) - 1), counts[at : at + (1 << 18)])
-        for columns in self._hashed:
-            yield self._batch(*columns)
-        self.__init__()
+            keys.append(name << 2 * self._tiling.bits | used)
+            counts.append(cells[used])
+        for some, n in self._sparse:
+            keys.append(some)
+            counts.append(n)
+        self.__init__(self._tiling)
+        return self._runs(np.concatenate(keys), np.concatenate(counts))
+
+    def blobs(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        """What was counted, dealt out by tiles: (bucket, blob). Nothing is left then."""
+        keys, counts = self.counted()
+        tile = (keys >> 2 * self._tiling.bits).view(np.uint64)
+        bucket = ((tile * _MIX[0]) >> np.uint64(33)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        keys, counts, bucket = keys[order], counts[order], bucket[order]
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        for start, end in zip(starts.tolist(), np.append(starts[1:], len(keys)).tolist()):
+            yield int(bucket[start]), _blob(keys[start:end], counts[start:end], self._tiling.bits)
+
+
+def _joined_runs(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray]:
+    """Runs with breaks between, many numbers at a time."""
+    gap = np.array([_BREAK], kind).tobytes()
+    waiting: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for run in batch.column("run"):
+            waiting.append(run.as_py())
+            size += len(waiting[-1])
+            if size > kind.itemsize * GATHERED:
+                yield np.frombuffer(gap.join(waiting), kind).astype(np.int64)
+                waiting, size = [], 0
+    if waiting:
+        yield np.frombuffer(gap.join(waiting), kind).astype(np.int64)
 
-    @staticmethod
-    def _batch(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n)], ["left", "right", "n"])
 
+def _ranked_pairs(runs: DataFrame, kind: np.dtype, tiling: Tiling, least: int) -> DataFrame:
+    """left, right and n of pairs of ranks that are neighbours at least ``least`` times."""
+    buckets = partitions(runs) * tiling.buckets
 
-def _pair_counts(runs: DataFrame) -> DataFrame:
-    """left, right and n of all pairs of neighbours in the runs."""
+    def rows(bucket: list[int], part: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+        columns = [pa.array(bucket, pa.int64()), pa.array(part, pa.int32()), pa.array(blobs, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "part", "counts"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiles = Tiles()
-        waiting: list[bytes] = []
-        size = 0
-
-        def count() -> None:
-            gap = np.array([_BREAK], np.int64).tobytes()
-            run = np.frombuffer(gap.join(waiting), np.int64)
-            at = np.flatnonzero((run[:-1] != _BREAK) & (run[1:] != _BREAK))
+        tiles, part = Tiles(tiling), TaskContext.get().partitionId()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            held: list[tuple[int, bytes]] = []
+            for found in tiles.blobs(buckets):
+                held.append(found)
+                if len(held) == 256:
+                    yield rows([f[0] for f in held], [part] * len(held), [f[1] for f in held])
+                    held = []
+            if held:
+                yield rows([f[0] for f in held], [part] * len(held), [f[1] for f in held])
+
+        for run in _joined_runs(batches, kind):
+            at = np.flatnonzero((run[:-1] >= 0) & (run[1:] >= 0))
             tiles.add(run[at], run[at + 1])
+            if tiles.held > HELD:
+                yield from flush()
+        yield from flush()
 
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Tiles]]:
+        """The tiles of each (bucket, part), whose rows follow one another."""
+        held, tiles = None, Tiles(tiling)
         for batch in batches:
-            for run in batch.column("run"):
-                waiting.append(run.as_py())
-                size += len(waiting[-1])
-                if size > 8 * GATHERED:
-                    count()
-                    waiting, size = [], 0
-                    if tiles.held > HELD:
-                        yield from tiles.flush()
-        if waiting:
-            count()
-        yield from tiles.flush()
+            for key, blob in zip(zip(batch.column("bucket").to_pylist(), batch.column("part").to_pylist()), batch.column("counts")):
+                if key != held and held is not None:
+                    yield *held, tiles
+                held = key
+                tiles.add_counted(*_unblob(blob.as_py(), tiling.bits))
+        if held is not None:
+            yield *held, tiles
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, _, tiles in summed(batches):
+            yield rows([bucket], [0], [_blob(*tiles.counted(), tiling.bits)])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, tiles in summed(batches):
+            keys, counts = tiles.counted()
+            often = counts >= least
+            left, right = tiles.pairs(keys[often])
+            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(counts[often])], ["left", "right", "n"])
+
+    def together(df: DataFrame) -> DataFrame:
+        return df.repartition(partitions(runs), "bucket", "part").sortWithinPartitions("bucket", "part")
+
+    schema = "bucket bigint, part int, counts binary"
+    counted = runs.mapInArrow(task, schema)
+    groups = -(-runs.rdd.getNumPartitions() // tiling.tasks)
+    if groups > 1:
+        counted = together(counted.withColumn("part", F.col("part") % groups)).mapInArrow(again, schema)
+    one = counted.withColumn("part", F.lit(0))
+    return together(one).mapInArrow(pairs, "left bigint, right bigint, n bigint")
+
+
+def _hashed_pairs(runs: DataFrame, kind: np.dtype) -> DataFrame:
+    """left, right and n of pairs with a part that has no rank."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _joined_runs(batches, kind):
+            left, right = run[:-1], run[1:]
+            at = np.flatnonzero((left != _BREAK) & (right != _BREAK) & ((left < 0) | (right < 0)))
+            names, place = np.unique(np.concatenate([left[at], right[at]]), return_inverse=True)
+            keys, counts = Tiles._runs(place[: len(at)] * len(names) + place[len(at) :])
+            columns = [pa.array(names[keys // max(len(names), 1)]), pa.array(names[keys % max(len(names), 1)]), pa.array(counts)]
+            yield pa.RecordBatch.from_arrays(columns, ["left", "right", "n"])
 
     return runs.mapInArrow(task, "left bigint, right bigint, n bigint").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
-def _hash_words(rows: DataFrame, attempt: int) -> DataFrame:
-    return rows.withColumn("name", _word_name_column(attempt))
+def _pair_counts(runs: DataFrame, kind: np.dtype, tiling: Tiling, least: int) -> DataFrame:
+    """left, right and n of all pairs of neighbours in the runs that are found at least ``least`` times."""
+    pairs = _ranked_pairs(runs, kind, tiling, least)
+    if kind.itemsize == 4:
+        return pairs
+    return pairs.unionAll(_hashed_pairs(runs, kind).where(F.col("n") >= least))
+
+
+def _hash_words(rows: DataFrame, how: Hashing) -> DataFrame:
+    return rows.withColumn("name", _word_name_column(how))
 
 
-def _hash_pairs(rows: DataFrame, attempt: int) -> DataFrame:
+def _hash_pairs(rows: DataFrame, how: Hashing) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = _pair_names(batch.column("left").to_numpy(), batch.column("right").to_numpy(), attempt)
+            names = _pair_names(batch.column("left").to_numpy(), batch.column("right").to_numpy(), how)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names)], [*batch.schema.names, "name"])
 
     return rows.select("left", "right", "n").mapInArrow(task, "left bigint, right bigint, n bigint, name bigint")
@@ -370,6 +505,7 @@ def collocations(
     top: int = TOP,
     covered_percent: int = COVERED_PERCENT,
     ranks: int = RANKS,
+    tiling: Tiling = Tiling(),
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the best phrases of each language.
 
@@ -381,15 +517,14 @@ def collocations(
     decimals of 38 digits between, so nothing overflows below 10^12 words of one language.
     """
     words = stored(_word_counts(docs), "words")
-    named, names = _named(words, ["lang", "word"], min_count, ranks, _hash_words)
+    named, names = _named(lambda least: words.where(F.col("n") >= least), ["lang", "word"], min_count, ranks, _hash_words, tiling.name_bits)
     text = F.decode("word", "UTF-8")
     counts = F.array("n")
     level = named.select("lang", "name", "n", text.alias("phrase"), text.alias("last"), counts.alias("starts"), counts.alias("ends"))
     runs = _word_runs(docs, names)
     found: list[DataFrame] = []
     for _ in range(2, max_words + 1):
-        pairs = stored(_pair_counts(runs), "pairs")
-        named, names = _named(pairs, ["left", "right"], min_count, ranks, _hash_pairs)
+        named, more = _named(partial(_pair_counts, runs, names.kind, tiling), ["left", "right"], min_count, ranks, _hash_pairs, tiling.name_bits)
         if named.isEmpty():
             break
         # The counts of a phrase's first 1, 2, ... words and of its last ones come from its two parts.
@@ -403,7 +538,9 @@ def collocations(
             "level",
         )
         found.append(level)
-        runs = _pair_runs(runs, names)
+        if len(found) < max_words - 1:
+            runs = _pair_runs(runs, more, names.kind)
+        names = more
     if not found:
         schema = "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint"
         return docs.sparkSession.createDataFrame([], schema)

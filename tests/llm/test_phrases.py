@@ -73,13 +73,20 @@ def table(spark):
     return make
 
 
-@pytest.mark.parametrize(("ranks", "tile_bits", "dense"), [(1 << 18, 9, 0.125), (7, 2, 0.5), (0, 9, 0.125), (1000, 3, 1e-9)])
-def test_equals_plain_counting(table, monkeypatch, ranks, tile_bits, dense):
+@pytest.mark.parametrize(
+    ("ranks", "tiling"),
+    [
+        (1 << 18, phrases.Tiling()),
+        (7, phrases.Tiling(bits=2, dense_share=0.5)),
+        (0, phrases.Tiling()),
+        (1000, phrases.Tiling(bits=3, dense_share=1e-9, tasks=1)),
+        (3, phrases.Tiling(name_bits=4)),  # first hashes stand for many things, and longer ones are tried
+    ],
+)
+def test_equals_plain_counting(table, ranks, tiling):
     """With all words ranked, with most known by hash only, and with dense tiles and without."""
-    monkeypatch.setattr(phrases, "TILE_BITS", tile_bits)
-    monkeypatch.setattr(phrases, "DENSE_SHARE", dense)
     rows = corpus(1)
-    got = listed(phrases.collocations(table(rows).repartition(3), min_count=8, ranks=ranks))
+    got = listed(phrases.collocations(table(rows).repartition(3), min_count=8, ranks=ranks, tiling=tiling))
     want = plain(rows, least=8)
     assert len(want) > 100 and got == want
 
@@ -89,19 +96,6 @@ def test_top_and_share(table):
     assert listed(phrases.collocations(table(rows), min_count=5, top=7, covered_percent=60, max_words=4)) == plain(rows, 5, 4, 7, 60)
 
 
-def test_hash_that_stands_for_two_is_changed(table, monkeypatch):
-    """First hashes put all words, or all pairs, into a few names."""
-    word, pairs = phrases._word_name_column, phrases._pair_names
-    name = phrases._word_name
-    monkeypatch.setattr(phrases, "_word_name_column", lambda a: word(a) if a else -(phrases.F.length("word") % 3 + 2).cast("bigint"))
-    monkeypatch.setattr(phrases, "_word_name", lambda lang, w, a: name(lang, w, a) if a else -(len(w) % 3 + 2))
-    rows = corpus(3)
-    want = plain(rows, 8)
-    assert listed(phrases.collocations(table(rows), min_count=8, ranks=3)) == want
-    monkeypatch.setattr(phrases, "_pair_names", lambda x, y, a: pairs(x, y, a) if a else -((x + y) % 5 + 2))
-    assert listed(phrases.collocations(table(rows), min_count=8, ranks=3)) == want
-
-
 def test_counts_beyond_64_bits(spark):
     """The score of counts whose products need more than 64 bits."""
     row = spark.createDataFrame([(3 * 10**11, 9 * 10**11, 4 * 10**11, 7 * 10**11)], "a bigint, n bigint, l bigint, r bigint")
@@ -121,20 +115,21 @@ def test_odd_rows(spark, table, clashing):
     assert listed(phrases.collocations(table(odd))) == []
 
 
-def test_tiles_count_like_a_counter():
+def test_tiles_count_like_a_counter(monkeypatch):
     rng = np.random.default_rng(4)
+    monkeypatch.setattr(phrases, "HELD", 150_000)
     tiles, want = phrases.Tiles(), Counter()
     for _ in range(3):
-        left, right = (np.minimum(rng.zipf(1.3, 200_000), 200_000) - 3 for _ in "lr")
-        left, right = (np.where(x == -1, 5, x).astype(np.int64) for x in (left, right))
+        left, right = (np.minimum(rng.zipf(1.3, 200_000), 200_000).astype(np.int64) - 1 for _ in "lr")
         tiles.add(left, right)
         want.update(zip(left.tolist(), right.tolist()))
-    assert tiles._dense and tiles._sparse and tiles._hashed
-    got = Counter()
-    for batch in tiles.flush():
-        for left, right, n in zip(*(c.to_pylist() for c in batch.columns)):
-            got[left, right] += n
-    assert got == want
+    assert tiles._dense and tiles._sparse
+    back = phrases.Tiles()
+    for bucket, blob in tiles.blobs(7):
+        assert 0 <= bucket < 7
+        back.add_counted(*phrases._unblob(blob, 8))
+    keys, counts = back.counted()
+    assert dict(zip(zip(*(x.tolist() for x in back.pairs(keys))), counts.tolist())) == dict(want) and max(counts) > 255
 
 
 def test_sql_equals_query(spark):
