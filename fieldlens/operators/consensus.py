@@ -178,9 +178,10 @@ def tally(
     taxon was chosen, its first place in document order, and the number of individuals, which is the
     median of the all-digit HOWMANY answers rounded up.
 
-    The annotations are parsed once, both kinds share one aggregation with partial sums before its
-    shuffle, and the median keeps counts per distinct answer, so a subject that holds a large share of
-    all votes stays small. ``legacy`` leaves choices unmapped where the rule names an unknown taxon.
+    The annotations are parsed once and exploded once. Votes are first counted per answer, with partial
+    counts before the shuffle, so a subject that holds a large share of all votes stays small; the median is
+    then read off the counts of the few distinct numbers, and all further steps on subjects share the
+    second shuffle. ``legacy`` leaves choices unmapped where the rule names an unknown taxon.
     """
     known = classified.where(F.col("workflow_id").isin(list(rules)))
     read = parsing.with_choices(
@@ -195,40 +196,57 @@ def tally(
 
         return _by_rule(of_rule, rules, raw)
 
-    def item(kind: str, value: Column, howmany: Column, pos: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"), value.alias("value"), howmany.alias("howmany"), pos.alias("pos")
-        )
-
-    sizes = item("k", size.cast("string"), F.lit(None).cast("string"), F.lit(-1))
-    votes = F.transform(
-        "_choices",
-        lambda c, i: item("taxon", c["choice"], F.try_element_at(c["answers"], F.lit("HOWMANY")), i),
-    )
-    counted = F.when(~skip | size.between(1, K_MAX), F.concat(F.array(sizes), votes))
-    # The size test is part of the exploded value and the explode is outer: as filters before it,
-    # both would make the plan parse every cell once more.
-    items = (
-        read.select(*SUBJECT, "classification_id", F.explode_outer(counted).alias("_item"))
-        .select(*SUBJECT, "classification_id", "_item.*")
-        .where("kind IS NOT NULL")
-    )
-    value = F.when(F.col("kind") == "taxon", taxon(F.col("value"))).otherwise(F.col("value"))
-    return (
-        items.withColumn("value", value)
-        .groupBy(*SUBJECT, "kind", "value")
+    # A skipped classification, like one without choices, gives a row without a choice. The size test is
+    # part of the exploded value and the explode is outer: as filters before it, both would make the plan
+    # parse every cell once more.
+    counted = F.when(~skip | size.between(1, K_MAX), F.col("_choices"))
+    votes = read.select(*SUBJECT, "classification_id", size.alias("_size"), F.posexplode_outer(counted).alias("pos", "_vote"))
+    choice = F.col("_vote")["choice"]
+    number = parsing.whole_number(F.try_element_at(F.col("_vote")["answers"], F.lit("HOWMANY")))
+    answers = (
+        votes.where(choice.isNotNull() | (~skip & (F.col("_size") == 0)))
+        .select(*SUBJECT, "classification_id", "pos", "_size", choice.alias("choice"), number.alias("number"))
+        .groupBy(*SUBJECT, "_size", "choice", "number")
         .agg(
             F.count(F.lit(1)).alias("n"),
+            F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("classifications"),
             F.min(F.struct("classification_id", "pos")).alias("first_vote"),
-            F.ceil(F.median(parsing.whole_number(F.col("howmany")))).cast("bigint").alias("individuals"),
         )
     )
+    # Each answer is a vote for its taxon; the first choice of a classification stands for its size.
+    nothing = F.lit(None).cast("bigint")
+    item = F.array(
+        F.struct(F.lit("taxon").alias("kind"), F.when(F.col("choice").isNotNull(), taxon(F.col("choice"))).alias("value"), "number", "n", "first_vote"),
+        F.struct(
+            F.lit("k").alias("kind"), F.col("_size").cast("string").alias("value"), nothing.alias("number"),
+            F.col("classifications").alias("n"), "first_vote",
+        ),
+    )
+    items = (
+        answers.select(*SUBJECT, F.inline(item))
+        .where("n > 0 AND value IS NOT NULL")
+        .repartition(*[F.col(c) for c in SUBJECT])
+    )
+    same = Window.partitionBy(*SUBJECT, "kind", "value")
+    given = F.when(F.col("number").isNotNull(), F.col("n"))
+    placed = items.withColumns({"_upto": F.sum(given).over(same.orderBy("number")), "_all": F.sum(given).over(same)})
+    low = F.min(F.when(F.col("_upto") >= F.expr("(_all + 1) div 2"), F.col("number")))
+    high = F.min(F.when(F.col("_upto") >= F.expr("_all div 2 + 1"), F.col("number")))
+    counts = placed.groupBy(*SUBJECT, "kind", "value").agg(
+        F.sum("n").alias("n"), F.min("first_vote").alias("first_vote"), low.alias("_low"), high.alias("_high")
+    )
+    # Half way between the two middle numbers, rounded up.
+    return counts.withColumn("individuals", F.expr("_low + (_high - _low + 1) div 2")).drop("_low", "_high")
 
 
 def _most_frequent(n: Column, k: Column) -> Column:
-    """Sort key of the choice-count vote: more classifications first, then the largest allowed k."""
-    allowed = F.when(k <= K_MAX, k).otherwise(-1)
-    return F.struct(n.alias("n"), allowed.alias("allowed"))
+    """Sort key of the choice-count vote as one number: more classifications first, then the largest allowed k."""
+    return n * (K_MAX + 2) + F.when(k <= K_MAX, k).otherwise(-1) + 1
+
+
+def _allowed(key: Column) -> Column:
+    """The number of choices in such a key; -1 if it is none that is allowed."""
+    return key % (K_MAX + 2) - 1
 
 
 def k_majority(tallied: DataFrame) -> DataFrame:
@@ -241,7 +259,7 @@ def k_majority(tallied: DataFrame) -> DataFrame:
         .groupBy(*SUBJECT)
         .agg(F.max(_most_frequent(F.col("n"), F.col("value").cast("bigint"))).alias("_best"))
     )
-    allowed = F.col("_best.allowed")
+    allowed = _allowed(F.col("_best"))
     return best.select(*SUBJECT, F.when(allowed >= 0, allowed).alias("k_majority"))
 
 
@@ -257,7 +275,7 @@ def top_species(tallied: DataFrame, *, legacy: bool = False) -> DataFrame:
         F.col("kind") == "k", _most_frequent(F.col("n"), F.col("value").cast("bigint"))
     )
     rows = (
-        tallied.withColumn("k_majority", F.max(frequent).over(subject)["allowed"])
+        tallied.withColumn("k_majority", _allowed(F.max(frequent).over(subject)))
         .where("kind = 'taxon' AND k_majority >= 0")
         .withColumnsRenamed({"value": "taxon", "n": "votes"})
         .drop("kind")

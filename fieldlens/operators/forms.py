@@ -112,6 +112,10 @@ def nested_entries(
     )
 
 
+# Spans in a chunk of an order over all sites, so that no task holds all of them.
+SHEET_CHUNK = 100_000
+
+
 def session_spans(keyed: DataFrame) -> DataFrame:
     """First and last creation text per site and session; groups without any date are dropped."""
     return (
@@ -130,10 +134,13 @@ def field_sheet(
 ) -> DataFrame:
     """Spans in order of their start with the end of the span before as ``new_start``.
 
-    The order is over all sites unless ``partition_by`` names columns; give ``chunk_rows`` where the
-    spans may not fit one task. They are stored then, so the entries are aggregated once.
+    The order is over all sites unless ``partition_by`` names columns. An order over all is cut into chunks of
+    ``chunk_rows`` spans, SHEET_CHUNK unless given; spans of a part are only where ``chunk_rows`` is given. They are
+    stored then, so the entries are aggregated once.
     """
     spans = session_spans(keyed)
+    if not partition_by:
+        chunk_rows = chunk_rows or SHEET_CHUNK
     if chunk_rows is not None:
         spans = stored(spans, "spans")
     order = ["started", "site", "session"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,24 @@ def write_field_logs(log: DataFrame, path: str) -> None:
     _sorted_csv(log.select("collection", *schema.LOG_FIELDS), path, "Deployment")
 
 
+def write_log_files(logs: DataFrame, path: str) -> None:
+    """One field-log file per collection, named after it. ``logs``: collection, text; one row per collection.
+
+    Spark names the files it writes itself, so they are renamed; there is one per collection.
+    """
+    logs.select("collection", "text").write.mode("overwrite").option("lineSep", "\n").partitionBy("collection").text(path)
+    spark = logs.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in files.listStatus(root):
+        if folder.isDirectory():
+            name = unquote(folder.getPath().getName().split("=", 1)[1])
+            (part,) = [f.getPath() for f in files.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            files.rename(part, hadoop.Path(root, f"{name}_FileTimestampLog.csv"))
+            files.delete(folder.getPath(), True)
+
+
 def write_manifests(manifests: DataFrame, path: str) -> None:
     """One JSON document per part and page, foldered by collection and deployment."""
     manifests.write.mode("overwrite").partitionBy("collection", "deployment").json(path)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldlens import schema
 from fieldlens.functions import naming
+from fieldlens.session import stored
 
 
 def media_listing(paths: DataFrame, root: str = "", *, direct_children: bool = False) -> DataFrame:
@@ -104,10 +108,114 @@ def read_log_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(columns).option("header", "true").csv(path)
 
 
+_QUOTE = '"'
+_EXPORT_OPTIONS = {"escape": _QUOTE, "multiLine": "true", "lineSep": "\n"}
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with the byte range they lie in: file, block and value, in order inside a range."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
+    )
+
+
+def _open_blocks(lines: DataFrame) -> DataFrame:
+    """Per byte range that begins or ends inside quotes: file, block, ``begins`` and ``ends`` (0 or 1)."""
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit(_QUOTE), F.lit("")))
+    ranges = lines.groupBy("file", "block").agg((F.sum(quotes) % 2).alias("odd"))
+    # One row per range; a prefix sum over the ranges of each file.
+    upto = F.sum("odd").over(Window.partitionBy("file").orderBy("block"))
+    return ranges.select("file", "block", (((upto - F.col("odd")) % 2)).alias("begins"), (upto % 2).alias("ends")).where("begins + ends > 0")
+
+
+def _records(lines: DataFrame, known: dict[tuple[str, int], tuple[int, int]]) -> DataFrame:
+    """Records of byte ranges: file, block, kind, head and record; blank ones are left out.
+
+    kind 0 is a whole record; 1 ends one of an earlier range; 2 begins one that goes on; 3 is a range inside
+    one record. ``head`` marks the first of a file. ``known`` tells for ranges that begin or end inside quotes
+    whether they do.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple[str, int] | None = None
+        held: list[str] = []  # lines of the record that is open
+        found: list[tuple[int, bool, str]] = []
+        inside = begun = head = False
+
+        def take(kind: int) -> None:
+            nonlocal head
+            record = "\n".join(held)
+            record = record.removesuffix("\r") if kind < 2 else record  # at the end of a line, not of a piece
+            held.clear()
+            if record or kind:
+                found.append((kind, head, record))
+                head = False
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            if found:
+                kinds, heads, texts = zip(*found)
+                n = len(found)
+                found.clear()
+                columns = [pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.int64()), pa.array(kinds, pa.int32()), pa.array(heads, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], ["file", "block", "kind", "head", "record"])
+
+        for batch in batches:
+            for file, block, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if (file, block) != key:
+                    if held:
+                        take(3 if begun else 2)
+                    yield from rows()
+                    key, head = (file, block), block == 0
+                    inside = begun = bool(known.get(key, (0, 0))[0])
+                held.append(value)
+                inside ^= value.count(_QUOTE) % 2 == 1
+                if not inside:
+                    take(1 if begun else 0)
+                    begun = False
+            yield from rows()
+        if held:
+            take(3 if begun else 2)
+        yield from rows()
+
+    return lines.mapInArrow(task, "file string, block bigint, kind int, head boolean, record string")
+
+
+def export_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of quoted CSV files, whose cells may hold line breaks, as texts: file, head, record.
+
+    Files are read in byte ranges, by as many tasks as the reader makes of them. One pass counts quotes: by
+    their number before it, a range begins inside a cell or not. Ranges then cut their records at the line
+    ends outside quotes. Pieces of a record that lies in several ranges are put together, one group per such
+    record; they are read in a further pass, if there are any. ``head`` marks the first record of a file. Lines end
+    with a line feed, with or without a carriage return before it; blank records are left out. Quotes stand
+    around cells and doubled inside them, and nowhere else.
+    """
+    lines = _lines(spark, path)
+    blocks = stored(_open_blocks(lines), "open-ranges")
+    known = {(r.file, r.block): (r.begins, r.ends) for r in blocks.collect()}  # a row per byte range at most
+    out = _records(lines, known).where("kind = 0").select("file", "head", "record")
+    if not known:
+        return out
+    pieces = _records(lines.join(F.broadcast(blocks.select("file", "block")), ["file", "block"], "left_semi"), known).where("kind > 0")
+    # A record's pieces: the one that begins it, ranges inside it, and the one that ends it.
+    order = Window.partitionBy("file").orderBy("block", F.when(F.col("kind") == 1, 0).otherwise(1))
+    started = F.sum(F.when(F.col("kind") == 2, 1).otherwise(0)).over(order)
+    together = pieces.withColumn("_record", started).groupBy("file", "_record").agg(
+        F.max("head").alias("head"), F.array_sort(F.collect_list(F.struct("block", "record"))).alias("_pieces")
+    )
+    return out.unionByName(together.select("file", "head", F.array_join(F.transform("_pieces", lambda p: p["record"]), "\n").alias("record")))
+
+
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """Classification export: CSV whose cells hold JSON with doubled quotes and line breaks."""
-    reader = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
-    return reader.schema(schema.EXPORT).csv(path)
+    """Classification export: CSV whose cells hold JSON with doubled quotes and line breaks.
+
+    One file is read by many tasks, see :func:`export_records`; cells are the same as by a reader of whole
+    files. The first record of every file is its header.
+    """
+    columns = ", ".join(f"{name} string" for name in schema.EXPORT.names)
+    data = export_records(spark, path).where("not head")
+    return data.select(F.from_csv("record", columns, _EXPORT_OPTIONS).alias("_row")).select("_row.*")
 
 
 def read_table(spark: SparkSession, path: str, columns: str, kind: str = "parquet") -> DataFrame:
@@ -156,7 +264,7 @@ def report_catalogue_json(spark: SparkSession, path: str) -> DataFrame:
         spark.read.schema(T.StructType(schema.FINDINGS.fields).add("_corrupt_record", "string"))
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(path)
-        .withColumn("_file", F.col("_metadata.file_name"))
+        .withColumn("_file", F.col("_metadata.file_path"))
     )
     status = F.col("status")
     counted = rows.groupBy("_file").agg(
@@ -170,7 +278,7 @@ def report_catalogue_json(spark: SparkSession, path: str) -> DataFrame:
 
     derived = report_status(F.col("_errors") > 0, F.col("_successes") > 0)
     return counted.select(
-        F.col("_file").alias("file_name"),
+        F.substring_index("_file", "/", -1).alias("file_name"),
         "start_time",
         "end_time",
         F.when(F.col("_broken") > 0, "error loading").otherwise(derived).alias("status"),

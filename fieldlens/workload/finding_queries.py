@@ -119,6 +119,23 @@ def _(t):
     return tables.report_catalogue(t.findings)
 
 
+@query(
+    "s14_report_files",
+    f"""SELECT start_time, end_time, CASE WHEN ascii(right(run_id, 1)) % 2 = 0 THEN 'error loading' ELSE {_STATUS} END AS status
+        FROM run_totals""",
+)
+def _(t):
+    # One file of JSON lines per run, every other one with a line that was broken off.
+    lines = t.findings.select("run_id", F.to_json(F.struct("run_id", "identifier", "action", "status", "message", "ts"), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("value"))
+    odd = t.findings.select("run_id").distinct().where(F.ascii(F.expr("right(run_id, 1)")) % 2 == 0)
+    path = scratch_path(t.spark, "report-files")
+    broken = odd.select("run_id", F.lit('{"run_id": "1", "sta').alias("value"))
+    every = lines.unionByName(broken).withColumnRenamed("run_id", "run")
+    every.repartition("run").write.partitionBy("run").text(path)
+    rows = tables.report_catalogue_json(t.spark, path)
+    return rows.select(F.col("start_time").cast("timestamp_ntz"), F.col("end_time").cast("timestamp_ntz"), "status")
+
+
 @query("o5_reports_newest_first", f"SELECT *, row_number() OVER (ORDER BY end_time DESC, run_id) AS place FROM ({_CATALOGUE}) c")
 def _(t):
     from fieldlens.plans.ordered import ordered_rows

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.operators import preparation as P
 from fieldlens.operators.packaging import build_packages, manifests
-from fieldlens.session import scratch_path
+from fieldlens.session import scratch_path, stored
 from fieldlens.sources import sinks, tables
 from fieldlens.workload.package_queries import LIMIT
 from fieldlens.workload.preparation_queries import _lower_log, _prepared, _recorded
@@ -32,6 +32,51 @@ def _(t):
     return listing.select("collection", "deployment", "file_name")
 
 
+@query(
+    "s1_media_tree",
+    """SELECT 'collection=' || collection AS collection, 'deployment=' || deployment AS deployment, '.txt' AS ext,
+         CAST(sum(length(CAST(media_id AS varchar)) + 1) AS bigint) AS size,
+         sha1(string_agg(CAST(media_id AS varchar) || chr(10), '' ORDER BY media_id)) AS hash
+       FROM media GROUP BY collection, deployment""",
+)
+def _(t):
+    # A tree of folders with one file each, which holds the ids of the deployment's media.
+    path = scratch_path(t.spark, "media-tree")
+    keys = ["collection", "deployment"]
+    rows = t.media.repartition(*keys).sortWithinPartitions(*keys, "media_id")
+    rows.select(*keys, F.col("media_id").cast("string").alias("value")).write.partitionBy(*keys).text(path)
+    return tables.read_media(t.spark, path, with_hash=True).select(*keys, "ext", "size", "hash")
+
+
+_LOG_HEADER = ["EndTime", "Deployment", "StartDate", "StartTime", "EndDate"]
+
+
+def _log_files(t) -> str:
+    """Field logs as typed by hand: with a byte order mark, other column order, and line breaks in cells."""
+    name = F.when(F.col("row_number") % 7 == 0, F.concat(F.lit('"'), F.col("Deployment"), F.lit('\n""moved"""'))).otherwise(F.col("Deployment"))
+    line = F.concat_ws(",", *[name if c == "Deployment" else F.col(c) for c in _LOG_HEADER])
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("row_number", line.alias("line")))), lambda r: r["line"])
+    text = F.concat(F.lit("\ufeff" + ",".join(_LOG_HEADER) + "\r\n"), F.array_join(lines, "\r\n"))
+    path = scratch_path(t.spark, "log-files")
+    sinks.write_log_files(t.field_log.groupBy("collection").agg(text.alias("text")), path)
+    return path
+
+
+@query(
+    "s2_log_files",
+    """SELECT collection, row_number() OVER (PARTITION BY collection ORDER BY row_number) + 1 AS row_number,
+         CASE WHEN row_number % 7 = 0 THEN Deployment || chr(10) || '"moved"' ELSE Deployment END AS "Deployment",
+         StartDate AS "StartDate", StartTime AS "StartTime", EndDate AS "EndDate", EndTime AS "EndTime" FROM field_log""",
+)
+def _(t):
+    return tables.read_field_logs(t.spark, _log_files(t))
+
+
+@query("s2_log_headers", f"SELECT DISTINCT collection, '{','.join(_LOG_HEADER)}' AS header FROM field_log")
+def _(t):
+    return tables.read_log_headers(t.spark, _log_files(t))
+
+
 _LOG = 'collection, Deployment AS "Deployment", StartDate AS "StartDate", StartTime AS "StartTime", EndDate AS "EndDate", EndTime AS "EndTime"'
 
 
@@ -59,6 +104,23 @@ def _(t):
     return tables.read_export(t.spark, path).withColumn("user_id", F.coalesce("user_id", F.lit("")))
 
 
+@query(
+    "s3_export_ranges",
+    """SELECT classification_id, annotations || chr(10) || '"' || chr(10) || '",' AS annotations FROM export""",
+)
+def _(t):
+    # Cells with line breaks and quotes, read in byte ranges far smaller than the files.
+    path = scratch_path(t.spark, "export")
+    cells = t.export.withColumn("annotations", F.concat("annotations", F.lit('\n"\n",'))).select(_EXPORT)
+    cells.write.option("header", "true").option("escape", '"').option("quoteAll", "true").csv(path)
+    before = t.spark.conf.get("spark.sql.files.maxPartitionBytes")
+    t.spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 19))
+    try:
+        return stored(tables.read_export(t.spark, path).select("classification_id", "annotations"), "read-export")
+    finally:
+        t.spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @query(
     "s6_observation_file",
     """SELECT obs_id AS "_id", observation_type AS "observationType", strftime(observed_at, '%Y-%m-%dT%H:%M:%S') AS "observedAt",

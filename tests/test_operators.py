@@ -430,3 +430,57 @@ def test_progress(spark):
     assert listed(progress.roll_up(events)) == [("R1", None, 2, 0, 0), ("R1", "d", 3, 1, 1)] or listed(
         progress.roll_up(events)
     ) == [("R1", "d", 3, 1, 1), ("R1", None, 2, 0, 0)]
+
+
+def test_tally_equals_counting(spark):
+    """Votes, first votes and medians of drawn classifications, of all rules, against plain Python."""
+    import random
+    import statistics
+    from collections import Counter
+
+    draw = random.Random(3)
+    rows = []
+    for i in range(400):
+        names = draw.choices(["COW", "HORSE", "MYSTERY", "REDFOX", "WOLF"], k=draw.choice([0, 1, 1, 1, 2, 3, 4, 5]))
+        cell = [{"task": "T", "value": [{"choice": n, "answers": draw.choice([{}, {"HOWMANY": str(draw.randrange(9))}, {"HOWMANY": "many"}, {"HOWMANY": "12345678901234567"}])} for n in names]}]
+        workflow = draw.choice(["29186", "29187", "17553"])
+        subject = 1 if i % 3 == 0 else draw.randrange(12)
+        rows.append((f"{draw.randrange(10**6)}-{i}", workflow, workflow + ":w", subject, draw.choice(["7", None]), json.dumps(cell), cell))
+    want = {}
+    for key, workflow, name, sid, media, _, cell in rows:
+        values = cell[0]["value"]
+        rule = consensus.RULES[workflow]
+        if rule.skip_odd_sizes and not 1 <= len(values) <= consensus.K_MAX:
+            continue
+        own = want.setdefault((workflow, name, sid, media), {"k": Counter(), "taxa": {}})
+        own["k"][str(len(values))] += 1
+        for pos, value in enumerate(values):
+            taxon = rule.taxa.get(value["choice"], rule.unknown_taxon or value["choice"])
+            votes = own["taxa"].setdefault(taxon, [])
+            votes.append((key, pos, value["answers"].get("HOWMANY", "")))
+    schema = "classification_id string, workflow_id string, workflow_key string, sid bigint, media_id string, annotations string"
+    got = consensus.tally(spark.createDataFrame([r[:6] for r in rows], schema).repartition(4)).collect()
+    found = {}
+    for r in got:
+        own = found.setdefault((r.workflow_id, r.workflow_key, r.sid, r.media_id), {"k": Counter(), "taxa": {}})
+        if r.kind == "k":
+            own["k"][r.value] = r.n
+        else:
+            own["taxa"][r.value] = (r.n, tuple(r.first_vote), r.individuals)
+    for own in want.values():
+        for taxon, votes in own["taxa"].items():
+            numbers = [int(n) for _, _, n in votes if n.isdigit()]
+            middle = -(-(statistics.median_low(numbers) + statistics.median_high(numbers)) // 2) if numbers else None
+            own["taxa"][taxon] = (len(votes), min(v[:2] for v in votes), middle)
+    assert found.keys() == want.keys()
+    for key, own in want.items():
+        assert found[key]["k"] == own["k"]
+        for taxon in own["taxa"]:
+            assert found[key]["taxa"].get(taxon) == own["taxa"][taxon], (key, taxon)
+    assert found == want
+
+
+def test_tally_needs_no_object_aggregation(spark):
+    plan = consensus.decisions(classified(spark, CLASSIFICATIONS))._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("from_json") <= 4

@@ -3,6 +3,7 @@
 import csv
 import hashlib
 import json
+import random
 from datetime import datetime
 
 from tests.conftest import listed
@@ -66,6 +67,44 @@ def test_export_cells_hold_json_and_line_breaks(spark, tmp_path):
     assert (row["sid"], row["media_id"], row["workflow_key"]) == (5, "7", "29186:w, x:1")
 
 
+def test_export_in_byte_ranges_equals_whole_files(spark, tmp_path):
+    """Records over many ranges, cells larger than a range, and files that end without a line feed."""
+    draw = random.Random(4)
+    names = tables.schema.EXPORT.names
+    folder = tmp_path / "exports"
+    folder.mkdir()
+    truth = []
+    for n, end in ((0, "\n"), (1, "\r\n"), (2, "\n")):
+        with open(folder / f"e{n}.csv", "w", newline="") as file:
+            writer = csv.writer(file, lineterminator=end)
+            writer.writerow(names)
+            for i in range(400):
+                cells = ["".join(draw.choices(['"', "\n", "\r\n", ",", "a", "é", " ", "{}"], k=draw.choice([0, 1, 5, 30]))) for _ in names]
+                cells[-1] += "x\n" * 900 if i % 100 == 7 else ""
+                writer.writerow([f"{n}-{i}", *cells[1:]])
+                truth.append((f"{n}-{i}", *(c or None for c in cells[1:])))
+        if n == 2:
+            (folder / "e2.csv").write_bytes((folder / "e2.csv").read_bytes().removesuffix(b"\n"))
+    want = listed(spark.createDataFrame(truth, tables.schema.EXPORT))
+    reader = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').option("lineSep", "\n")
+    # The reader of whole files takes line feeds as they are where it is told that they end lines.
+    plain = reader.schema(tables.schema.EXPORT).csv(str(folder / "e0.csv"))
+    assert listed(plain) == [w for w in want if w[0].startswith("0-")]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700", "20000", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            read = tables.read_export(spark, str(folder))
+            got = listed(read)
+            assert len(got) == 1200 and got == want
+            if size == "20000":
+                assert tables._lines(spark, str(folder)).select("block").distinct().count() >= 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_ledger_and_tables(spark, tmp_path):
     (tmp_path / "done.txt").write_text(" a/b \n\n   \nc\n")
     assert listed(tables.read_ledger(spark, str(tmp_path / "done.txt"))) == [("a/b",), ("c",)]
