@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from fieldlens.operators import packaging, progress, rules
+from fieldlens.operators import progress, rules
 
 
-# Ledgers are foldered by a hash of the first key, so a batch reads only the folders of its own keys.
-BUCKET = "bucket"
-BUCKETS = 64
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def live_sequences(media: DataFrame, max_interval: int = 90, late_by: str = "1 hour") -> DataFrame:
@@ -59,18 +62,13 @@ def run_each(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _write_batch(df: DataFrame, target: str, batch_id: int) -> None:
+def _write_batch(df: DataFrame, target: str, batch: str | int) -> None:
     """Write a micro-batch to a folder of its own, so a replayed batch replaces itself."""
-    _written(df).parquet(f"{target}/batch={batch_id}")
-
-
-def _written(df: DataFrame):
-    writer = df.write.mode("overwrite")
-    return writer.partitionBy(BUCKET) if BUCKET in df.columns else writer
+    df.write.mode("overwrite").parquet(f"{target}/batch={batch}")
 
 
 def written_batches(spark: SparkSession, target: str, columns: str) -> DataFrame | None:
-    """What earlier micro-batches wrote, with their ``batch`` number; None before the first."""
+    """What earlier micro-batches wrote, with their ``batch``; None before the first."""
     try:
         return spark.read.schema(columns).parquet(target)
     except AnalysisException as error:
@@ -90,6 +88,38 @@ def incremental_checks(
     return run_each(deployments, handle, checkpoint, **trigger)
 
 
+class _Unseen(StatefulProcessor):
+    """Of each group, the rows whose other keys its state does not hold yet; each of them once."""
+
+    def __init__(self, others: StructType):
+        self._others = others
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        # A group of one key only is seen or not.
+        keys = self._others if len(self._others) else StructType([StructField("whole", BooleanType())])
+        self._seen = handle.getMapState("seen", keys, StructType([StructField("at", LongType())]))
+
+    def _keys(self, rows: pd.DataFrame) -> Iterator[tuple[Any, ...]]:
+        names = self._others.names
+        return rows[names].astype(object).itertuples(index=False, name=None) if names else iter([(True,)] * len(rows))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            fresh = []
+            for own in self._keys(frame):
+                fresh.append(not self._seen.containsKey(own))
+                if fresh[-1]:
+                    self._seen.updateValue(own, (1,))
+            yield frame[fresh]
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        for own in self._keys(initialState):
+            self._seen.updateValue(own, (1,))
+
+    def close(self) -> None:
+        pass
+
+
 def incremental_ledger(
     work: DataFrame,
     ledger_path: str,
@@ -100,18 +130,24 @@ def incremental_ledger(
 ) -> StreamingQuery:
     """Write work the ledger does not hold yet, once, also when a batch is replayed.
 
-    ``read_ledger`` returns the batches written so far with ``bucket`` and ``batch``, or None. Only the
-    buckets of the batch are read. A replayed batch ignores its own earlier output, which it replaces.
+    What is held is keyed state of the stream, by the first key, so a batch looks up its own keys and reads no
+    ledger file, however long the ledger is. Only a new checkpoint reads the ledger, once, as its first state:
+    ``read_ledger`` returns the batches written so far with ``batch``, or None. Batches are named by their
+    checkpoint too, so a replayed batch replaces its own output and no other's.
     """
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        bucket = F.pmod(F.xxhash64(keys[0]), F.lit(BUCKETS)).cast("int")
-        fresh = batch.dropDuplicates(list(keys)).withColumn(BUCKET, bucket)
-        held = read_ledger()
-        if held is not None:
-            own = [row[0] for row in fresh.select(BUCKET).distinct().collect()]  # BUCKETS numbers at most
-            mine = held.where(F.col(BUCKET).isin(own) & (F.col("batch") != batch_id))
-            fresh = packaging.pending(fresh, mine, keys)
-        _write_batch(fresh, ledger_path, batch_id)
-
-    return run_each(work, handle, checkpoint, **trigger)
+    spark = work.sparkSession
+    run = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
+    held = read_ledger()
+    if held is None:
+        held = spark.createDataFrame([], StructType([*work.schema.fields, StructField("batch", StringType())]))
+    others = StructType([work.schema[key] for key in keys[1:]])
+    grouped = held.where(~F.col("batch").startswith(run)).select(*keys).groupBy(keys[0])
+    fresh = work.groupBy(keys[0]).transformWithStateInPandas(
+        statefulProcessor=_Unseen(others), outputStructType=work.schema, outputMode="Append", timeMode="None", initialState=grouped
+    )
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)  # read when the stream starts
+    try:
+        return run_each(fresh, lambda batch, number: _write_batch(batch, ledger_path, f"{run}-{number}"), checkpoint, **trigger)
+    finally:
+        spark.conf.set(_PROVIDER, before)

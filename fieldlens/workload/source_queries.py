@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldlens.operators import preparation as P
 from fieldlens.operators.packaging import build_packages, manifests
 from fieldlens.session import scratch_path, stored
-from fieldlens.sources import sinks, tables
+from fieldlens.sources import committed, sinks, tables
 from fieldlens.workload.package_queries import LIMIT
 from fieldlens.workload.preparation_queries import _lower_log, _prepared, _recorded
 from fieldlens.workload.registry import query
@@ -175,6 +175,21 @@ def _(t):
     return back.select("collection", "deployment", "part", F.inline("resources"))
 
 
+@query("s8_committed_summaries", "SELECT * FROM summaries")
+def _(t):
+    # Half of the deployments, then all in their final state, once broken off and once more.
+    summary = P.deployment_summary(_prepared(t))
+    path = scratch_path(t.spark, "committed")
+    keys = ["collection", "deploymentID"]
+    merge = lambda old, new: P.upsert(old, new, keys)
+    early = summary.where("pmod(xxhash64(deploymentID), 2) = 0").withColumn("deploymentEnd", F.lit("unknown"))
+    committed.commit_change(t.spark, path, early, merge)
+    broken = summary.withColumn("deploymentStart", F.lit("broken off"))
+    broken.write.partitionBy("collection").parquet(f"{path}/data/version=2-broken")
+    committed.commit_change(t.spark, path, summary, merge)
+    return committed.read_committed(t.spark, path, summary.schema)
+
+
 @query("s13_handled_paths", "SELECT rel_path AS path FROM media WHERE file_public")
 def _(t):
     # Blank lines and stray blanks, as a hand-edited ledger has them.

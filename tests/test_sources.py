@@ -99,7 +99,7 @@ def test_export_in_byte_ranges_equals_whole_files(spark, tmp_path):
             got = listed(read)
             assert len(got) == 1200 and got == want
             if size == "20000":
-                assert tables._lines(spark, str(folder)).select("block").distinct().count() >= 8
+                assert tables._lines(spark, str(folder)).select("file", "block").distinct().count() >= 8
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")

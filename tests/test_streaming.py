@@ -52,7 +52,7 @@ def test_incremental_checks_see_each_deployment_once(spark, tmp_path):
 
 
 def test_ledger_ignores_repeats_and_replays(spark, tmp_path):
-    schema, columns = "path string", "path string, batch int"
+    schema, columns = "path string", "path string, batch string"
     target = str(tmp_path / "ledger")
 
     def run(state):
@@ -68,3 +68,27 @@ def test_ledger_ignores_repeats_and_replays(spark, tmp_path):
     assert listed(spark.read.parquet(target), "path") == [("a",), ("b",), ("c",)]
     run("other-state")  # everything is replayed as batch 0
     assert listed(spark.read.parquet(target), "path") == [("a",), ("b",), ("c",)]
+
+
+def test_ledger_cost_does_not_grow(spark, tmp_path):
+    """Many batches over the same files: no batch reads the ledger, and state reads stay as they were."""
+    schema, target, state = "file string, chunk_index bigint", str(tmp_path / "ledger"), str(tmp_path / "state")
+    asked = []
+
+    def read_ledger():
+        asked.append(1)
+        return live.written_batches(spark, target, schema + ", batch string")
+
+    for part in range(10):
+        drop(spark, tmp_path / "in", [(f"f{i % 40}", part * 30 + i % 60) for i in range(120)], schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = live.incremental_ledger(stream, target, state, ["file", "chunk_index"], read_ledger)
+    run.awaitTermination()
+    assert len(asked) == 1
+    rows = listed(spark.read.parquet(target), "file", "chunk_index")
+    want = {(f"f{i % 40}", part * 30 + i % 60) for part in range(10) for i in range(120)}
+    assert len(rows) == len(set(rows)) == len(want) and set(rows) == want
+    progress = [p for p in run.recentProgress if p["numInputRows"]]
+    assert len(progress) == 10 and all(p["numInputRows"] == 120 for p in progress)
+    read = [int(p["stateOperators"][0]["customMetrics"].get("rocksdbTotalBytesRead", 0)) for p in progress]
+    assert read[9] <= 2 * read[4] + 10_000
