@@ -11,13 +11,14 @@ from fieldlens.session import configure, stored
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-# Rows that a Python worker holds at a time; the longest texts have hundreds of kilobytes.
-BATCH_ROWS = "1000"
+# Rows, and about the bytes, that a Python worker holds at a time; the longest texts have hundreds of kilobytes.
+BATCH_ROWS, BATCH_BYTES = "1000", str(16 << 20)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of these operators."""
     configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 

@@ -10,10 +10,9 @@ buckets: edits take a copy out of the buckets of its group, so this is the text
 Candidates are confirmed on full sets, and nodes move to the label of what they are linked with. Buckets
 whose members then still have several labels get a hub from another of them, for a few rounds.
 
-The rounds only save work. Members of buckets that still hold several labels are at last joined
-exactly: two sets that are similar enough share one of the few first shingles of each in any fixed order,
-and the order puts rare shingles first. Only pairs of different labels are made. All confirmed links
-together are contracted to components, once.
+The rounds only save work. The confirmed links are then contracted to components, and
+members of buckets that still hold several of them are at last joined exactly: two sets that are similar enough share one of the few first shingles of each in any fixed order,
+and the order puts rare shingles first. Only pairs of different components are made.
 """
 
 from __future__ import annotations
@@ -320,18 +319,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
         members = stars.select("key", "node", served.alias("served"))
         label = _moved(label, found)
 
-    # Links between members that were no hubs: whatever still lies in a bucket with another label.
+    label = popularity.select("node", F.col("node").alias("label"))
+    label = label if links is None else _contracted(label, links)
+    # Links between members that were no hubs: whatever still lies in a bucket with another component.
     of_key = stored(buckets.select("key", "node").join(label, "node"), "labelled")
     mixed = of_key.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high")
     opened = of_key.join(mixed.select("key"), "key", "left_semi").select("node", "label").distinct()
     across = stored(_across(stored(texts.join(opened, "node"), "open-texts"), shingle_words, percent), "across")
-    found = _links(across, texts, shingle_words, percent)
-    joined = components(found if links is None else links.unionAll(found))
-    label = popularity.select("node")
-    if joined is None:
-        label = label.withColumn("label", F.col("node"))
-    else:
-        label = label.join(joined.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    label = _contracted(label, _links(across, texts, shingle_words, percent))
 
     by_set = sets.join(label, "node", "left").select("high", "low", F.coalesce("label", "node").alias("label"))
     linked = known.join(stored(by_set, "set-labels"), ["high", "low"], "left")
@@ -348,6 +343,16 @@ def _links(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int)
     return stored(confirmed(bodies, shingle_words, percent), "links")
 
 
+def _contracted(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after all that links connect is one component."""
+    of_a, of_b = (label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+    joined = components(links.join(of_a, "a").join(of_b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    if joined is None:
+        return label
+    ups = joined.select(F.col("id").alias("label"), F.col("label").alias("up"))
+    return stored(label.join(ups, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+
+
 def _moved(label: DataFrame, links: DataFrame) -> DataFrame:
     """Each label moved to the smallest that a link joins it with, twice over: nodes of one label are connected,
     though connected nodes can still have several."""
