@@ -181,3 +181,27 @@ def test_manifest_pages_hold_everything(spark):
         hot = sorted((d["page"], [r["name"] for r in d["resources"]]) for d in documents if d["deployment"] == "hot")
         assert [len(names) for _, names in hot] == [20, 20, 20, 20, 15]
         assert [n for _, names in hot for n in names] == [f"f{i:03d}" for i in range(95)]
+
+
+def test_a_million_files_of_one_deployment_in_chunks(spark):
+    """A part holds more files than a chunk, and no group of the plan holds more files than a chunk."""
+    count, chunk, limit = 1_000_000, 50_000, 30_000_000
+    size = F.pmod(F.xxhash64("id"), F.lit(997))
+    files = spark.range(count).select(
+        F.lit("c").alias("collection"), F.lit("hot").alias("deployment"), F.format_string("f%07d", "id").alias("name"), size.alias("size")
+    )
+    steps = packaging._part_steps(files, limit, chunk)
+    assert steps.groupBy("collection", "deployment", "chunk").count().agg(F.max("count")).first()[0] == chunk
+    got = packaging.pack_parts(files, limit, chunk_rows=chunk).groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("name").alias("first")
+    )
+    mine = [(r["part"], r["n"], r["bytes"], r["first"]) for r in got.orderBy("part").collect()]
+    want, used, n, part, first = [], None, 0, 0, None
+    for name, bytes_ in sorted((r["name"], r["size"]) for r in files.select("name", "size").collect()):
+        if used is None or used + bytes_ > limit:
+            if used is not None:
+                want.append((part, n, used, first))
+            part, used, n, first = part + 1, 0, 0, name
+        used, n = used + bytes_, n + 1
+    want.append((part, n, used, first))
+    assert mine == want and min(w[1] for w in want[:-1]) > chunk
