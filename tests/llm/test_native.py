@@ -166,3 +166,37 @@ def test_whole_licence_texts(spark, documents):
             rows.append((len(rows), body))
     found = licences.licence_scan(documents(rows), licences.known_digests(spark))
     assert sorted((r.doc_id, r.whole_licence) for r in found.collect()) == expected
+
+
+def test_whole_licences_at_any_width(spark, documents):
+    """Every stored text with its lines broken anew, at all widths from 50 to 120."""
+    import textwrap
+
+    whole = [(n, t) for n, t in licences.KNOWN if len(t) > 500]
+    assert len(whole) >= 20
+    rows, expected = [], []
+    for name, text in whole:
+        paragraphs = re.split(r"\n\s*\n", text)
+        for width in range(50, 121):
+            body = "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in paragraphs)
+            rows.append((len(rows), body))
+            expected.append(name)
+    found = {r.doc_id: r.whole_licence for r in licences.licence_scan(documents(rows), licences.known_digests(spark)).collect()}
+    texts = {}
+    for name, text in whole:  # the same words under two names go by the last
+        texts.setdefault(" ".join(re.findall(r"[a-z0-9]+", text.lower())), []).append(name)
+    missed = [(name, i % 71 + 50) for i, name in enumerate(expected) if found[i] is None]
+    assert missed == [] and sum(found[i] == name for i, name in enumerate(expected)) == len(rows)
+
+
+def test_other_holder_at_any_width(spark, documents):
+    import textwrap
+
+    mit = max((t for n, t in licences.KNOWN if n == "MIT"), key=len)
+    title, _, rest = mit.split("\n", 2)
+    rows = [
+        (width, f"{title}\n\nCopyright (c) 2019-2024 Some One <one@example.org>\n\n" + textwrap.fill(rest, width, break_on_hyphens=False))
+        for width in range(50, 121)
+    ]
+    found = licences.licence_scan(documents(rows), licences.known_digests(spark)).collect()
+    assert [r.doc_id for r in found if r.whole_licence != "MIT"] == []
