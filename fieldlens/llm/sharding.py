@@ -113,7 +113,10 @@ def sharded(
         *[value.alias(name) for name, value in named.items()],
     )
     narrow = stored(narrow, "metadata")  # so the texts are read once
-    curve = hilbert_index(quantised(narrow, list(named), bits), bits)
+    # Cells are columns of their own: the curve reads each several times, and copies of them make huge code.
+    cells = quantised(narrow, list(named), bits)
+    narrow = narrow.select("doc_id", "size", "text_crc32", *[cell.alias(name) for cell, name in zip(cells, named)])
+    curve = hilbert_index([F.col(name) for name in named], bits)
     narrow = narrow.select("doc_id", "size", "text_crc32", curve.alias("curve"))
     ranked = globally_ranked(stored(narrow, "curve"), ["curve", "doc_id", "text_crc32"], "curve-order")
     shard = F.expr(f"rank * {shards} div total")
