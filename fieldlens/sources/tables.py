@@ -104,7 +104,7 @@ def read_field_logs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_log_table(spark: SparkSession, path: str) -> DataFrame:
     """Field logs as the log sink stores them, foldered by collection."""
-    columns = T.StructType(schema.LOG.fields).add("collection", "string")
+    columns = T.StructType(list(schema.LOG.fields)).add("collection", "string")
     return spark.read.schema(columns).option("header", "true").csv(path)
 
 
@@ -261,7 +261,7 @@ def report_catalogue(findings: DataFrame) -> DataFrame:
 def report_catalogue_json(spark: SparkSession, path: str) -> DataFrame:
     """Catalogue of findings stored as JSON lines; unreadable lines show as an error row per file."""
     rows = (
-        spark.read.schema(T.StructType(schema.FINDINGS.fields).add("_corrupt_record", "string"))
+        spark.read.schema(T.StructType(list(schema.FINDINGS.fields)).add("_corrupt_record", "string"))
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(path)
         .withColumn("_file", F.col("_metadata.file_path"))
