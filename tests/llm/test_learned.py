@@ -230,3 +230,96 @@ def test_fold_of_null(spark):
     from fieldlens.llm.common import fold
 
     assert spark.range(1).select(fold(F.lit(None).cast("bigint"), 5).alias("f")).first().f == -1
+
+
+def test_quality_scores_equal_brute_force(spark):
+    """All rows at once: plain normal equations, plain bins, and the min-max form of isotonic regression."""
+    import zlib
+
+    from fieldlens.llm import quality_classifier as q
+    from fieldlens.llm.statistics import COUNTS, FEATURES, counts_of, features_of
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    ids = sorted(texts)
+    rows = features_of(np.array([counts_of(texts[i]) for i in ids], np.int64).reshape(-1, len(COUNTS)))
+    at = {doc_id: n for n, doc_id in enumerate(ids)}
+    known = [(at[r.doc_id], r.quality) for r in labels.collect() if r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5]
+    used, label = rows[[n for n, _ in known]], np.array([y for _, y in known], float)
+    mean = used.mean(0)
+    scale = np.sqrt(np.maximum((used**2).mean(0) - mean**2, 1e-12))
+    rng = np.random.default_rng(17)
+    spread, phase = rng.normal(size=(len(FEATURES), q.COSINES)) / q.KERNEL_WIDTH, rng.uniform(0, 2 * np.pi, q.COSINES)
+
+    def waves(x):
+        return np.column_stack([np.ones(len(x)), np.sqrt(2 / q.COSINES) * np.cos(np.clip((x - mean) / scale, -8, 8) @ spread + phase)])
+
+    w = waves(used)
+    weights = np.linalg.inv(w.T @ w + q.RIDGE * np.eye(q.COSINES + 1)) @ (w.T @ label)
+    bins = {}
+    for value, y in zip(w @ weights, label):
+        b = min(max(int((value + 0.5) / 2 * q.BINS), 0), q.BINS - 1)
+        n, good = bins.get(b, (0, 0.0))
+        bins[b] = n + 1, good + y
+    order = sorted(bins)
+    sums = np.cumsum([[0, 0.0], *(bins[b] for b in order)], axis=0)
+    mean_of = lambda a, b: (sums[b, 1] - sums[a, 1]) / (sums[b, 0] - sums[a, 0])
+    n = len(order)
+    lowest = np.full((n, n), np.inf)  # of the means from a to any place from i on
+    for a in range(n):
+        for i in reversed(range(a, n)):
+            lowest[a, i] = min(mean_of(a, i + 1), lowest[a, i + 1] if i + 1 < n else np.inf)
+    levels = [max(lowest[a, i] for a in range(i + 1)) for i in range(n)]
+    scores = np.interp(waves(rows) @ weights, [(b + 0.5) / q.BINS * 2 - 0.5 for b in order], levels)
+    found = {r.doc_id: (r.score, r.predicted) for r in q.quality_scores(docs, labels).collect()}
+    assert len(found) == len(ids)
+    # Sums in another order differ in the last digits, which can move a row on the edge of a bin.
+    near = [abs(found[i][0] - s) < 1e-3 for i, s in zip(ids, scores)]
+    assert np.mean(near) > 0.99
+    assert all(found[i][1] == int(found[i][0] >= q.PREDICT_ABOVE) for i in ids)
+
+
+def test_languages_equal_plain_votes(spark):
+    """Features counted gram by gram, families and pairs decided one by one."""
+    import math
+
+    from fieldlens.llm import language_id as li
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = li.learn(docs)
+    assert len(model.families) > 1 and model.by_pair
+    found = {r.doc_id: (r.lang_pred, r.score) for r in li.languages(docs).collect()}
+    same = 0
+    rows = docs.collect()
+    for r in rows:
+        text = r.text or ""
+        if not any(c.isalpha() for c in text):
+            assert found[r.doc_id] == ("und", 0.0)
+            same += 1
+            continue
+        letters = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()] + [0, 0]
+        counts, half = np.zeros(li.BUCKETS), li.BUCKETS // 2
+        for i in range(len(letters) - 1):
+            pair = letters[i] * 256 + letters[i + 1]
+            counts[pair * 2654435761 % 2**32 >> 15 & half - 1] += 1
+            if i + 2 < len(letters):
+                counts[half + ((pair * 256 + letters[i + 2]) * 2654435761 % 2**32 >> 15 & half - 1)] += 1
+        row = np.sqrt(counts)
+        row = np.append(row / np.linalg.norm(row), 1)
+        margins = [float(row @ m) for m in model.by_family]
+        family = model.families[margins.index(max(margins))]
+        score = 1 / (1 + math.exp(-4 * max(margins)))
+        members = [i for i, code in enumerate(model.languages) if li.family_of(code) == family]
+        votes, least = {m: 0 for m in members}, {m: math.inf for m in members}
+        for (a, b), machine in model.by_pair.items():
+            if a in votes:
+                margin = float(row @ machine)
+                votes[a if margin >= 0 else b] += 1
+                least[a], least[b] = min(least[a], margin), min(least[b], -margin)
+        best = max(members, key=lambda m: (votes[m], least[m]))
+        if len(members) > 1:
+            score /= 1 + math.exp(-4 * least[best])
+        name, got = found[r.doc_id]
+        same += name == model.languages[best] and abs(got - score) < 1e-3
+    assert same >= len(rows) - 1
