@@ -187,28 +187,152 @@ def test_base_scores(documents, clashing, frequent, monkeypatch):
     assert language_model.scores(documents([])).count() == 0
 
 
-def small_model():
-    texts = [language_model.model_text(t) for t in (b"the cat sat on the mat", b"the dog sat", "é ü the".encode())] * 5
+LEARNED = [b"the cat sat on the mat", b"the dog sat", "é ü the".encode(), b"x" * 70] * 5
+
+
+def small_tree():
+    texts = b"".join(map(language_model.model_text, LEARNED))
     symbol_of = np.full(256, 63, np.uint8)
-    used = sorted(range(256), key=lambda b: (b not in b"".join(texts), b != 32, b))[:63]
+    used = sorted(range(256), key=lambda b: (b not in texts, b != 32, b))[:63]
     symbol_of[used] = np.arange(len(used))
-    total = np.zeros(language_model.COUNTED_SLOTS * 64, np.int64)
-    contexts = language_model.Contexts(texts, symbol_of)
-    for slot in contexts.slots[:2]:
-        np.add.at(total, slot * 64 + contexts.symbols, 1)
-    cells = np.flatnonzero(total)
-    return language_model.build(symbol_of, cells, total[cells], {b"the": 15, b"sat": 10, b"cat": 5})
+    return language_model.Tree.of(symbol_of, np.bincount(symbol_of[np.frombuffer(texts, np.uint8)], minlength=64))
 
 
-def test_the_model_is_a_probability():
-    """The decisions of one byte share out the probability among all 256 bytes."""
-    model = small_model()
-    for start in (b"", b"the c", b"zz \xc3"):
-        total = 0.0
-        for byte in range(256):
-            bits = model.bits([start + bytes([byte])])[0] - (model.bits([start])[0] if start else 0)
-            total += 2.0**-bits
-        assert total == pytest.approx(1, abs=1e-4)
+def small_model(texts):
+    """The model of some texts, and the lexicon with all words of these and of others to be scored."""
+    tree, learned = small_tree(), [language_model.model_text(t) for t in LEARNED]
+    contexts = language_model.Contexts(learned, tree.symbol_of)
+    total = np.zeros(language_model.STARTS[-1] * 64, np.int64)
+    for slot in contexts.slots:
+        np.add.at(total, slot * 64 + contexts.symbols, 1)
+    counts = collections.Counter(w for t in LEARNED for w in t.split())
+    words = sorted(set(counts).union(*[t.split() for t in texts]))
+    follows = np.zeros(64)
+    for word, n in counts.items():
+        follows[tree.symbol_of[word[0]]] += n
+    follows[tree.symbol_of[0]] += len(LEARNED)
+    one, other = tree.sides()
+    node = tree.decisions(tree.symbol_of[:1].astype(int))[1]
+    end = language_model._kept_odds((follows @ one)[node], (follows @ other)[node]).tobytes(), b"\1"
+    whole = {b"": follows}
+    paths = language_model.word_paths(words, np.array([counts[w] for w in words]), tree, whole)
+    (odds, odds_ends), (seen, seen_ends) = paths
+    lexicon = {}
+    for i, word in enumerate(words):
+        own = [values[(upto[i - 1] if i else 0) : upto[i]].tobytes() for values, upto in paths]
+        lexicon[word] = language_model.entry(word, counts[word], *own, tree)
+    cells = np.flatnonzero(total)
+    return language_model.build(tree, cells, total[cells], end), lexicon
+
+
+def code_lengths(texts):
+    model, lexicon = small_model(texts)
+    return model.bits([t.split() for t in texts], lexicon)
+
+
+def plain_bits(text):
+    """One decision after the other, with counts by context in dictionaries."""
+    lm, tree = language_model, small_tree()
+    learned = [lm.model_text(t) for t in LEARNED]
+
+    def contexts(body):
+        padded, begin = b" " * 5 + body, 0
+        for i, byte in enumerate(body):
+            keys = []
+            for back, slots in zip((3, 5), lm.SLOTS):
+                key = sum((int(tree.symbol_of[b]) + 1) * pow(lm._BASE, j, 1 << 32) for j, b in enumerate(padded[i + 5 - back : i + 5]))
+                keys.append(int(lm._slot(np.array([key % (1 << 32)], np.uint32), slots)[0]))
+            yield [*keys, body[begin:i] if i - begin < lm.LONGEST else None], int(tree.symbol_of[byte])
+            begin = i + 1 if byte == 32 else begin
+
+    counts = [collections.defaultdict(lambda: np.zeros(64)) for _ in range(3)]
+    for body in learned:
+        for keys, symbol in contexts(body):
+            for count, key in zip(counts, keys):
+                count[key][symbol] += 1
+    one, other = tree.sides()
+
+    def level(count, key):
+        return 0 if key is None else sum(count[key].sum() >= bound for bound in lm.SEEN_BOUNDS)
+
+    weights, refine = lm.FIRST_WEIGHTS.astype(float), np.zeros(lm.LEVELS)
+    weight_sum, refine_sum = np.full(weights.shape, 1e-4), np.full(lm.LEVELS, 1e-4)
+    body = lm.model_text(text)
+    edges, nats = lm.stretch_ends(len(body)), 0.0
+    slope, refine_slope = np.zeros(weights.shape), np.zeros(lm.LEVELS)
+    for i, (keys, symbol) in enumerate(contexts(body)):
+        if i in edges[1:]:
+            weight_sum += slope**2
+            refine_sum += refine_slope**2
+            weights += lm.WEIGHT_STEP * slope / np.sqrt(weight_sum)
+            refine += lm.REFINE_STEP * refine_slope / np.sqrt(refine_sum)
+            slope, refine_slope = np.zeros(weights.shape), np.zeros(lm.LEVELS)
+        gate = level(counts[1], keys[1]) * 3 + level(counts[2], keys[2])
+        for node, sign in zip(*tree.decisions(np.array([symbol]))[1:]):
+            odds = [math.log((c[k] @ one[:, node] + lm.UNSEEN) / (c[k] @ other[:, node] + lm.UNSEEN)) if k is not None else 0.0 for c, k in zip(counts, keys)]
+            odds[2] = round(odds[2] / lm.ODDS_STEP) * lm.ODDS_STEP
+            mixed = float(np.dot(weights[gate], odds))
+            step = int(min(max(mixed + lm.LEVELS / 2, 0), lm.LEVELS - 0.5))
+            against = math.exp(-sign * (mixed + refine[step]))
+            nats += math.log1p(against)
+            miss = sign * against / (1 + against)
+            slope[gate] += miss * np.array(odds)
+            refine_slope[step] += miss
+        if symbol == 63:
+            nats += math.log((tree.symbol_of == 63).sum())
+    return nats / math.log(2)
+
+
+def test_scores_equal_brute_force():
+    draw = random.Random(11)
+    texts = [b"", b"the cat", b"dog " * 60, b"x" * 90 + b" the", "ü é the qqq \u4e2d".encode()]
+    texts += [bytes(draw.choices(b"the catsdomn\xc3\xa9 ", k=draw.randint(0, 400))) for _ in range(20)]
+    assert np.allclose(code_lengths(texts), [plain_bits(t) for t in texts], rtol=1e-3)
+
+
+def test_the_lexicon_is_a_probability():
+    """After any beginning, the log-odds that the words with it carry share out the probability of what follows."""
+    tree = small_tree()
+    for start in (b"", b"t", b"the", b"zz", b"x" * 31):
+        words = [start + bytes([byte]) for byte in range(1, 256) if byte not in b" \t\n\v\f\r"] + [start] * bool(start)
+        model, lexicon = small_model(words)
+        seen: dict[int, float] = {}
+        for word in words:
+            symbols = tree.symbol_of[list(word + b" ")].astype(int)
+            before = int(tree.length[symbols[: len(start)]].sum())
+            signs = tree.decisions(symbols[len(start) : len(start) + 1])[2]
+            odds = np.frombuffer(lexicon[word][2], np.int8)[before : before + len(signs)] * language_model.ODDS_STEP
+            seen[int(symbols[len(start)])] = float(np.prod(1 / (1 + np.exp(-signs * odds))))
+        if not start:
+            signs = tree.decisions(tree.symbol_of[:1].astype(int))[2]
+            seen[int(tree.symbol_of[0])] = float(np.prod(1 / (1 + np.exp(-signs * np.frombuffer(model.end[0], np.int8) * language_model.ODDS_STEP))))
+        absent = set(range(64)) - set(seen)  # white space inside a word, and the end after a letter
+        assert sum(seen.values()) <= 1 + 1e-6
+        if not absent:
+            assert sum(seen.values()) == pytest.approx(1, abs=1e-6)
+
+
+def test_ranges_do_not_change_the_lexicon(documents, monkeypatch):
+    draw = random.Random(3)
+    rows = [(i, " ".join("".join(draw.choices("abc", k=draw.randint(1, 6))) for _ in range(60))) for i in range(40)]
+    rows += [(50 + i, "p" * (25 + i)) for i in range(12)]
+
+    def scored():
+        return sorted((r.doc_id, r.score, r.base_score) for r in language_model.scores(documents(rows)).collect())
+
+    whole = scored()
+    monkeypatch.setattr(language_model, "RANGE_WORDS", 25)
+    monkeypatch.setattr(language_model, "FREQUENT_WORDS", 3)
+    monkeypatch.setattr(language_model, "CHUNK_ROWS", 3)
+    assert np.allclose(scored(), whole, rtol=1e-6)
+
+
+def test_the_lexicon_grows_with_the_corpus(spark):
+    """Beginnings that no bounded table could hold are counted: a rare word costs less once it was learned."""
+    rows = [(i, " ".join(f"{i * 50 + j:x}zq{j}" for j in range(50))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.held_out: r.bits for r in language_model.scores(docs).groupBy("held_out").agg(F.avg("bits_per_byte").alias("bits")).collect()}
+    assert found[False] < found[True]
 
 
 def test_weights_are_updated_each_time_twice_as_much_is_read():
@@ -217,12 +341,12 @@ def test_weights_are_updated_each_time_twice_as_much_is_read():
 
 
 def test_scores_do_not_depend_on_the_batch():
-    model = small_model()
     draw = random.Random(8)
-    texts = [language_model.model_text(bytes(draw.choices(b"the catsdo\xc3\xa9 ", k=draw.randint(0, 900)))) for _ in range(40)]
-    alone = [model.bits([t])[0] for t in texts]
-    assert np.allclose(model.bits(texts), alone, rtol=1e-5)
-    known, strange = model.bits([b"the cat sat\0", b"qqq zzz vvv\0"])
+    texts = [bytes(draw.choices(b"the catsdo\xc3\xa9 ", k=draw.randint(0, 900))) for _ in range(40)]
+    model, lexicon = small_model(texts)
+    alone = [model.bits([t.split()], lexicon)[0] for t in texts]
+    assert np.allclose(model.bits([t.split() for t in texts], lexicon), alone, rtol=1e-5)
+    known, strange = code_lengths([b"the cat sat", b"qqq zzz vvv"])
     assert known < strange
 
 
