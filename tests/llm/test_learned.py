@@ -187,13 +187,13 @@ def test_base_scores(documents, clashing, frequent, monkeypatch):
     assert language_model.scores(documents([])).count() == 0
 
 
-LEARNED = [b"the cat sat on the mat", b"the dog sat", "é ü the".encode(), b"x" * 70] * 5
+LEARNED = [b"the cat sat on the mat", b"the dogcatcher sat", b"dogcatchers dogcatch", "é ü the".encode(), b"x" * 70] * 5
 
 
 def small_tree():
     texts = b"".join(map(language_model.model_text, LEARNED))
     symbol_of = np.full(256, 63, np.uint8)
-    used = sorted(range(256), key=lambda b: (b not in texts, b != 32, b))[:63]
+    used = sorted(set(range(256)) - set(b"\t\n\v\f\r"), key=lambda b: (b not in texts, b != 32, b))[:63]
     symbol_of[used] = np.arange(len(used))
     return language_model.Tree.of(symbol_of, np.bincount(symbol_of[np.frombuffer(texts, np.uint8)], minlength=64))
 
@@ -207,22 +207,14 @@ def small_model(texts):
         np.add.at(total, slot * 64 + contexts.symbols, 1)
     counts = collections.Counter(w for t in LEARNED for w in t.split())
     words = sorted(set(counts).union(*[t.split() for t in texts]))
-    follows = np.zeros(64)
-    for word, n in counts.items():
-        follows[tree.symbol_of[word[0]]] += n
-    follows[tree.symbol_of[0]] += len(LEARNED)
-    one, other = tree.sides()
-    node = tree.decisions(tree.symbol_of[:1].astype(int))[1]
-    end = language_model._kept_odds((follows @ one)[node], (follows @ other)[node]).tobytes(), b"\1"
-    whole = {b"": follows}
-    paths = language_model.word_paths(words, np.array([counts[w] for w in words]), tree, whole)
-    (odds, odds_ends), (seen, seen_ends) = paths
+    paths = language_model.word_paths(words, np.array([counts[w] for w in words]), tree, {})
+    lengths = bytes(tree.length[tree.symbol_of].tolist())
     lexicon = {}
     for i, word in enumerate(words):
         own = [values[(upto[i - 1] if i else 0) : upto[i]].tobytes() for values, upto in paths]
-        lexicon[word] = language_model.entry(word, counts[word], *own, tree)
+        lexicon[word] = language_model.entry(word, counts[word], *own, lengths)
     cells = np.flatnonzero(total)
-    return language_model.build(tree, cells, total[cells], end), lexicon
+    return language_model.build(tree, cells, total[cells]), lexicon
 
 
 def code_lengths(texts):
@@ -242,7 +234,7 @@ def plain_bits(text):
             for back, slots in zip((3, 5), lm.SLOTS):
                 key = sum((int(tree.symbol_of[b]) + 1) * pow(lm._BASE, j, 1 << 32) for j, b in enumerate(padded[i + 5 - back : i + 5]))
                 keys.append(int(lm._slot(np.array([key % (1 << 32)], np.uint32), slots)[0]))
-            yield [*keys, body[begin:i] if i - begin < lm.LONGEST else None], int(tree.symbol_of[byte])
+            yield [*keys, body[begin:i] if lm.SHORTEST <= i - begin < lm.LONGEST else None], int(tree.symbol_of[byte])
             begin = i + 1 if byte == 32 else begin
 
     counts = [collections.defaultdict(lambda: np.zeros(64)) for _ in range(3)]
@@ -252,6 +244,8 @@ def plain_bits(text):
                 count[key][symbol] += 1
     one, other = tree.sides()
 
+    counts[2] = {key: count for key, count in counts[2].items() if key is not None and count.sum() >= lm.LEAST_SEEN}
+
     def level(count, key):
         return 0 if key is None else sum(count[key].sum() >= bound for bound in lm.SEEN_BOUNDS)
 
@@ -261,6 +255,7 @@ def plain_bits(text):
     edges, nats = lm.stretch_ends(len(body)), 0.0
     slope, refine_slope = np.zeros(weights.shape), np.zeros(lm.LEVELS)
     for i, (keys, symbol) in enumerate(contexts(body)):
+        keys[2] = keys[2] if keys[2] in counts[2] else None
         if i in edges[1:]:
             weight_sum += slope**2
             refine_sum += refine_slope**2
@@ -285,36 +280,32 @@ def plain_bits(text):
 
 def test_scores_equal_brute_force():
     draw = random.Random(11)
-    texts = [b"", b"the cat", b"dog " * 60, b"x" * 90 + b" the", "ü é the qqq \u4e2d".encode()]
+    texts = [b"", b"the cat", b"dogcatch dogcatching dogcats " * 20, b"x" * 90 + b" the", "ü é the qqq \u4e2d".encode()]
     texts += [bytes(draw.choices(b"the catsdomn\xc3\xa9 ", k=draw.randint(0, 400))) for _ in range(20)]
     assert np.allclose(code_lengths(texts), [plain_bits(t) for t in texts], rtol=1e-3)
 
 
 def test_the_lexicon_is_a_probability():
     """After any beginning, the log-odds that the words with it carry share out the probability of what follows."""
-    tree = small_tree()
-    for start in (b"", b"t", b"the", b"zz", b"x" * 31):
-        words = [start + bytes([byte]) for byte in range(1, 256) if byte not in b" \t\n\v\f\r"] + [start] * bool(start)
-        model, lexicon = small_model(words)
-        seen: dict[int, float] = {}
+    tree, size = small_tree(), language_model.SHORTEST
+    for start in (b"dogca", b"dogcatcher", b"x" * 31, b"zzzzz"):
+        words = [start + bytes([byte]) for byte in range(256) if byte not in b" \t\n\v\f\r"] + [start]
+        _, lexicon = small_model(words)
+        told: dict[int, float] = {}
         for word in words:
             symbols = tree.symbol_of[list(word + b" ")].astype(int)
             before = int(tree.length[symbols[: len(start)]].sum())
             signs = tree.decisions(symbols[len(start) : len(start) + 1])[2]
             odds = np.frombuffer(lexicon[word][2], np.int8)[before : before + len(signs)] * language_model.ODDS_STEP
-            seen[int(symbols[len(start)])] = float(np.prod(1 / (1 + np.exp(-signs * odds))))
-        if not start:
-            signs = tree.decisions(tree.symbol_of[:1].astype(int))[2]
-            seen[int(tree.symbol_of[0])] = float(np.prod(1 / (1 + np.exp(-signs * np.frombuffer(model.end[0], np.int8) * language_model.ODDS_STEP))))
-        absent = set(range(64)) - set(seen)  # white space inside a word, and the end after a letter
-        assert sum(seen.values()) <= 1 + 1e-6
-        if not absent:
-            assert sum(seen.values()) == pytest.approx(1, abs=1e-6)
+            assert odds.any() == (start != b"zzzzz") and len(start) >= size
+            told[int(symbols[len(start)])] = float(np.prod(1 / (1 + np.exp(-signs * odds))))
+        assert set(told) == set(range(64))  # white space shares the escape's symbol here
+        assert sum(told.values()) == pytest.approx(1, abs=1e-6)
 
 
 def test_ranges_do_not_change_the_lexicon(documents, monkeypatch):
     draw = random.Random(3)
-    rows = [(i, " ".join("".join(draw.choices("abc", k=draw.randint(1, 6))) for _ in range(60))) for i in range(40)]
+    rows = [(i, " ".join("".join(draw.choices("ab", k=draw.randint(1, 9))) for _ in range(60))) for i in range(40)]
     rows += [(50 + i, "p" * (25 + i)) for i in range(12)]
 
     def scored():
@@ -328,11 +319,11 @@ def test_ranges_do_not_change_the_lexicon(documents, monkeypatch):
 
 
 def test_the_lexicon_grows_with_the_corpus(spark):
-    """Beginnings that no bounded table could hold are counted: a rare word costs less once it was learned."""
-    rows = [(i, " ".join(f"{i * 50 + j:x}zq{j}" for j in range(50))) for i in range(200)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = {r.held_out: r.bits for r in language_model.scores(docs).groupBy("held_out").agg(F.avg("bits_per_byte").alias("bits")).collect()}
-    assert found[False] < found[True]
+    """All words that were learned often enough have their paths, however many there are."""
+    for size in (100, 3000):
+        words = [(f"{i * 7919 % 10007:05d}{i:x}ending".encode(), 5) for i in range(size)]
+        lexicon = language_model._lexicon(spark.createDataFrame(words, "word binary, n bigint"), size, small_tree())
+        assert lexicon.where(F.octet_length("seen") > 6).count() == size
 
 
 def test_weights_are_updated_each_time_twice_as_much_is_read():
