@@ -211,6 +211,71 @@ def test_the_model_is_a_probability():
         assert total == pytest.approx(1, abs=1e-4)
 
 
+def plain_bits(model, text):
+    """One decision after the other, with counts by context in dictionaries; contexts of bytes share slots by hash."""
+    lm = language_model
+    learned = [lm.model_text(t) for t in (b"the cat sat on the mat", b"the dog sat", "é ü the".encode())] * 5
+    frequent = {b"the": 15, b"sat": 10, b"cat": 5}
+
+    def contexts(body):
+        padded, begin = b" " * 5 + body, 0
+        for i, byte in enumerate(body):
+            keys = []
+            for back, slots in zip((3, 5), lm.SLOTS):
+                key = sum((int(model.symbol_of[b]) + 1) * pow(lm._BASE, j, 1 << 32) for j, b in enumerate(padded[i + 5 - back : i + 5]))
+                keys.append(int(lm._slot(np.array([key % (1 << 32)], np.uint32), slots)[0]))
+            yield [*keys, body[begin:i]], int(model.symbol_of[byte])
+            begin = i + 1 if byte == 32 else begin
+
+    counts = [collections.defaultdict(lambda: np.zeros(64)) for _ in range(3)]
+    for body in learned:
+        for keys, symbol in contexts(body):
+            for count, key in zip(counts[:2], keys):
+                count[key][symbol] += 1
+    for word, n in frequent.items():
+        for keys, symbol in contexts(word + b" "):
+            counts[2][keys[2]][symbol] += n
+    codes = [[(int(model.code_node[j]), float(model.code_sign[j])) for j in range(at, at + n)] for at, n in zip(model.code_start, model.code_length)]
+    weights, refine = lm.FIRST_WEIGHTS.astype(float), np.zeros(lm.LEVELS)
+    weight_sum, refine_sum = np.full(weights.shape, 1e-4), np.full(lm.LEVELS, 1e-4)
+    slope, refine_slope = np.zeros(weights.shape), np.zeros(lm.LEVELS)
+    edges, nats = lm.stretch_ends(len(text)), 0.0
+    for i, (keys, symbol) in enumerate(contexts(text)):
+        if i in edges[1:]:
+            weight_sum += slope**2
+            refine_sum += refine_slope**2
+            weights += lm.WEIGHT_STEP * slope / np.sqrt(weight_sum)
+            refine += lm.REFINE_STEP * refine_slope / np.sqrt(refine_sum)
+            slope, refine_slope = np.zeros(weights.shape), np.zeros(lm.LEVELS)
+        found = [count.get(key, np.zeros(64)) for count, key in zip(counts, keys)]
+        levels = [sum(f.sum() >= bound for bound in lm.SEEN_BOUNDS) for f in found]
+        gate = levels[1] * (len(lm.SEEN_BOUNDS) + 1) + levels[2]
+        for node, sign in codes[symbol]:
+            odds = np.zeros(3)
+            for k, f in enumerate(found):
+                one = sum(f[s] for s in range(64) if (node, 1.0) in codes[s])
+                other = sum(f[s] for s in range(64) if (node, -1.0) in codes[s])
+                odds[k] = math.log((one + lm.UNSEEN) / (other + lm.UNSEEN))
+            mixed = float(weights[gate] @ odds)
+            step = int(min(max(mixed + lm.LEVELS / 2, 0), lm.LEVELS - 0.5))
+            against = math.exp(-sign * (mixed + refine[step]))
+            nats += math.log1p(against)
+            miss = sign * against / (1 + against)
+            slope[gate] += miss * odds
+            refine_slope[step] += miss
+        if symbol == 63:
+            nats += math.log((model.symbol_of == 63).sum())
+    return nats / math.log(2)
+
+
+def test_scores_equal_brute_force():
+    model, draw = small_model(), random.Random(11)
+    texts = [b"", b"the cat", b"dog " * 60, b"x" * 90 + b" the", "ü é the qqq \u4e2d".encode()]
+    texts += [bytes(draw.choices(b"the catsdomn\xc3\xa9 ", k=draw.randint(0, 400))) for _ in range(8)]
+    texts = [language_model.model_text(t) for t in texts]
+    assert np.allclose(model.bits(texts), [plain_bits(model, t) for t in texts], rtol=1e-3)
+
+
 def test_weights_are_updated_each_time_twice_as_much_is_read():
     assert language_model.stretch_ends(1000) == [0, 64, 128, 256, 512, 1024]
     assert language_model.stretch_ends(9000)[5:] == [1024, 2048, 4096, 6144, 8192, 10240]
