@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +53,43 @@ def read_media(spark: SparkSession, root: str, *, with_hash: bool = False) -> Da
     return listing.drop("path")
 
 
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """All files and folders below a folder, empty ones too: path, is_folder, size and mtime.
+
+    Folders are listed by tasks, one level of the tree after the other, through the file system that pyarrow finds
+    for ``root`` (local, HDFS, S3, GCS), which executors must reach. Each level is stored, so its listing is not
+    repeated. Files below ``path`` feed :func:`media_listing`; size and mtime of folders are null.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                found = files.get_file_info(fs.FileSelector(folder))
+                for at in range(0, len(found), 10_000):
+                    some = found[at : at + 10_000]
+                    folders = [i.type == fs.FileType.Directory for i in some]
+                    columns = [
+                        pa.array([i.path for i in some], pa.string()), pa.array(folders, pa.bool_()),
+                        pa.array([None if f else i.size for i, f in zip(some, folders)], pa.int64()),
+                        pa.array([None if f else i.mtime for i, f in zip(some, folders)], pa.timestamp("us", "UTC")),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["path", "is_folder", "size", "mtime"])
+
+    _, top = fs.FileSystem.from_uri(root)
+    columns = "path string, is_folder boolean, size bigint, mtime timestamp"
+    level = spark.createDataFrame([(top,)], "path string")
+    levels = []
+    while True:
+        listed = stored(level.mapInArrow(task, columns), "listing")
+        levels.append(listed)
+        folders = listed.where("is_folder").select("path")
+        if folders.isEmpty():
+            break
+        level = folders.repartition("path")
+    return reduce(DataFrame.unionByName, levels)
+
+
 _LOG_FILES = "*_FileTimestampLog.csv"
 # Followed by whole quoted parts only, so itself outside quotes.
 _UNQUOTED = r'(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'

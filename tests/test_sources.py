@@ -169,3 +169,22 @@ def test_scratch_follows_the_session(spark):
     from fieldlens import session
 
     assert session.scratch_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_list_tree_finds_empty_files_and_folders(spark, tmp_path):
+    for folder in ("R0001/R0001-a/deep", "R0001/R0001-empty", "R0002"):
+        (tmp_path / "tree" / folder).mkdir(parents=True)
+    for file, content in (("R0001/R0001-a/1.jpg", b"abc"), ("R0001/R0001-a/deep/0.jpg", b""), ("x.txt", b"x")):
+        (tmp_path / "tree" / file).write_bytes(content)
+    root = str(tmp_path / "tree")
+    found = tables.list_tree(spark, root)
+    got = {(r.path.removeprefix(root + "/"), r.is_folder, r.size) for r in found.collect()}
+    assert got == {
+        ("R0001", True, None), ("R0002", True, None), ("x.txt", False, 1),
+        ("R0001/R0001-a", True, None), ("R0001/R0001-empty", True, None),
+        ("R0001/R0001-a/1.jpg", False, 3), ("R0001/R0001-a/deep", True, None), ("R0001/R0001-a/deep/0.jpg", False, 0),
+    }
+    files = tables.media_listing(found.where("not is_folder"), root)
+    assert {(r.deployment, r.rel_path, r.size) for r in files.collect()} == {("R0001-a", "1.jpg", 3), ("R0001-a", "deep/0.jpg", 0)}
+    (tmp_path / "nothing").mkdir()
+    assert tables.list_tree(spark, str(tmp_path / "nothing")).isEmpty()
