@@ -76,11 +76,13 @@ def write_field_logs(log: DataFrame, path: str) -> None:
 
 
 def write_log_files(logs: DataFrame, path: str) -> None:
-    """One field-log file per collection, named after it. ``logs``: collection, text; one row per collection.
+    """One field-log file per collection, named after it. ``logs``: collection, place, text; the texts of a
+    collection are written in the order of ``place``, each followed by a line feed, as they come from the sort.
 
     Spark names the files it writes itself, so they are renamed; there is one per collection.
     """
-    logs.select("collection", "text").write.mode("overwrite").option("lineSep", "\n").partitionBy("collection").text(path)
+    ordered = logs.repartition("collection").sortWithinPartitions("collection", "place").select("collection", "text")
+    ordered.write.mode("overwrite").option("lineSep", "\n").partitionBy("collection").text(path)
     spark = logs.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Mapping
 from functools import reduce
+from math import ceil
 
 import pyarrow as pa
 from pyarrow import fs
@@ -92,53 +94,52 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
 
 _LOG_FILES = "*_FileTimestampLog.csv"
 # Followed by whole quoted parts only, so itself outside quotes.
-_UNQUOTED = r'(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'
-_CSV_COMMA = "," + _UNQUOTED
-_CSV_LINE = "\r?\n" + _UNQUOTED
+_CSV_COMMA = r',(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'
 
 
 def _log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Collection and cell lists of every field-log file; blank lines are dropped as csv readers do.
+    """Cell lists of the records of every field-log file, numbered from 1 (the header): file, collection, number, cells.
 
-    A line break inside quotes belongs to its cell.
+    Blank lines are dropped as csv readers do; a line break inside quotes belongs to its cell. Files are read in byte
+    ranges, see :func:`export_records`; a file without any record has one row, whose number is null.
     """
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _LOG_FILES)
-    text = F.regexp_replace("value", "^\ufeff", "")
-    lines = F.filter(F.split(text, _CSV_LINE), lambda line: line != "")
-
-    def cells(line):
-        plain = F.transform(F.split(line, _CSV_COMMA), lambda c: F.regexp_replace(c, '(?s)^"|"$', ""))
-        return F.transform(plain, lambda c: F.regexp_replace(c, '""', '"'))
-
-    return reader.text(path, wholetext=True).select(
-        F.regexp_replace(F.col("_metadata.file_name"), "_FileTimestampLog\\.csv$", "").alias("collection"),
-        F.transform(lines, cells).alias("lines"),
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": _LOG_FILES}
+    records = stored(export_records(spark, path, options), "log-records")
+    # A prefix sum over the ranges of each file.
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = records.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("file", "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    name = F.regexp_replace(F.col("_metadata.file_name"), "_FileTimestampLog\\.csv$", "")
+    files = spark.read.options(**options).text(path).select(F.col("_metadata.file_path").alias("file"), name.alias("collection"))
+    plain = F.transform(F.split("record", _CSV_COMMA), lambda c: F.regexp_replace(c, '(?s)^"|"$', ""))
+    numbered = records.join(before, ["file", "block"]).select(
+        "file",
+        (F.col("_before") + F.col("number") + 1).alias("number"),
+        F.transform(plain, lambda c: F.regexp_replace(c, '""', '"')).alias("cells"),
     )
+    return files.distinct().join(numbered, "file", "left")
 
 
 def read_log_headers(spark: SparkSession, path: str) -> DataFrame:
     """Column names of every field log. ``read.csv`` would rename repeated columns and hide them."""
-    first = F.try_element_at("lines", F.lit(1))
-    return _log_lines(spark, path).select("collection", F.array_join(first, ",").alias("header"))
+    first = _log_lines(spark, path).where("coalesce(number, 1) = 1")
+    return first.select("collection", F.array_join("cells", ",").alias("header"))
 
 
 def read_field_logs(spark: SparkSession, path: str) -> DataFrame:
     """Raw rows of all field-log files below a path: collection, row number (header is 1), five cells.
 
-    Cells are found by the header's names, whatever their order. A log file is typed by hand and read
-    whole, which keeps its row numbers.
+    Cells are found by the header's names, whatever their order.
     """
-    header = F.col("lines")[0]
-    rows = _log_lines(spark, path).where(F.size("lines") > 1).select(
-        "collection", header.alias("_header"), F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("_pos", "_cells")
-    )
+    lines = _log_lines(spark, path)
+    headers = lines.where("number = 1").select("file", F.col("cells").alias("_header"))
+    rows = lines.where("number > 1").join(headers, "file")
 
     def cell(name: str):
         place = F.array_position("_header", name).cast("int")
-        return F.when(place > 0, F.try_element_at("_cells", F.greatest(place, F.lit(1)))).alias(name)
+        return F.when(place > 0, F.try_element_at("cells", F.greatest(place, F.lit(1)))).alias(name)
 
-    number = (F.col("_pos") + 2).cast("bigint").alias("row_number")
-    return rows.select("collection", number, *[cell(name) for name in schema.LOG_FIELDS])
+    return rows.select("collection", F.col("number").alias("row_number"), *[cell(name) for name in schema.LOG_FIELDS])
 
 
 def read_log_table(spark: SparkSession, path: str) -> DataFrame:
@@ -151,12 +152,21 @@ _QUOTE = '"'
 _EXPORT_OPTIONS = {"escape": _QUOTE, "multiLine": "true", "lineSep": "\n"}
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+# A task reads as many small byte ranges, one after the other, as lie in so many bytes.
+_TASK_BYTES = 1 << 25
+
+
+def _lines(spark: SparkSession, path: str, options: Mapping[str, str] | None = None) -> DataFrame:
     """Lines of text files with the byte range they lie in: file, block and value, in order inside a range."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.select(
+    lines = spark.read.options(**(options or {})).option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
     )
+    size = re.fullmatch(r"(\d+)b?", spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    together = _TASK_BYTES // max(int(size[1]), 1) if size else 1
+    if together > 1:
+        tasks = max(ceil(lines.rdd.getNumPartitions() / together), spark.sparkContext.defaultParallelism)
+        lines = lines.coalesce(tasks)
+    return lines
 
 
 def _open_blocks(lines: DataFrame) -> DataFrame:
@@ -169,9 +179,9 @@ def _open_blocks(lines: DataFrame) -> DataFrame:
 
 
 def _records(lines: DataFrame, known: dict[tuple[str, int], tuple[int, int]]) -> DataFrame:
-    """Records of byte ranges: file, block, kind, head and record; blank ones are left out.
+    """Records of byte ranges: file, block, number, kind, head and record; blank ones are left out.
 
-    kind 0 is a whole record; 1 ends one of an earlier range; 2 begins one that goes on; 3 is a range inside
+    ``number`` counts, from 0, the records that begin in the range. kind 0 is a whole record; 1 ends one of an earlier range; 2 begins one that goes on; 3 is a range inside
     one record. ``head`` marks the first of a file. ``known`` tells for ranges that begin or end inside quotes
     whether they do.
     """
@@ -179,25 +189,30 @@ def _records(lines: DataFrame, known: dict[tuple[str, int], tuple[int, int]]) ->
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple[str, int] | None = None
         held: list[str] = []  # lines of the record that is open
-        found: list[tuple[int, bool, str]] = []
+        found: list[tuple[int, int, bool, str]] = []
         inside = begun = head = False
+        number = 0
 
         def take(kind: int) -> None:
-            nonlocal head
+            nonlocal head, number
             record = "\n".join(held)
             record = record.removesuffix("\r") if kind < 2 else record  # at the end of a line, not of a piece
             held.clear()
             if record or kind:
-                found.append((kind, head, record))
+                found.append((number, kind, head, record))
                 head = False
+                number += kind in (0, 2)
 
         def rows() -> Iterator[pa.RecordBatch]:
             if found:
-                kinds, heads, texts = zip(*found)
+                numbers, kinds, heads, texts = zip(*found)
                 n = len(found)
                 found.clear()
-                columns = [pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.int64()), pa.array(kinds, pa.int32()), pa.array(heads, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], ["file", "block", "kind", "head", "record"])
+                columns = [
+                    pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.int64()), pa.array(numbers, pa.int64()),
+                    pa.array(kinds, pa.int32()), pa.array(heads, pa.bool_()), pa.array(texts, pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "block", "number", "kind", "head", "record"])
 
         for batch in batches:
             for file, block, value in zip(*(c.to_pylist() for c in batch.columns)):
@@ -205,7 +220,7 @@ def _records(lines: DataFrame, known: dict[tuple[str, int], tuple[int, int]]) ->
                     if held:
                         take(3 if begun else 2)
                     yield from rows()
-                    key, head = (file, block), block == 0
+                    key, head, number = (file, block), block == 0, 0
                     inside = begun = bool(known.get(key, (0, 0))[0])
                 held.append(value)
                 inside ^= value.count(_QUOTE) % 2 == 1
@@ -217,33 +232,38 @@ def _records(lines: DataFrame, known: dict[tuple[str, int], tuple[int, int]]) ->
             take(3 if begun else 2)
         yield from rows()
 
-    return lines.mapInArrow(task, "file string, block bigint, kind int, head boolean, record string")
+    return lines.mapInArrow(task, "file string, block bigint, number bigint, kind int, head boolean, record string")
 
 
-def export_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of quoted CSV files, whose cells may hold line breaks, as texts: file, head, record.
+def export_records(spark: SparkSession, path: str, options: Mapping[str, str] | None = None) -> DataFrame:
+    """Records of quoted CSV files, whose cells may hold line breaks, as texts: file, block, number, head, record.
 
     Files are read in byte ranges, by as many tasks as the reader makes of them. One pass counts quotes: by
     their number before it, a range begins inside a cell or not. Ranges then cut their records at the line
-    ends outside quotes. Pieces of a record that lies in several ranges are put together, one group per such
-    record; they are read in a further pass, if there are any. ``head`` marks the first record of a file. Lines end
-    with a line feed, with or without a carriage return before it; blank records are left out. Quotes stand
-    around cells and doubled inside them, and nowhere else.
+    ends outside quotes. Where any range begins or ends inside a cell, they are stored, and the pieces of a record that
+    lies in several ranges are put together, one group per such record. ``block`` is the range a record begins in,
+    ``number`` its place there, from 0; ``head`` marks the first record of a file. Lines end with a line feed, with
+    or without a carriage return before it; blank records are left out. Quotes stand around cells and doubled
+    inside them, and nowhere else. ``options`` are the reader's, for the choice of files.
     """
-    lines = _lines(spark, path)
+    lines = _lines(spark, path, options)
     blocks = stored(_open_blocks(lines), "open-ranges")
     known = {(r.file, r.block): (r.begins, r.ends) for r in blocks.collect()}  # a row per byte range at most
-    out = _records(lines, known).where("kind = 0").select("file", "head", "record")
+    found = _records(lines, known)
+    columns = ["file", "block", "number", "head", "record"]
     if not known:
-        return out
-    pieces = _records(lines.join(F.broadcast(blocks.select("file", "block")), ["file", "block"], "left_semi"), known).where("kind > 0")
+        return found.select(*columns)
+    found = stored(found, "records")
+    pieces = found.where("kind > 0")
     # A record's pieces: the one that begins it, ranges inside it, and the one that ends it.
     order = Window.partitionBy("file").orderBy("block", F.when(F.col("kind") == 1, 0).otherwise(1))
     started = F.sum(F.when(F.col("kind") == 2, 1).otherwise(0)).over(order)
     together = pieces.withColumn("_record", started).groupBy("file", "_record").agg(
-        F.max("head").alias("head"), F.array_sort(F.collect_list(F.struct("block", "record"))).alias("_pieces")
-    )
-    return out.unionByName(together.select("file", "head", F.array_join(F.transform("_pieces", lambda p: p["record"]), "\n").alias("record")))
+        F.min("block").alias("block"), F.min_by("number", "block").alias("number"), F.max("head").alias("head"),
+        F.array_sort(F.collect_list(F.struct("block", "record"))).alias("_pieces"),
+    )
+    record = F.array_join(F.transform("_pieces", lambda p: p["record"]), "\n").alias("record")
+    return found.where("kind = 0").select(*columns).unionByName(together.select("file", "block", "number", "head", record))
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:

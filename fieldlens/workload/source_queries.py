@@ -55,10 +55,12 @@ def _log_files(t) -> str:
     """Field logs as typed by hand: with a byte order mark, other column order, and line breaks in cells."""
     name = F.when(F.col("row_number") % 7 == 0, F.concat(F.lit('"'), F.col("Deployment"), F.lit('\n""moved"""'))).otherwise(F.col("Deployment"))
     line = F.concat_ws(",", *[name if c == "Deployment" else F.col(c) for c in _LOG_HEADER])
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("row_number", line.alias("line")))), lambda r: r["line"])
-    text = F.concat(F.lit("\ufeff" + ",".join(_LOG_HEADER) + "\r\n"), F.array_join(lines, "\r\n"))
+    lines = t.field_log.select("collection", F.col("row_number").alias("place"), F.concat(line, F.lit("\r")).alias("text"))
+    header = t.field_log.select("collection").distinct().select(
+        "collection", F.lit(-1).alias("place"), F.lit("\ufeff" + ",".join(_LOG_HEADER) + "\r").alias("text")
+    )
     path = scratch_path(t.spark, "log-files")
-    sinks.write_log_files(t.field_log.groupBy("collection").agg(text.alias("text")), path)
+    sinks.write_log_files(header.unionByName(lines), path)
     return path
 
 

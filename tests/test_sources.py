@@ -4,6 +4,7 @@ import csv
 import hashlib
 import json
 import random
+import time
 from datetime import datetime
 
 from tests.conftest import listed
@@ -53,6 +54,27 @@ def test_field_logs(spark, tmp_path):
     ]
 
 
+def test_field_logs_are_read_in_byte_ranges(spark, tmp_path):
+    """A long log is numbered over its ranges, and quoted line breaks do not cost more in a longer file."""
+    cells = [f'"{i}\n""x"""' if i % 7 == 0 else str(i) for i in range(60_000)]
+    lines = [f"{c},d,t,d,{i}" for i, c in enumerate(cells)]
+    lines.insert(500, "")
+    (tmp_path / "R0001_FileTimestampLog.csv").write_text("\ufeffDeployment,StartDate,StartTime,EndDate,EndTime\n" + "\n".join(lines), newline="\r\n")
+    (tmp_path / "R0002_FileTimestampLog.csv").write_text("\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        started = time.monotonic()
+        rows = tables.read_field_logs(spark, str(tmp_path)).collect()
+        heads = listed(tables.read_log_headers(spark, str(tmp_path)))
+        assert time.monotonic() - started < 120
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = {(i + 2, f'{i}\r\n"x"' if i % 7 == 0 else str(i), str(i)) for i in range(60_000)}
+    assert len(rows) == 60_000 and {(r.row_number, r.Deployment, r.EndTime) for r in rows} == want
+    assert heads == [("R0001", "Deployment,StartDate,StartTime,EndDate,EndTime"), ("R0002", None)]
+
+
 def test_export_cells_hold_json_and_line_breaks(spark, tmp_path):
     cell = '[{"task":"T0","value":[{"choice":"A","answers":{"NOTE":"two\nlines"}}]}]'
     with open(tmp_path / "export.csv", "w", newline="") as file:
