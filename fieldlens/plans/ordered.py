@@ -2,8 +2,8 @@
 
 Positions, previous values and running sums need a group's rows in order. Without ``chunk_rows`` each
 group is sorted in one task by a plain window: one shuffle and one sort, right where every group is known
-to fit a task. With ``chunk_rows`` the rows are range-partitioned by (group, order) and stored, so that a
-huge group spans many chunks; each chunk is handled by a window of its own, and what a chunk needs from
+to fit a task. With ``chunk_rows`` the rows are range-partitioned by (group, order), sorted, cut into chunks
+of that many rows and stored, so that a huge group spans many chunks; each chunk is handled by a window of its own, and what a chunk needs from
 the chunks before it (their row count, sums, last value) is carried over through a table with at most a
 few rows per chunk. Each further step reads what the step before has stored, so the plans do not grow.
 The caller chooses; nothing is counted to decide.
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from fieldlens.session import stored
 
 _CHUNK = "_chunk"
+# A range holds at least about so many rows; small chunks are several in a range, so tasks grow with the rows only.
+_RANGE_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -162,15 +164,19 @@ def ordered_rows(
 ) -> OrderedRows:
     """Prepare rows for ordered computations.
 
-    ``order`` must be a total order inside a group (end it with a unique id). ``chunk_rows`` is about how
-    many rows a chunk holds; without it each group stays whole. To know the number of chunks the rows are
+    ``order`` must be a total order inside a group (end it with a unique id). ``chunk_rows`` is how many rows a
+    chunk holds at most; without it each group stays whole. To know the number of ranges the rows are
     counted: pass ``sizes``, a table with at least as many rows, when counting ``df`` itself would repeat
     an expensive step.
     """
     if chunk_rows is None:
         return OrderedRows(df, tuple(group), tuple(order), False)
-    chunks = ceil((df if sizes is None else sizes).count() / chunk_rows) + 1
-    ranged = df.repartitionByRange(chunks, *group, *order)
+    ranges = ceil((df if sizes is None else sizes).count() / max(chunk_rows, _RANGE_ROWS)) + 1
+    ranged = df.repartitionByRange(ranges, *group, *order).sortWithinPartitions(*group, *order)
+    # The id is the partition's number, 31 bits, and the row's place in it, 33 bits.
+    numbered = ranged.withColumn(_CHUNK, F.monotonically_increasing_id())
+    place = F.col(_CHUNK).bitwiseAND((1 << 33) - 1)
+    chunk = F.col(_CHUNK) - place + F.floor(place / F.lit(chunk_rows))
     # Stored, because two reads of one range partitioning may sample different boundaries.
-    stored_rows = stored(ranged.withColumn(_CHUNK, F.spark_partition_id()), "ordered")
+    stored_rows = stored(numbered.withColumn(_CHUNK, chunk), "ordered")
     return OrderedRows(stored_rows, tuple(group), tuple(order), True)

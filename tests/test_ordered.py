@@ -61,6 +61,16 @@ def test_all_columns(spark, skewed, chunk_rows):
                 kept = value
 
 
+def test_small_chunks_share_ranges(spark):
+    """The tasks follow the rows, not the chunks, which hold chunk_rows rows at most and follow the order."""
+    df = spark.range(3000).selectExpr("'g' AS g", "id", "id * 7 % 3000 AS at")
+    rows = ordered_rows(df, ["g"], ["at"], chunk_rows=5)
+    assert len(rows.rows.inputFiles()) <= 2
+    chunks = rows.rows.groupBy("_chunk").agg(F.count("at"), F.min("at"), F.max("at")).orderBy("_chunk").collect()
+    assert 600 <= len(chunks) <= 602 and all(n <= 5 for _, n, _, _ in chunks)
+    assert all(a[3] < b[2] for a, b in zip(chunks, chunks[1:]))
+
+
 @pytest.mark.parametrize("chunk_rows", [40, 5])
 def test_no_group(spark, skewed, chunk_rows):
     df = spark.createDataFrame(skewed, SCHEMA)
