@@ -70,6 +70,30 @@ def test_ledger_ignores_repeats_and_replays(spark, tmp_path):
     assert listed(spark.read.parquet(target), "path") == [("a",), ("b",), ("c",)]
 
 
+def test_ledger_of_many_keys_calls_no_python(spark, tmp_path):
+    """Keys of many files go through native state; another checkpoint takes what is new since, and all columns stay."""
+    schema, target = "file string, chunk_index bigint, chunk_len bigint", str(tmp_path / "ledger")
+
+    def run(state):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        ledger = lambda: live.written_batches(spark, target, schema + ", batch string")
+        query = live.incremental_ledger(stream, target, str(tmp_path / state), ["file", "chunk_index"], ledger)
+        query.awaitTermination()
+        return query
+
+    rows = spark.range(20_000).selectExpr("CAST(id % 10000 AS string) AS file", "id div 10000 AS chunk_index", "id AS chunk_len")
+    rows.write.parquet(str(tmp_path / "in"))
+    first = run("state")
+    assert "InPandas" not in first._jsq.explainInternal(True)
+    rows.withColumn("chunk_index", F.expr("chunk_index + 1")).write.mode("append").parquet(str(tmp_path / "in"))
+    run("other-state")
+    ledger = spark.read.parquet(target)
+    assert ledger.count() == 30_000 and ledger.select("file", "chunk_index").distinct().count() == 30_000
+    assert ledger.where("chunk_len IS NULL").isEmpty()
+    run("state")
+    assert spark.read.parquet(target).count() == 30_000 + 10_000  # the first run does not know the other's work
+
+
 def test_ledger_cost_does_not_grow(spark, tmp_path):
     """Many batches over the same files: no batch reads the ledger, and state reads stay as they were."""
     schema, target, state = "file string, chunk_index bigint", str(tmp_path / "ledger"), str(tmp_path / "state")
