@@ -127,6 +127,18 @@ def test_export_in_byte_ranges_equals_whole_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("a\n" * 100_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        lines = tables._lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert lines.select("block").distinct().count() == 200 and lines.count() == 100_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_ledger_and_tables(spark, tmp_path):
     (tmp_path / "done.txt").write_text(" a/b \n\n   \nc\n")
     assert listed(tables.read_ledger(spark, str(tmp_path / "done.txt"))) == [("a/b",), ("c",)]
