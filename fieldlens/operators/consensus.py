@@ -14,7 +14,8 @@ from fieldlens.functions import parsing
 from fieldlens.operators.findings import emit, finding
 from fieldlens.session import stored
 
-SUBJECT = ("workflow_id", "workflow_key", "sid", "media_id")
+# The id stands first, since a sort compares rows by eight bytes of its first column before it looks at the others.
+SUBJECT = ("sid", "media_id", "workflow_key", "workflow_id")
 K_MAX = 3
 
 
@@ -222,14 +223,17 @@ def tally(
             F.col("classifications").alias("n"), "first_vote",
         ),
     )
+    # Answers are shuffled before they become two rows each.
     items = (
-        answers.select(*SUBJECT, F.inline(item))
+        answers.repartition(*[F.col(c) for c in SUBJECT])
+        .select(*SUBJECT, F.inline(item))
         .where("n > 0 AND value IS NOT NULL")
-        .repartition(*[F.col(c) for c in SUBJECT])
     )
-    same = Window.partitionBy(*SUBJECT, "kind", "value")
+    # Both sums have the same order, so one pass over the rows gives them.
+    same = Window.partitionBy(*SUBJECT, "kind", "value").orderBy("number")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     given = F.when(F.col("number").isNotNull(), F.col("n"))
-    placed = items.withColumns({"_upto": F.sum(given).over(same.orderBy("number")), "_all": F.sum(given).over(same)})
+    placed = items.withColumns({"_upto": F.sum(given).over(same), "_all": F.sum(given).over(whole)})
     low = F.min(F.when(F.col("_upto") >= F.expr("(_all + 1) div 2"), F.col("number")))
     high = F.min(F.when(F.col("_upto") >= F.expr("_all div 2 + 1"), F.col("number")))
     counts = placed.groupBy(*SUBJECT, "kind", "value").agg(
@@ -283,12 +287,14 @@ def top_species(tallied: DataFrame, *, legacy: bool = False) -> DataFrame:
     if not legacy:
         rows = rows.where(~((F.col("k_majority") > 1) & (F.col("taxon") == "blank")))
     ranked = subject.orderBy(F.desc("votes"), "first_vote")
-    kept = rows.withColumn("rank", F.row_number().over(ranked).cast("bigint")).where(
-        F.col("rank") <= F.greatest(F.lit(1), F.col("k_majority") + 1)
-    )
-    following = F.lead("votes").over(subject.orderBy("rank"))
+    cut = F.greatest(F.lit(1), F.col("k_majority") + 1)
+    # The next taxon is looked up in the same pass as the rank; beyond the cut it does not count.
+    kept = rows.withColumns(
+        {"rank": F.row_number().over(ranked).cast("bigint"), "_following": F.lead("votes").over(ranked)}
+    ).where(F.col("rank") <= cut)
+    following = F.when(F.col("rank") < cut, F.col("_following"))
     confidence = F.coalesce(F.col("votes") / (F.col("votes") + following), F.lit(1.0))
-    return kept.withColumn("confidence", confidence)
+    return kept.withColumn("confidence", confidence).drop("_following")
 
 
 def observation_type(taxon: Column, *, legacy: bool = False) -> Column:

@@ -72,3 +72,16 @@ def test_cells_are_parsed_once(spark):
 
 def test_deployment_checks_read_stored_tables(spark):
     assert "supplier" not in plan(spark, "p2_check_deployments")
+
+
+def test_votes_are_ordered_by_subject_in_few_passes(spark):
+    text = plan(spark, "w6_top_species") + plan(spark, "w7_confidence")
+    assert len(re.findall(r"\bWindow \[", text)) <= 6  # medians, numbers of choices, ranks: for each query
+    orders = re.findall(r"\bSort \[(\w+)#", text)
+    assert orders and set(orders) == {"sid"}
+
+
+def test_no_method_is_too_long_to_be_compiled(spark):
+    # HotSpot leaves longer methods to its interpreter; the cells of an export make one of 15,000 bytes.
+    QUERIES["a8_species_votes"](spark, FOLDER)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
