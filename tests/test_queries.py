@@ -85,3 +85,10 @@ def test_no_method_is_too_long_to_be_compiled(spark):
     # HotSpot leaves longer methods to its interpreter; the cells of an export make one of 15,000 bytes.
     QUERIES["a8_species_votes"](spark, FOLDER)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_text_operators_keep_the_limit_they_were_measured_with(spark):
+    from fieldlens.llm.common import prepare
+
+    QUERIES["a8_species_votes"](spark, FOLDER)
+    assert prepare(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "65535"
