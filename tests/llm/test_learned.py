@@ -276,6 +276,14 @@ def test_scores_equal_brute_force():
     assert np.allclose(model.bits(texts), [plain_bits(model, t) for t in texts], rtol=1e-3)
 
 
+def test_scores_do_not_depend_on_the_pieces(monkeypatch):
+    model, draw = small_model(), random.Random(5)
+    texts = [language_model.model_text(bytes(draw.choices(b"the catsdo\xc3\xa9 ", k=draw.randint(0, 900)))) for _ in range(20)]
+    whole = model.bits(texts)
+    monkeypatch.setattr(language_model, "PIECE_BYTES", 7)
+    assert np.allclose(model.bits(texts), whole, rtol=1e-5)
+
+
 def test_weights_are_updated_each_time_twice_as_much_is_read():
     assert language_model.stretch_ends(1000) == [0, 64, 128, 256, 512, 1024]
     assert language_model.stretch_ends(9000)[5:] == [1024, 2048, 4096, 6144, 8192, 10240]
