@@ -116,3 +116,32 @@ def test_ledger_cost_does_not_grow(spark, tmp_path):
     assert len(progress) == 10 and all(p["numInputRows"] == 120 for p in progress)
     read = [int(p["stateOperators"][0]["customMetrics"].get("rocksdbTotalBytesRead", 0)) for p in progress]
     assert read[9] <= 2 * read[4] + 10_000
+
+
+def test_ledger_keeps_neighbouring_chunks_in_one_row_of_state(spark, tmp_path):
+    """Chunks of a file share rows of state; repeats, grown files, missing keys and other runs are told apart by chunk."""
+    schema, target = "file string, chunk_index int, chunk_len bigint", str(tmp_path / "ledger")
+
+    def run(state):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        ledger = lambda: live.written_batches(spark, target, schema + ", batch string")
+        query = live.incremental_ledger(stream, target, str(tmp_path / state), ["file", "chunk_index"], ledger, within="chunk_index")
+        query.awaitTermination()
+        return [p for p in query.recentProgress if p["numInputRows"]]
+
+    def chunks(file, numbers):
+        return [(file, i, None if i is None else 10 * i) for i in numbers]
+
+    drop(spark, tmp_path / "in", chunks("a", [*range(20), *range(20)]) + chunks("b", [3]), schema)
+    drop(spark, tmp_path / "in", chunks("a", range(10, 26)) + chunks(None, [0, 1, 1]) + chunks("c", [None, None, -1, -8, -9]), schema)
+    last = run("state")[-1]
+    want = chunks("a", range(26)) + chunks("b", [3]) + chunks(None, [0, 1]) + chunks("c", [None, -1, -8, -9])
+    same = sorted(want, key=lambda t: tuple((v is None, str(v)) for v in t))
+    assert listed(spark.read.parquet(target), "file", "chunk_index", "chunk_len") == same
+    # 26 chunks of a in 4 rows, b in 1, the missing file in 1, and c in 3
+    assert last["stateOperators"][0]["numRowsTotal"] == 9
+    drop(spark, tmp_path / "in", chunks("b", range(5)), schema)
+    run("other-state")  # knows the other run's chunks and takes the new ones
+    want += chunks("b", [0, 1, 2, 4])
+    same = sorted(want, key=lambda t: tuple((v is None, str(v)) for v in t))
+    assert listed(spark.read.parquet(target), "file", "chunk_index", "chunk_len") == same
