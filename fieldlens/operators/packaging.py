@@ -306,10 +306,25 @@ def chunk_plan(files: DataFrame, chunk_bytes: int = schema.CHUNK_BYTES) -> DataF
     )
 
 
-def pending(work: DataFrame, done: DataFrame, keys: Iterable[str]) -> DataFrame:
-    """Work that the ledger does not hold."""
+def pending(work: DataFrame, done: DataFrame, keys: Iterable[str], *, within: str | None = None) -> DataFrame:
+    """Work that the ledger does not hold.
+
+    ``within`` names a whole-number key, as of a file's chunks. What is held is then gathered as bits, 64 neighbouring
+    values of it in a number, and joined by the other keys: ledger rows are combined before they are shuffled, and work
+    that is dealt out by the other keys already is not shuffled. A key with a null is never held.
+    """
     keys = list(keys)
-    return work.join(done.select(keys).distinct(), keys, "left_anti")
+    if within is None:
+        return work.join(done.select(keys), keys, "left_anti")
+    others = [key for key in keys if key != within]
+    number = F.col(within).cast("bigint")
+    bit = F.pmod(number, F.lit(64)).cast("int")
+    held = done.where(F.col(within).isNotNull()).select(*others, (number - bit).alias("_base"), bit.alias("_bit"))
+    words = held.groupBy(*others, "_base").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_word"))
+    bits = words.groupBy(*others).agg(F.map_from_entries(F.collect_list(F.struct("_base", "_word"))).alias("_held"))
+    found = work.join(bits, others, "left").withColumn("_word", F.try_element_at("_held", number - bit)).withColumn("_bit", bit)
+    is_held = F.expr("shiftright(_word, _bit) & 1 = 1")
+    return found.where(~F.coalesce(is_held, F.lit(False))).select(*keys, *[c for c in work.columns if c not in keys])
 
 
 def ledger_status(ledger: DataFrame, files: DataFrame) -> DataFrame:

@@ -197,8 +197,8 @@ SQL_VIEWS["chunk_ledger"] = f"""SELECT file, remote, size, i AS chunk_index, lea
     FROM (SELECT file, remote, size, unnest(range(CAST(ceil(size / {CHUNK}) AS bigint))) AS i FROM transfers) c"""
 
 
-def _ledger(t):
-    return P.chunk_plan(t.transfers, CHUNK).withColumn("completed", F.expr("(size + chunk_index) % 4 <> 0"))
+def _ledger(t, transfers=None):
+    return P.chunk_plan(transfers or t.transfers, CHUNK).withColumn("completed", F.expr("(size + chunk_index) % 4 <> 0"))
 
 
 @query(
@@ -219,8 +219,11 @@ def _(t):
 
 @query("j11_pending_chunks", "SELECT file, chunk_index FROM chunk_ledger WHERE NOT completed")
 def _(t):
-    done = _ledger(t).where("completed")
-    return P.pending(P.chunk_plan(t.transfers, CHUNK), done, ["file", "chunk_index"]).select("file", "chunk_index")
+    # Files are dealt out before they are cut into chunks, so no chunk is shuffled.
+    files = t.transfers.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "file")
+    done = _ledger(t, files).where("completed")
+    plan = P.chunk_plan(files, CHUNK)
+    return P.pending(plan, done, ["file", "chunk_index"], within="chunk_index").select("file", "chunk_index")
 
 
 @query(

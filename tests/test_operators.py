@@ -408,6 +408,32 @@ def test_chunks_and_ledger(spark):
     assert packaging.ledger_status(ledger, grown).first()["is_valid"] is False
 
 
+def test_pending_chunks_shuffle_files_only(spark, rows):
+    """Done chunks as bits give what the join by chunk gives, and files dealt out before stay where they are."""
+    schema = "file string, chunk_index bigint, size bigint"
+    work = [(f, i, 7) for f in ("a", "b", None) for i in (*range(200), None, -1, -64, -65)] + [("a", 5, 8)] * 2
+    done = [("a", i, 0) for i in (*range(0, 200, 3), 5, None, -64)] + [("b", 63, 0), ("b", 64, 0), (None, 1, 0), ("c", 1, 0)] * 2
+    work, done = rows(work, schema), rows(done, schema)
+    keys = ["file", "chunk_index"]
+    plain = packaging.pending(work, done, keys)
+    bits = packaging.pending(work, done, keys, within="chunk_index")
+    assert bits.columns == plain.columns and listed(bits) == listed(plain)
+    none = packaging.pending(work, done.limit(0), keys, within="chunk_index")
+    assert none.count() == work.count()
+
+    files = rows([("f", "/r", 25), ("g", "/r", 31)], "file string, remote string, size bigint").repartition(8, "file")
+    plan = packaging.chunk_plan(files, 10)
+    ledger = plan.where("chunk_index <> 1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = packaging.pending(plan, ledger, keys, within="chunk_index")
+        assert listed(left, *keys) == [("f", 1), ("g", 1)]
+        dealt = left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(file" in dealt and dealt.count("Exchange hashpartitioning(") == dealt.count("REPARTITION_BY_NUM")
+
+
 def test_subjects_present(spark):
     subjects = spark.createDataFrame(
         [(1, "Name A", {}), (2, None, {"filename": "low.jpg", "Filename": " Cap.JPG "}), (3, "", {"Origin": "HTTP://x"})],
