@@ -7,7 +7,9 @@ from collections.abc import Iterator, Mapping
 from functools import reduce
 from math import ceil
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -178,59 +180,71 @@ def _open_blocks(lines: DataFrame) -> DataFrame:
     return ranges.select("file", "block", (((upto - F.col("odd")) % 2)).alias("begins"), (upto % 2).alias("ends")).where("begins + ends > 0")
 
 
-def _records(lines: DataFrame, known: dict[tuple[str, int], tuple[int, int]]) -> DataFrame:
+def _records(lines: DataFrame, known: dict[tuple[str, int], tuple[int, int]], pieces: bool = False) -> DataFrame:
     """Records of byte ranges: file, block, number, kind, head and record; blank ones are left out.
 
     ``number`` counts, from 0, the records that begin in the range. kind 0 is a whole record; 1 ends one of an earlier range; 2 begins one that goes on; 3 is a range inside
     one record. ``head`` marks the first of a file. ``known`` tells for ranges that begin or end inside quotes
-    whether they do.
+    whether they do. With ``pieces`` kinds 1 to 3 come, else kind 0.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple[str, int] | None = None
         held: list[str] = []  # lines of the record that is open
-        found: list[tuple[int, int, bool, str]] = []
         inside = begun = head = False
         number = 0
 
-        def take(kind: int) -> None:
-            nonlocal head, number
+        def rows(kind: int, records: pa.Array, number: int, head: bool) -> Iterator[pa.RecordBatch]:
+            n = len(records)
+            if n and pieces == (kind > 0):
+                columns = [
+                    pa.repeat(pa.scalar(key[0], pa.string()), n), pa.repeat(pa.scalar(key[1], pa.int64()), n),
+                    pa.array(np.arange(number, number + n)), pa.repeat(pa.scalar(kind, pa.int32()), n),
+                    pa.array(np.arange(n) < head), records,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "block", "number", "kind", "head", "record"])
+
+        def one(kind: int) -> Iterator[pa.RecordBatch]:
+            """The record whose lines are held."""
+            nonlocal number, head
             record = "\n".join(held)
             record = record.removesuffix("\r") if kind < 2 else record  # at the end of a line, not of a piece
             held.clear()
             if record or kind:
-                found.append((number, kind, head, record))
+                yield from rows(kind, pa.array([record], pa.string()), number, head)
                 head = False
                 number += kind in (0, 2)
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            if found:
-                numbers, kinds, heads, texts = zip(*found)
-                n = len(found)
-                found.clear()
-                columns = [
-                    pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.int64()), pa.array(numbers, pa.int64()),
-                    pa.array(kinds, pa.int32()), pa.array(heads, pa.bool_()), pa.array(texts, pa.string()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["file", "block", "number", "kind", "head", "record"])
-
         for batch in batches:
-            for file, block, value in zip(*(c.to_pylist() for c in batch.columns)):
-                if (file, block) != key:
+            file, block, value = batch.columns
+            value = value.cast(pa.string())
+            odd = pc.count_substring(value, _QUOTE).to_numpy(zero_copy_only=False) % 2
+            same = pc.and_(pc.equal(file[1:], file[:-1]), pc.equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(~same) + 1), len(value)] if len(value) else [0]
+            for low, high in zip(edges, edges[1:]):
+                if (here := (file[low].as_py(), block[low].as_py())) != key:
                     if held:
-                        take(3 if begun else 2)
-                    yield from rows()
-                    key, head, number = (file, block), block == 0, 0
+                        yield from one(3 if begun else 2)
+                    key, head, number = here, here[1] == 0, 0
                     inside = begun = bool(known.get(key, (0, 0))[0])
-                held.append(value)
-                inside ^= value.count(_QUOTE) % 2 == 1
-                if not inside:
-                    take(1 if begun else 0)
+                state = (np.cumsum(odd[low:high]) + inside) % 2  # 1 after a line that ends inside quotes
+                ends = np.flatnonzero(state == 0) + low + 1
+                inside = bool(state[-1])
+                if len(ends):
+                    held += value[low : ends[0]].to_pylist()
+                    yield from one(1 if begun else 0)
                     begun = False
-            yield from rows()
+                    grouped = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), value)
+                    records = pc.binary_join(grouped, "\n")
+                    records = pc.if_else(pc.ends_with(records, "\r"), pc.utf8_slice_codeunits(records, 0, -1), records)
+                    records = records.filter(pc.not_equal(records, ""))
+                    yield from rows(0, records, number, head)
+                    head &= not len(records)
+                    number += len(records)
+                    low = ends[-1]
+                held += value[low:high].to_pylist()
         if held:
-            take(3 if begun else 2)
-        yield from rows()
+            yield from one(3 if begun else 2)
 
     return lines.mapInArrow(task, "file string, block bigint, number bigint, kind int, head boolean, record string")
 
@@ -240,8 +254,8 @@ def export_records(spark: SparkSession, path: str, options: Mapping[str, str] |
 
     Files are read in byte ranges, by as many tasks as the reader makes of them. One pass counts quotes: by
     their number before it, a range begins inside a cell or not. Ranges then cut their records at the line
-    ends outside quotes. Where any range begins or ends inside a cell, they are stored, and the pieces of a record that
-    lies in several ranges are put together, one group per such record. ``block`` is the range a record begins in,
+    ends outside quotes. Where any range begins or ends inside a cell, the pieces of records that lie in several ranges are
+    found first, stored and put together, one group per such record; whole records are read again and never stored. ``block`` is the range a record begins in,
     ``number`` its place there, from 0; ``head`` marks the first record of a file. Lines end with a line feed, with
     or without a carriage return before it; blank records are left out. Quotes stand around cells and doubled
     inside them, and nowhere else. ``options`` are the reader's, for the choice of files.
@@ -249,12 +263,10 @@ def export_records(spark: SparkSession, path: str, options: Mapping[str, str] |
     lines = _lines(spark, path, options)
     blocks = stored(_open_blocks(lines), "open-ranges")
     known = {(r.file, r.block): (r.begins, r.ends) for r in blocks.collect()}  # a row per byte range at most
-    found = _records(lines, known)
-    columns = ["file", "block", "number", "head", "record"]
+    whole = _records(lines, known).select("file", "block", "number", "head", "record")
     if not known:
-        return found.select(*columns)
-    found = stored(found, "records")
-    pieces = found.where("kind > 0")
+        return whole
+    pieces = stored(_records(lines, known, pieces=True), "record-pieces")
     # A record's pieces: the one that begins it, ranges inside it, and the one that ends it.
     order = Window.partitionBy("file").orderBy("block", F.when(F.col("kind") == 1, 0).otherwise(1))
     started = F.sum(F.when(F.col("kind") == 2, 1).otherwise(0)).over(order)
@@ -263,7 +275,7 @@ def export_records(spark: SparkSession, path: str, options: Mapping[str, str] |
         F.array_sort(F.collect_list(F.struct("block", "record"))).alias("_pieces"),
     )
     record = F.array_join(F.transform("_pieces", lambda p: p["record"]), "\n").alias("record")
-    return found.where("kind = 0").select(*columns).unionByName(together.select("file", "block", "number", "head", record))
+    return whole.unionByName(together.select("file", "block", "number", "head", record))
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.operators import preparation as P
 from fieldlens.operators.packaging import build_packages, manifests
-from fieldlens.session import scratch_path, stored
+from fieldlens.session import delete, scratch_path, stored
 from fieldlens.sources import committed, sinks, tables
 from fieldlens.workload.package_queries import LIMIT
 from fieldlens.workload.preparation_queries import _lower_log, _prepared, _recorded
@@ -97,6 +100,10 @@ _EXPORT = [
 ]
 
 
+# Some 7 GB of text.
+_PORTION_ROWS = 20_000_000
+
+
 @query("s3_classification_export", f"SELECT {', '.join(_EXPORT)} FROM export")
 def _(t):
     path = scratch_path(t.spark, "export")
@@ -111,16 +118,23 @@ def _(t):
     """SELECT classification_id, annotations || chr(10) || '"' || chr(10) || '",' AS annotations FROM export""",
 )
 def _(t):
-    # Cells with line breaks and quotes, read in byte ranges far smaller than the files.
-    path = scratch_path(t.spark, "export")
+    # Cells with line breaks and quotes, read in byte ranges far smaller than the files. The text is many times its table, so
+    # it is written and read a portion at a time.
     cells = t.export.withColumn("annotations", F.concat("annotations", F.lit('\n"\n",'))).select(_EXPORT)
-    cells.write.option("header", "true").option("escape", '"').option("quoteAll", "true").csv(path)
+    portions = t.table("lineitem").count() // _PORTION_ROWS + 1
+    dealt = F.pmod(F.xxhash64("classification_id"), F.lit(portions))
     before = t.spark.conf.get("spark.sql.files.maxPartitionBytes")
-    t.spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 19))
-    try:
-        return stored(tables.read_export(t.spark, path).select("classification_id", "annotations"), "read-export")
-    finally:
-        t.spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    read = []
+    for number in range(portions):
+        path = scratch_path(t.spark, "export")
+        cells.where(dealt == number).write.option("header", "true").option("escape", '"').option("quoteAll", "true").csv(path)
+        t.spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 19))
+        try:
+            read.append(stored(tables.read_export(t.spark, path).select("classification_id", "annotations"), "read-export"))
+        finally:
+            t.spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        delete(t.spark, path)
+    return reduce(DataFrame.unionByName, read)
 
 
 @query(

@@ -6,12 +6,17 @@ import json
 import random
 import time
 from datetime import datetime
+from pathlib import Path
 
+import pytest
 from tests.conftest import listed
 from pyspark.sql import functions as F
 
 from fieldlens.operators import rules
+from fieldlens.session import scratch_root
 from fieldlens.sources import sinks, tables
+from fieldlens.workload import registry, source_queries
+from fieldlens.workload.adapters import Tables
 
 
 def test_media_tree(spark, tmp_path):
@@ -222,3 +227,36 @@ def test_list_tree_finds_empty_files_and_folders(spark, tmp_path):
     assert {(r.deployment, r.rel_path, r.size) for r in files.collect()} == {("R0001-a", "1.jpg", 3), ("R0001-a", "deep/0.jpg", 0)}
     (tmp_path / "nothing").mkdir()
     assert tables.list_tree(spark, str(tmp_path / "nothing")).isEmpty()
+
+
+@pytest.fixture
+def lines_folder(spark, tmp_path):
+    """A folder with a lineitem table, whose rows become a classification export."""
+    rows = spark.range(3000).selectExpr(
+        "id AS l_orderkey", "id % 97 AS l_partkey", "id % 13 AS l_suppkey", "CAST(id % 7 + 1 AS int) AS l_linenumber",
+        "CAST(id % 50 AS double) AS l_quantity", "CAST(id AS double) AS l_extendedprice",
+        "CASE id % 3 WHEN 0 THEN 'N' WHEN 1 THEN 'A' ELSE 'R' END AS l_returnflag",
+    )
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    return str(tmp_path)
+
+
+def folders_of(spark, name):
+    """Sizes of the scratch folders whose names begin so: path and bytes of data files."""
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    return {p: sum(f.stat().st_size for f in p.glob("part-*")) for p in root.glob(f"{name}-*")}
+
+
+def test_export_is_read_in_portions(spark, lines_folder, monkeypatch):
+    """Of a table whose text would fill the disk one portion lies there at a time, and whole records are not stored."""
+    before = {name: set(folders_of(spark, name)) for name in ("export", "record", "read-export")}
+    whole = registry.QUERIES["s3_export_ranges"](spark, lines_folder)
+    monkeypatch.setattr(source_queries, "_PORTION_ROWS", 700)
+    got = registry.QUERIES["s3_export_ranges"](spark, lines_folder)
+    text = F.concat("annotations", F.lit('\n"\n",')).alias("annotations")
+    want = listed(Tables(spark, lines_folder).export.select("classification_id", text))
+    assert listed(got) == want == listed(whole) and len(want) == 3000
+    assert set(folders_of(spark, "export")) == before["export"]
+    assert len(set(folders_of(spark, "read-export")) - before["read-export"]) == 1 + 5
+    pieces = [p for p in folders_of(spark, "record") if p not in before["record"]]
+    assert sum(spark.read.parquet(str(p)).count() for p in pieces) < 300
