@@ -100,6 +100,8 @@ _EXPORT = [
 ]
 
 
+# Some 90 MB of text.
+_FILE_ROWS = 250_000
 # Some 7 GB of text.
 _PORTION_ROWS = 20_000_000
 
@@ -108,6 +110,8 @@ _PORTION_ROWS = 20_000_000
 def _(t):
     path = scratch_path(t.spark, "export")
     writer = t.export.select(_EXPORT).write.option("header", "true").option("escape", '"').option("quoteAll", "true")
+    # Compressed files are read whole, each by a task, so none is large.
+    writer = writer.option("compression", "gzip").option("maxRecordsPerFile", _FILE_ROWS)
     writer.option("emptyValue", "").csv(path)
     # A CSV cell cannot tell null from blank; the export's blank user ids come back as null.
     return tables.read_export(t.spark, path).withColumn("user_id", F.coalesce("user_id", F.lit("")))

@@ -260,3 +260,13 @@ def test_export_is_read_in_portions(spark, lines_folder, monkeypatch):
     assert len(set(folders_of(spark, "read-export")) - before["read-export"]) == 1 + 5
     pieces = [p for p in folders_of(spark, "record") if p not in before["record"]]
     assert sum(spark.read.parquet(str(p)).count() for p in pieces) < 300
+
+
+def test_export_file_is_compressed(spark, lines_folder):
+    before = set(folders_of(spark, "export"))
+    got = registry.QUERIES["s3_classification_export"](spark, lines_folder)
+    want = Tables(spark, lines_folder).export
+    assert listed(got) == listed(want.select(got.columns)) and got.count() == 3000
+    (size,) = [size for path, size in folders_of(spark, "export").items() if path not in before]
+    cells = want.select(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in got.columns))).first()[0]
+    assert 0 < size < cells / 3
